@@ -5,6 +5,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guestlens.functions import page_texts
 from guestlens.functions.text import null_to_empty, strip
@@ -25,7 +26,13 @@ HEAD_MARKS = [v for rule in (page_texts.NAME_ELEMENTS | page_texts.COUNT_ELEMENT
 REVIEW_MARKS = [v for _, _, v in page_texts.REVIEW_ITEM]
 LINK_MARKS = [v for _, _, v in page_texts.HOTEL_LINKS + page_texts.HOTEL_LINK_PARENT]
 
-REVIEW_STRUCT = "struct<title:string,score:string,positive:string,negative:string,body:string,date:string>"
+
+def _strings(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+_FOUND = _strings("error").add("records", T.ArrayType(_strings(*page_texts.REVIEW_FIELDS)))
+_HEAD = _strings(*page_texts.NAME_ELEMENTS, "count_sidebar").add("count_links", T.ArrayType(T.StringType()))
 
 
 def _if_marked(html: Column, marks: list[str]) -> Column:
@@ -35,7 +42,7 @@ def _if_marked(html: Column, marks: list[str]) -> Column:
     return F.when(found, html)
 
 
-@F.pandas_udf(f"struct<records:array<{REVIEW_STRUCT}>,error:string>")
+@F.pandas_udf(_FOUND)
 def _review_blocks(html: pd.Series) -> pd.DataFrame:
     records, errors = [], []
     for page in html:
@@ -49,13 +56,10 @@ def _review_blocks(html: pd.Series) -> pd.DataFrame:
                 error = f"{type(e).__name__}: {e}"
         records.append(found)
         errors.append(error)
-    return pd.DataFrame({"records": records, "error": errors})
+    return pd.DataFrame({"error": errors, "records": records})
 
 
-@F.pandas_udf(
-    "struct<name_by_id:string,name_header:string,name_testid:string,name_class:string,"
-    "count_sidebar:string,count_links:array<string>>"
-)
+@F.pandas_udf(_HEAD)
 def _head_texts(html: pd.Series) -> pd.DataFrame:
     empty = page_texts.head_texts("")
     rows = []
@@ -67,7 +71,7 @@ def _head_texts(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(empty))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _hotel_hrefs(html: pd.Series, url: pd.Series) -> pd.Series:
     found = []
     for page, base in zip(html, url):
@@ -78,7 +82,7 @@ def _hotel_hrefs(html: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series(found)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unescape(t) if t is not None else None)
 

@@ -9,8 +9,6 @@ from guestlens.functions.text import has_empty_body
 # Fixed value: length of the hotel ranking.
 RANKING_SIZE = 10
 
-_N = F.count(F.lit(1)).cast("bigint")
-
 
 def review_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("reviews"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from guestlens.functions.binding import bind
 from guestlens.functions.text import strip
 
 # Prefixes put before a date by the review pages.
@@ -60,20 +61,18 @@ def parse_review_date(raw: Column) -> Column:
     ordered = F.regexp_replace(text, _DAY_FIRST, _joined(3, 2, 1))
     ordered = F.regexp_replace(ordered, _MONTH_FIRST, _joined(3, 1, 2))
     ordered = F.regexp_replace(ordered, _ISO, _joined(1, 2, 3))
-    ordered = F.regexp_replace(ordered, _NUMERIC, _joined(3, 2, 1))
-    months = F.create_map(
-        *(F.lit(x) for name, n in sorted(month_numbers().items()) for x in (name, str(n)))
-    )
-    parts = F.split(ordered, _SEPARATOR)
-    year, middle, last = (F.get(parts, i) for i in range(3))
-    month = F.coalesce(F.try_element_at(months, middle), middle)
-
-    def build(m: Column, d: Column) -> Column:
-        return F.try_to_date(F.concat_ws("-", year, m, d), "y-M-d")
-
-    is_triple = (F.size(parts) == 3) & last.isNotNull()
-    swapped = F.when(text.rlike(_NUMERIC), build(last, month))
-    return F.when(is_triple, F.coalesce(build(month, last), swapped))
+    ordered = F.regexp_replace(ordered, _NUMERIC, _joined(3, 2, 1) + _SEPARATOR + "numeric")
+    listed = ",".join(f"{name}:{number}" for name, number in month_numbers().items())
+    months = F.str_to_map(F.lit(listed), F.lit(","), F.lit(":"))  # folds to a constant
+
+    def resolve(parts: Column) -> Column:
+        year, middle, last = (F.get(parts, F.lit(i)) for i in range(3))
+        month = F.coalesce(F.try_element_at(months, middle), middle)
+        found = F.try_to_date(F.concat_ws("-", year, month, last), "y-M-d")
+        swapped = F.when(F.size(parts) == 4, F.try_to_date(F.concat_ws("-", year, last, middle), "y-M-d"))
+        return F.when(F.size(parts) >= 3, F.coalesce(found, swapped))
+
+    return bind(F.split(ordered, _SEPARATOR), resolve)
 
 
 def month_end(date: Column) -> Column:

@@ -195,7 +195,7 @@ def hotel_name(html: Column, head: Column, site_marker: str | None = None) -> Co
     return F.coalesce(
         json_ld_name(html),
         og_title(html),
-        *(F.nullif(head[e], F.lit("")) for e in elements),
+        *(F.when(head[e] != "", head[e]) for e in elements),
         clean_title(null_to_empty(page_title(html)), site_marker),
     )
 

@@ -10,7 +10,7 @@ _SCORE_TEXT = r"(\d+[.,]?\d*)"
 def extract_score(raw: Column) -> Column:
     """First number in a text, as text, decimal comma turned into a point; else '0'."""
     found = F.regexp_extract(F.replace(raw, F.lit(","), F.lit(".")), _SCORE_TEXT, 1)
-    return F.coalesce(F.nullif(found, F.lit("")), F.lit("0"))
+    return F.coalesce(F.when(found != "", found), F.lit("0"))
 
 
 def _to_ten(number: Column) -> Column:
@@ -21,7 +21,7 @@ def _to_ten(number: Column) -> Column:
 def normalize_score(text: Column) -> Column:
     """First unsigned number in a score text on the 10-point scale; null if there is none."""
     found = F.regexp_extract(F.replace(text, F.lit(","), F.lit(".")), _SCORE_VALUE, 1)
-    return _to_ten(F.nullif(found, F.lit("")).try_cast("double"))
+    return _to_ten(found.try_cast("double"))
 
 
 def normalize_score_number(value: Column) -> Column:

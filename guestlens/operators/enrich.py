@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guestlens.functions.binding import bind
 from guestlens.functions.text import clean_text, full_review_text, tokens
 
 # Shortest text with a language, code of an undecided one, languages
@@ -56,18 +57,27 @@ def _hits(words: Column, listed: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(listed)))
 
 
-def with_language(df: DataFrame, profiles: dict[str, list[str]] = LANGUAGE_PROFILES) -> DataFrame:
+def language_of(text: Column, profiles: dict[str, list[str]] = LANGUAGE_PROFILES) -> Column:
     """Language with the most profile words in the text; ties go to the first code.
 
     `unknown` when the text is shorter than three characters or has no such word.
     """
-    counted = df.withColumn("_words", tokens(F.col("full_review_processed")))
-    votes = [F.struct(_hits(F.col("_words"), profiles[c]).alias("n"), F.lit(c).alias("code")) for c in sorted(profiles)]
-    counted = counted.withColumn("_votes", F.array(*votes)).drop("_words")
-    best = F.array_max(F.transform("_votes", lambda v: v["n"]))
-    winner = F.get(F.filter("_votes", lambda v: v["n"] == best), F.lit(0))["code"]
-    undecided = (F.length("full_review_processed") < MIN_LANGUAGE_TEXT) | (best == 0)
-    return counted.withColumn("language", F.when(undecided, F.lit(UNKNOWN)).otherwise(winner)).drop("_votes")
+    codes = sorted(profiles)
+
+    def winner(votes: Column) -> Column:
+        best = F.array_max(votes)
+        first = F.get(F.array(*(F.lit(c) for c in codes)), (F.array_position(votes, best) - 1).cast("int"))
+        return F.when(best > 0, first).otherwise(F.lit(UNKNOWN))
+
+    def vote(t: Column) -> Column:
+        won = bind(tokens(t), lambda w: bind(F.array(*(_hits(w, profiles[c]) for c in codes)), winner))
+        return F.when(F.length(t) < MIN_LANGUAGE_TEXT, F.lit(UNKNOWN)).otherwise(won)
+
+    return bind(text, vote)
+
+
+def with_language(df: DataFrame, profiles: dict[str, list[str]] = LANGUAGE_PROFILES) -> DataFrame:
+    return df.withColumn("language", language_of(F.col("full_review_processed"), profiles))
 
 
 def with_model_language(df: DataFrame, load_model: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
@@ -94,35 +104,43 @@ def with_model_language(df: DataFrame, load_model: Callable[[], Callable[[list[s
     return df.withColumn("language", F.regexp_replace(label, "__label__", ""))
 
 
-def with_lexicon_sentiment(df: DataFrame, lexicon: Lexicon = SENTIMENT_LEXICON) -> DataFrame:
-    """Label and class probabilities for Spanish and English rows; others keep no label
-    and zero scores.
+def sentiment_of(text: Column, language: Column, lexicon: Lexicon = SENTIMENT_LEXICON) -> Column:
+    """struct(label, pos, neg, neu) of a Spanish or English text, null for others.
 
     With p positive and n negative words: p, n and 1 over p + n + 1 for POS, NEG, NEU.
     The highest wins; ties go NEU, POS, NEG.
     """
-    words = F.when(F.col("language").isin(SCORED_LANGUAGES), tokens(F.col("full_review_processed")))
-    counted = df.withColumn("_words", words)
 
-    def per_language(side: int) -> Column:
-        chosen = F.lit(0)
-        for code in SCORED_LANGUAGES:
-            chosen = F.when(F.col("language") == code, _hits(F.col("_words"), lexicon[code][side])).otherwise(chosen)
-        return chosen
+    def result(count: Column) -> Column:
+        p, n = count["p"], count["n"]
+        whole = p + n + 1
+        label = F.when((p <= 1) & (n <= 1), "NEU").when(p >= n, "POS").otherwise("NEG")
+        return F.struct(
+            label.alias("label"), (p / whole).alias("pos"), (n / whole).alias("neg"), (1 / whole).alias("neu")
+        )
 
-    counted = counted.withColumns({"_p": per_language(0), "_n": per_language(1)}).drop("_words")
-    scored = F.col("language").isin(SCORED_LANGUAGES)
-    p, n = F.col("_p"), F.col("_n")
-    label = F.when((p <= 1) & (n <= 1), "NEU").when(p >= n, "POS").otherwise("NEG")
-    whole = p + n + 1
-    return counted.withColumns(
-        {
-            "sentiment_label": F.when(scored, label),
-            "sentiment_score_pos": F.when(scored, p / whole).otherwise(0.0),
-            "sentiment_score_neg": F.when(scored, n / whole).otherwise(0.0),
-            "sentiment_score_neu": F.when(scored, 1 / whole).otherwise(0.0),
-        }
-    ).drop("_p", "_n")
+    def score(row: Column) -> Column:
+        def hits(words: Column, side: int) -> Column:
+            counts = {code: _hits(words, lexicon[code][side]) for code in SCORED_LANGUAGES}
+            spanish, english = (F.when(row["language"] == code, counts[code]) for code in SCORED_LANGUAGES)
+            return F.coalesce(spanish, english)
+
+        counted = bind(
+            tokens(row["text"]), lambda w: bind(F.struct(hits(w, 0).alias("p"), hits(w, 1).alias("n")), result)
+        )
+        return F.when(row["language"].isin(SCORED_LANGUAGES), counted)
+
+    return bind(F.struct(text.alias("text"), language.alias("language")), score)
+
+
+def with_lexicon_sentiment(df: DataFrame, lexicon: Lexicon = SENTIMENT_LEXICON) -> DataFrame:
+    """Label and class probabilities from polar words; rows in other languages keep no
+    label and zero scores."""
+    found = df.withColumn("_found", sentiment_of(F.col("full_review_processed"), F.col("language"), lexicon))
+    columns = {"sentiment_label": F.col("_found.label")}
+    for name in CLASSES:
+        columns[f"sentiment_score_{name.lower()}"] = F.coalesce(F.col(f"_found.{name.lower()}"), F.lit(0.0))
+    return found.withColumns(columns).drop("_found")
 
 
 def predict_in_batches(predict, texts: list[str], batch_size: int = BATCH_SIZE) -> list[Prediction]:

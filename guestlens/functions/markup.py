@@ -145,7 +145,7 @@ def json_ld_name(html: Column) -> Column:
     """
     script = rf"""(?is)<script(?=\s)(?={_ATTRS}type\s*=\s*["']application/ld\+json["']){_ATTRS}>(.*?)</script"""
     scripts = F.filter(
-        F.regexp_extract_all(html, F.lit(script), F.lit(1)),
+        F.regexp_extract_all(F.when(html.contains("ld+json"), html), F.lit(script), F.lit(1)),
         lambda s: s.contains(SCRIPT_WORDS[0]) | s.contains(SCRIPT_WORDS[1]),
     )
 
@@ -168,7 +168,7 @@ def og_title(html: Column) -> Column:
 
     Null when the tag is missing or empty; '' when the content starts with a comma.
     """
-    tags = F.regexp_extract_all(html, F.lit(rf"(?i)<meta(?=\s){_ATTRS}>"), F.lit(0))
+    tags = F.regexp_extract_all(F.when(html.contains("og:title"), html), F.lit(rf"(?i)<meta(?=\s){_ATTRS}>"), F.lit(0))
     first = F.get(F.filter(tags, lambda t: attribute(t, "property") == "og:title"), F.lit(0))
     content = unescape_entities(attribute(first, "content"))
     return F.when(content != "", strip(F.split_part(content, F.lit(","), F.lit(1))))

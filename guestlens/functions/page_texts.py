@@ -4,7 +4,6 @@ The only Python that touches page text. It answers which elements match and what
 they say; everything built on the answers is DataFrame code.
 """
 
-import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -48,42 +47,49 @@ _BLOCK = set(
 )
 _UNSEEN = set("script style noscript template head title".split())
 
-_SPACES = re.compile(r"[ \t\r\n\f]+")
-_LINE_EDGES = re.compile(r" *\v[ \v]*")
+_SOURCE_BREAKS = "\t\r\n\f\v"
 
 
 class _Element:
-    def __init__(self, name, parts, items):
-        self.name, self.parts, self.items = name, parts, items
-        self.fields = {}
+    def __init__(self, name, items):
+        self.name, self.items = name, items
+        self.parts, self.fields = [], {}
 
     def text(self):
-        # \v stands for a line break of the layout; source line breaks are plain spaces
-        joined = _SPACES.sub(" ", "".join(self.parts))
-        return _LINE_EDGES.sub("\n", joined).strip()
+        # \v stands for a line break of the layout; those of the source are spaces
+        joined = "".join(self.parts)
+        while "  " in joined:
+            joined = joined.replace("  ", " ")
+        lines = (line.strip(" ") for line in joined.split("\v"))
+        return "\n".join(line for line in lines if line).strip()
 
 
 class _Walker(HTMLParser):
-    """Collects the elements that match `rules` in document order."""
+    """Collects the elements that match `rules` in document order; those under the
+    name `item` also collect the matches inside them."""
 
-    def __init__(self, rules, items=()):
+    def __init__(self, rules):
         super().__init__(convert_charrefs=True)
-        self.rules, self.item_rule = rules, items
+        self.names = list(rules)
+        self.by_attribute = {}
+        for name, rule in rules.items():
+            for tag, attr, value in rule:
+                self.by_attribute.setdefault((attr, value), []).append((tag, name))
         self.open = []  # (tag, elements started here)
         self.found = []
         self.live = []
         self.unseen = 0
 
-    @staticmethod
-    def matches(rule, tag, attrs, classes):
-        for want, attr, value in rule:
-            if want in ("*", tag):
-                if value in classes if attr == "class" else attrs.get(attr) == value:
-                    return True
-        return False
+    def matching(self, tag, attrs):
+        hits = set()
+        for attr, value in attrs.items():
+            for part in (value or "").split() if attr == "class" else (value,):
+                for want, name in self.by_attribute.get((attr, part), ()):
+                    if want in ("*", tag):
+                        hits.add(name)
+        return [name for name in self.names if name in hits] if hits else hits
 
     def handle_starttag(self, tag, attr_list):
-        attrs = dict(reversed(attr_list))  # the first of repeated attributes counts
         if tag == "li":
             self._close_implied("li", {"ul", "ol"})
         if tag in _BLOCK:
@@ -91,14 +97,9 @@ class _Walker(HTMLParser):
             self._break()
         if tag == "br":
             self._break()
-        classes = (attrs.get("class") or "").split()
-        started = []
+        attrs = dict(reversed(attr_list))  # the first of repeated attributes counts
         items = [e for e in self.live if e.name == "item"]
-        if self.item_rule and self.matches(self.item_rule, tag, attrs, classes):
-            started.append(_Element("item", [], items))
-        for name, rule in self.rules.items():
-            if self.matches(rule, tag, attrs, classes):
-                started.append(_Element(name, [], items))
+        started = [_Element(name, items) for name in self.matching(tag, attrs)]
         self.found.extend(started)
         if tag in _VOID:
             return
@@ -117,13 +118,17 @@ class _Walker(HTMLParser):
 
     def handle_data(self, data):
         if self.live and not self.unseen:
-            data = data.replace("\v", " ")
-            for element in self.live:
-                element.parts.append(data)
+            for blank in _SOURCE_BREAKS:
+                data = data.replace(blank, " ")
+            self._add(data)
 
     def _break(self):
+        self._add("\v")
+
+    def _add(self, text):
         for element in self.live:
-            element.parts.append("\v")
+            if element.name != "item":
+                element.parts.append(text)
 
     def _pop(self):
         tag, started = self.open.pop()
@@ -144,8 +149,8 @@ class _Walker(HTMLParser):
                 return
 
 
-def _walk(html, rules, items=()):
-    walker = _Walker(rules, items)
+def _walk(html, rules):
+    walker = _Walker(rules)
     walker.feed(html)
     walker.close()
     return walker.found
@@ -154,14 +159,13 @@ def _walk(html, rules, items=()):
 def review_records(html):
     """One dict of texts per review element; the first match inside it counts."""
     blocks = []
-    for element in _walk(html, REVIEW_FIELDS, REVIEW_ITEM):
+    for element in _walk(html, {"item": REVIEW_ITEM, **REVIEW_FIELDS}):
         if element.name == "item":
             blocks.append(element)
         for block in element.items:
             block.fields.setdefault(element.name, element)
-    return [
-        {name: b.fields[name].text() if name in b.fields else "" for name in REVIEW_FIELDS} for b in blocks
-    ]
+    texts = [{name: element.text() for name, element in b.fields.items()} for b in blocks]
+    return [{name: found.get(name, "") for name in REVIEW_FIELDS} for found in texts]
 
 
 def head_texts(html):
@@ -180,16 +184,15 @@ class _LinkWalker(_Walker):
     """Hrefs of anchors that match a link rule or lie inside a link parent."""
 
     def __init__(self):
-        super().__init__({"parent": HOTEL_LINK_PARENT})
+        super().__init__({"link": HOTEL_LINKS, "parent": HOTEL_LINK_PARENT})
         self.hrefs = []
 
     def handle_starttag(self, tag, attr_list):
         inside = any(e.name == "parent" for e in self.live)
+        before = len(self.found)
         super().handle_starttag(tag, attr_list)
-        attrs = dict(reversed(attr_list))
-        classes = (attrs.get("class") or "").split()
-        if tag == "a" and (inside or self.matches(HOTEL_LINKS, tag, attrs, classes)):
-            href = (attrs.get("href") or "").strip()
+        if tag == "a" and (inside or any(e.name == "link" for e in self.found[before:])):
+            href = (dict(reversed(attr_list)).get("href") or "").strip()
             if href:
                 self.hrefs.append(href)
 

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 # (?U) is needed because Java's \s is ASCII otherwise.
 _BLANK = r"[\s\x1c-\x1f]"
 _BLANK_RUN = rf"(?U){_BLANK}+"
-_EDGE_BLANKS = rf"(?U)^{_BLANK}+|{_BLANK}+$"
+
+# The same characters one by one.
+_BLANKS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+              0x202F, 0x205F, 0x3000])
+)
 
 # Two or more letters, digits or underscores; apostrophes allowed after the first.
 TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
@@ -19,7 +24,7 @@ def null_to_empty(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim any Unicode white space, unlike `trim`, which only knows the space."""
-    return F.regexp_replace(col, _EDGE_BLANKS, "")
+    return F.trim(col, F.lit(_BLANKS))
 
 
 def clean_text(col: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guestlens.functions.stopwords import stop_words
-from guestlens.functions.text import tokens
+from guestlens.functions.text import TOKEN, tokens
 from guestlens.session import stage
 
 # Number of terms of a cloud, shortest total text for one, score from
@@ -17,6 +17,10 @@ CLOUD_TERMS = 50
 MIN_TEXT = 10
 COLLOCATION_SCORE = 30.0
 
+# Tokens of a cloud: those that are no pure number, with or without a final 's.
+_WORD = r"[\p{L}\p{N}_]"
+CLOUD_TOKEN = rf"(?<!{_WORD})(?!\p{{Nd}}+(?:'s)?(?![\p{{L}}\p{{N}}_'])){TOKEN}"
+
 
 def text_gate(texts: DataFrame) -> DataFrame:
     """Length of the texts joined by single spaces, and whether it is enough for a cloud."""
@@ -46,25 +50,19 @@ def top_terms(counts: DataFrame, size: int = CLOUD_TERMS) -> DataFrame:
     return top.withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy()))
 
 
-def _cloud_words(text: Column) -> Column:
-    """Tokens without a final 's and without pure numbers."""
-    bare = F.transform(tokens(text), lambda t: F.regexp_replace(t, "'s$", ""))
-    return F.filter(bare, lambda t: ~t.rlike(r"^\p{Nd}+$"))
-
+def _without_possessive(word: Column) -> Column:
+    return F.when(word.endswith("'s"), F.substring(word, F.lit(1), F.length(word) - 2)).otherwise(word)
 
-def _word_and_pair_counts(texts: DataFrame) -> DataFrame:
-    """(w1, w2, n): counts of words (w2 null) and of neighbouring words, stop words out.
 
-    One scan tokenises every text once for both.
-    """
+def _word_and_next_counts(texts: DataFrame) -> DataFrame:
+    """(w1, w2, n): every word with the word after it, null where that is a stop word or
+    none. A word's own count is the sum over its rows, so one pass serves both."""
     stop = sorted(stop_words())
-    words = texts.select(_cloud_words(F.col("text")).alias("w"))
-    tail = F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
-    pairs = F.zip_with("w", tail, lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
-    pairs = F.filter(pairs, lambda p: p["w2"].isNotNull())
-    single = F.transform("w", lambda a: F.struct(a.alias("w1"), F.lit(None).cast("string").alias("w2")))
-    exploded = words.select(F.explode(F.concat(single, pairs)).alias("p")).select("p.w1", "p.w2")
-    kept = exploded.where(~F.col("w1").isin(stop) & (F.col("w2").isNull() | ~F.col("w2").isin(stop)))
+    words = texts.select(F.regexp_extract_all(F.lower("text"), F.lit(CLOUD_TOKEN), F.lit(0)).alias("w"))
+    nexts = F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
+    pairs = words.select(F.inline(F.arrays_zip(F.col("w").alias("w1"), nexts.alias("w2"))).alias("w1", "w2"))
+    pairs = pairs.select(_without_possessive(F.col("w1")).alias("w1"), _without_possessive(F.col("w2")).alias("w2"))
+    kept = pairs.where(~F.col("w1").isin(stop)).select("w1", F.when(~F.col("w2").isin(stop), F.col("w2")).alias("w2"))
     return kept.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -95,9 +93,9 @@ def collocation_score(pair: Column, first: Column, second: Column, total: Column
 
 def _collocation_parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Word counts and scored pair counts, plurals merged into singulars that occur."""
-    counts = stage(_word_and_pair_counts(texts), "term-counts")
-    words = counts.where(F.col("w2").isNull()).select(F.col("w1").alias("word"), "n")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = stage(_word_and_next_counts(texts), "term-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = counts.groupBy(F.col("w1").alias("word")).agg(F.sum("n").alias("n"))
 
     known = words.select(F.col("word").alias("base"))
     forms = words.join(known, _singular(F.col("word")) == F.col("base"), "left").select(

@@ -87,6 +87,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages as single HTML files; the file name is the url, its hash the id."""
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     name = F.input_file_name()
     return files.select(F.xxhash64(name).alias("page_id"), name.alias("url"), F.col("value").alias("html"))

@@ -1,0 +1,100 @@
+import pytest
+from pyspark.sql import functions as F
+
+from guestlens.operators import enrich
+from guestlens.plans import analysis
+
+
+def texts_of(spark, *texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, full_review_processed string").repartition(2)
+
+
+def languages(frame):
+    return [r.language for r in frame.orderBy("i").collect()]
+
+
+def test_language_votes(spark):
+    frame = texts_of(
+        spark, "the room was clean and the staff was nice", "la habitación es muy limpia y el personal amable",
+        "la chambre est très propre et le lit", "das zimmer ist sauber und der service", "de", "zzz qqq", "", None,
+    )
+    assert languages(enrich.with_language(frame))[:7] == ["en", "es", "fr", "de", "unknown", "unknown", "unknown"]
+
+
+def test_ties_go_to_the_first_code(spark):
+    # `la` votes for Spanish and French alike
+    assert languages(enrich.with_language(texts_of(spark, "la x la"))) == ["es"]
+
+
+def test_model_language(spark):
+    def load():
+        def predict(texts):
+            assert all("\n" not in t for t in texts)
+            if any("boom" in t for t in texts):
+                raise ValueError("boom")
+            return ["__label__es" if "hola" in t else "__label__en" for t in texts]
+
+        return predict
+
+    frame = texts_of(spark, "hola\nmundo", "hello", "ok", "boom now", "", "hola").coalesce(1)
+    got = languages(enrich.with_model_language(frame, load))
+    assert got == ["es", "en", "unknown", "unknown", "unknown", "es"]
+
+
+def test_lexicon_sentiment(spark):
+    rows = [
+        ("en", "good good great bad"), ("en", "good bad"), ("en", "bad awful dirty good"), ("en", "good good bad bad"),
+        ("es", "bueno limpio"), ("es", "good good good"), ("fr", "good good good"), ("unknown", ""), ("en", "nothing here"),
+    ]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, language string, full_review_processed string")
+    got = enrich.with_lexicon_sentiment(frame).orderBy("i").collect()
+    assert [r.sentiment_label for r in got] == ["POS", "NEU", "NEG", "POS", "POS", "NEU", None, None, "NEU"]
+    scores = [(r.sentiment_score_pos, r.sentiment_score_neg, r.sentiment_score_neu) for r in got]
+    assert scores[0] == pytest.approx((3 / 5, 1 / 5, 1 / 5))
+    assert scores[6] == scores[7] == (0.0, 0.0, 0.0)
+    assert scores[8] == (0.0, 0.0, 1.0)
+
+
+def test_predict_in_batches_keeps_order_and_size():
+    calls = []
+
+    def predict(texts):
+        calls.append(texts)
+        return [(t.upper(), {}) for t in texts]
+
+    assert enrich.predict_in_batches(predict, ["a", "b", "c"], 2) == [("A", {}), ("B", {}), ("C", {})]
+    assert calls == [["a", "b"], ["c"]]
+    assert enrich.predict_in_batches(predict, []) == []
+
+
+def test_model_sentiment_fills_missing_classes(spark):
+    def load(language):
+        def predict(texts):
+            assert len(texts) <= 2
+            return [(f"POS", {"POS": len(t) / 10}) if language == "es" else ("NEG", {"NEG": 0.5, "NEU": 0.5}) for t in texts]
+
+        return predict
+
+    rows = [("es", "aaa"), ("en", "b"), ("fr", "c"), ("es", "dddd"), ("es", "e"), ("unknown", "")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, language string, full_review_processed string")
+    got = enrich.with_model_sentiment(frame.coalesce(1), load, batch_size=2).orderBy("i").collect()
+    assert [r.sentiment_label for r in got] == ["POS", "NEG", None, "POS", "POS", None]
+    assert [r.sentiment_score_pos for r in got] == pytest.approx([0.3, 0, 0, 0.4, 0.1, 0])
+    assert [r.sentiment_score_neu for r in got] == [0, 0.5, 0, 0, 0, 0]
+
+
+def test_every_review_is_enriched_once(spark):
+    rows = [(i, "Title", "The room was good and the staff was good", None) for i in range(50)] + [(99, None, None, None)]
+    frame = spark.createDataFrame(rows, "seq int, title string, positive string, negative string")
+    got = analysis.enrich_reviews(frame).collect()
+    assert len(got) == 51
+    assert {(r.language, r.sentiment_label) for r in got if r.seq < 50} == {("en", "POS")}
+    last = [r for r in got if r.seq == 99][0]
+    assert (last.full_review_processed, last.language, last.sentiment_label, last.sentiment_score_neu) == ("", "unknown", None, 0.0)
+
+
+def test_filters_on_sentiment_do_not_blow_up_the_plan(spark):
+    frame = spark.createDataFrame([("t", "p", "n")], "title string, positive string, negative string")
+    chosen = analysis.enrich_reviews(frame).where(F.col("sentiment_label") == "POS").select("sentiment_label")
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 6

@@ -1,0 +1,109 @@
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from guestlens.functions.stopwords import stop_words
+from guestlens.operators import terms
+
+TEXTS = [
+    "Great pool bar and great pool bar again, pool bar pool bar",
+    "The pools were warm; the bar's music 123 456 loud",
+    "swimming pool, swimming pools, swimming pool " * 12,
+    "breakfast buffet 7's class classes glass " * 15,
+    None,
+    "",
+    "a the of",
+    "quiet garden " * 3 + "garden quiet " * 2,
+]
+
+
+def frame_of(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+
+
+def brute_cloud(texts):
+    """Term counts of a cloud by plain loops: words, collocations, plurals."""
+    stop = stop_words()
+    words, pairs = Counter(), Counter()
+    for text in texts:
+        found = re.findall(r"\w[\w']+", (text or "").lower())
+        found = [w[:-2] if w.endswith("'s") else w for w in found]
+        found = [w for w in found if not w.isdigit()]
+        words.update(w for w in found if w not in stop)
+        pairs.update(p for p in zip(found, found[1:]) if not stop & set(p))
+    total = sum(words.values())
+
+    def merged(counts, key):
+        form = {}
+        for k in counts:
+            text = key(k)
+            single = text[:-1] if text.endswith("s") and not text.endswith("ss") else None
+            known = {key(x): x for x in counts}
+            form[k] = known[single] if single in known else k
+        out = Counter()
+        for k, n in counts.items():
+            out[form[k]] += n
+        return out, form
+
+    pairs, _ = merged(pairs, " ".join)
+    words, form = merged(words, str)
+    result = Counter(words)
+    kept = {}
+    for (a, b), n in pairs.items():
+        n1, n2 = words[form[a]], words[form[b]]
+
+        def ll(k, m, x):
+            return math.log(max(x, 1e-10)) * k + math.log(max(1 - x, 1e-10)) * (m - k)
+
+        if total <= n1 or total <= n2:
+            continue
+        p, p1, p2 = n2 / total, n / n1, (n2 - n) / (total - n1)
+        score = -2 * (ll(n, n1, p) + ll(n2 - n, total - n1, p) - ll(n, n1, p1) - ll(n2 - n, total - n1, p2))
+        if score > 30:
+            kept[f"{a} {b}"] = n
+            result[form[a]] -= n
+            result[form[b]] -= n
+    result.update(kept)
+    return {t: n for t, n in result.items() if n > 0}
+
+
+def test_cloud_against_brute_force(spark):
+    got = {r.term: r.n for r in terms.cloud_counts(frame_of(spark, TEXTS)).collect()}
+    expected = brute_cloud(TEXTS)
+    assert got == expected
+    assert any(" " in t for t in expected) and "pools" not in expected and "7" not in expected
+
+
+def test_cloud_of_nothing(spark):
+    assert terms.cloud_counts(frame_of(spark, ["a the", None])).collect() == []
+
+
+def test_term_counts(spark):
+    got = {r.term: r.n for r in terms.term_counts(frame_of(spark, TEXTS)).collect()}
+    assert not set(got) & stop_words()
+    assert got["swimming"] == 36 and got["pool"] == 4 + 24 and got["123"] == 1 and got["bar's"] == 1
+
+
+def test_own_stop_list(spark):
+    stop = spark.createDataFrame([("pool",), ("pool",), ("zzz",)], "term string")
+    got = {r.term for r in terms.term_counts(frame_of(spark, TEXTS), stop).collect()}
+    assert "pool" not in got and "the" in got
+
+
+def test_top_terms(spark):
+    counts = spark.createDataFrame([("b", 2), ("a", 2), ("c", 4), ("d", 1)], "term string, n long")
+    got = [tuple(r) for r in terms.top_terms(counts, 3).collect()]
+    assert got == [("c", 4, 1.0), ("a", 2, 0.5), ("b", 2, 0.5)]
+
+
+@pytest.mark.parametrize("texts, length, enough", [(["abcd", "efgh"], 9, False), (["abcd", "efghi"], 10, True), ([], 0, False)])
+def test_text_gate(spark, texts, length, enough):
+    assert terms.text_gate(frame_of(spark, texts or ["x"]).where(F.lit(bool(texts)))).first() == (length, enough)
+
+
+def test_pair_scores_need_no_cross_join(spark):
+    plan = terms.collocations(frame_of(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

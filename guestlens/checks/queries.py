@@ -29,7 +29,8 @@ SITE_MARKER = "###"  # occurs in titles of the given pages
 LINK_LIMIT = 100
 REVIEW_CAP = 10
 
-_STORED = [c for c in REVIEW.names if c not in ("created_at", *ENRICHMENT_COLUMNS)]
+_LEFT_OUT = ["created_at", "review_month"]
+_STORED = [c for c in REVIEW.names if c not in (*_LEFT_OUT, *ENRICHMENT_COLUMNS)]
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -41,9 +42,9 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def scan_reviews(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "reviews")
-    derived.enriched_reviews(spark, sf).write.parquet(path)
+    writers.write_by_month(derived.enriched_reviews(spark, sf), path, "append")
     return _rounded(
-        readers.read_reviews(spark, path).drop("created_at"),
+        readers.read_reviews(spark, path).drop(*_LEFT_OUT),
         "score", "sentiment_score_pos", "sentiment_score_neg", "sentiment_score_neu",
     )
 
@@ -124,7 +125,7 @@ def corpus_by_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def explorer(spark: SparkSession, sf: str) -> DataFrame:
-    found = analysis.explorer(derived.enriched_reviews(spark, sf), HOTEL, START, END).drop("created_at")
+    found = analysis.explorer(derived.enriched_reviews(spark, sf), HOTEL, START, END).drop(*_LEFT_OUT)
     return _rounded(
         found, "score", "compound_score", "sentiment_score_pos", "sentiment_score_neg", "sentiment_score_neu"
     )

@@ -56,9 +56,17 @@ def filter_dates(df: DataFrame, start: datetime.date | None, end: datetime.date
     """Rows dated from `start` to `end`, both included; no filter unless both are given."""
     if start is None or end is None:
         return df
+    if "review_month" in df.columns:  # prunes the partitions of a stored table
+        df = df.where(F.col("review_month").between(F.lit(start.replace(day=1)), F.lit(end)))
     return df.where(F.col("review_date").between(F.lit(start), F.lit(end)))
 
 
+def filter_months(df: DataFrame, months: list[datetime.date | None]) -> DataFrame:
+    """Rows of the given months of a stored table; None stands for undated rows."""
+    chosen = F.col("review_month").isin([m for m in months if m is not None])
+    return df.where(chosen | F.col("review_month").isNull() if None in months else chosen)
+
+
 def corpus(df: DataFrame, column: str, label: str) -> DataFrame:
     """(text): the column where it exists, else title and cleaned text of rows with the label."""
     if column in df.columns:

@@ -8,7 +8,9 @@ RAW_COLUMNS = ["hotel_name", "hotel_url", "title", "score", "positive", "negativ
 RAW_REVIEW = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 # The stored table. `review_date` is parsed once at ingest so that date filters
-# reach the Parquet scan; the raw text stays next to it.
+# reach the Parquet scan; the raw text stays next to it. The table is partitioned by
+# `review_month`, the first day of the month: date filters prune partitions, and since
+# the date is part of the hash, a review can only repeat one of its own month.
 REVIEW = T.StructType(
     [
         T.StructField("seq", T.LongType()),
@@ -28,6 +30,7 @@ REVIEW = T.StructType(
         T.StructField("sentiment_score_neg", T.DoubleType()),
         T.StructField("sentiment_score_neu", T.DoubleType()),
         T.StructField("created_at", T.TimestampType()),
+        T.StructField("review_month", T.DateType()),
     ]
 )
 

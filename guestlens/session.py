@@ -15,7 +15,6 @@ TUNING = {
     # where every partition of one side is measured to be small, hash it, do not sort texts
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 _local_dirs: dict[str, str] = {}

@@ -89,4 +89,6 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages as single HTML files; the file name is the url, its hash the id."""
     files = spark.read.text(path, wholetext=True)
     name = F.input_file_name()
-    return files.select(F.xxhash64(name).alias("page_id"), name.alias("url"), F.col("value").alias("html"))
+    # 43 bits, so that page and place of a link still fit one number
+    page_id = F.shiftrightunsigned(F.xxhash64(name), 21)
+    return files.select(page_id.alias("page_id"), name.alias("url"), F.col("value").alias("html"))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from guestlens.functions.dates import parse_review_date
 from guestlens.functions.scores import normalize_score
-from guestlens.operators.dedup import distinct_records, duplicate_stats
 from guestlens.schema import RAW_COLUMNS, REVIEW
 from guestlens.session import stage
 from guestlens.sources.readers import CSV_OPTIONS
@@ -31,7 +30,16 @@ def stored_form(raw: DataFrame) -> DataFrame:
     }
     if "seq" not in raw.columns:
         columns["seq"] = F.lit(None).cast("bigint")
-    return raw.withColumns(columns).select(*REVIEW.names)
+    stored = raw.withColumns(columns)
+    return stored.withColumn("review_month", F.trunc("review_date", "month")).select(*REVIEW.names)
+
+
+def write_by_month(reviews: DataFrame, path: str, mode: str) -> None:
+    """Writes stored rows partitioned by month. The rebalance gathers each month's rows
+    into few files and splits a month that holds much of the data over many tasks.
+    Overwriting replaces all months at the path."""
+    spread = reviews.hint("rebalance", "review_month")
+    spread.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("review_month").parquet(path)
 
 
 def export_projection(reviews: DataFrame) -> DataFrame:
@@ -57,10 +65,10 @@ def append_reviews(new: DataFrame, table_path: str, csv_path: str | None = None)
     `new` holds raw reviews with hash. It is staged when it feeds both sinks.
     """
     if csv_path is None:
-        stored_form(new).write.mode("append").parquet(table_path)
+        write_by_month(stored_form(new), table_path, "append")
         return
     staged = stage(new, "new-reviews")
-    stored_form(staged).write.mode("append").parquet(table_path)
+    write_by_month(stored_form(staged), table_path, "append")
     write_review_csv(staged, csv_path, mode="append")
 
 
@@ -71,17 +79,17 @@ def save_bucketed(reviews: DataFrame, name: str, buckets: int) -> None:
 
 
 def rewrite_distinct(df: DataFrame, name: str = "distinct") -> tuple[DataFrame, int]:
-    """Whole-row distinct into a new table, made only when there are duplicates.
+    """Whole-row distinct in a new table, for use only when there are duplicates.
 
-    Returns the frame to use from now on and the number of rows removed. The input path
-    is never overwritten; the caller switches to the new one.
+    Returns the frame to use from now on, which is the given one when nothing was
+    removed, and the number of rows removed. One shuffle yields both. The input path is
+    never overwritten; the caller switches to the new one.
     """
-    removed = duplicate_stats(df).first()["removed_rows"]
-    if removed == 0:
-        return df, 0
-    return stage(distinct_records(df), name), removed
+    copies = stage(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies")), name)
+    removed = copies.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))).first()[0]
+    return (copies.drop("_copies"), removed) if removed else (df, 0)
 
 
 def create_table(spark: SparkSession, path: str, schema=REVIEW) -> None:
     """Empty table at a new path; an existing table is kept."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("review_month").parquet(path)

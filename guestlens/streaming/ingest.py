@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from guestlens.functions.dates import parse_review_date
 from guestlens.operators.dedup import keep_first, new_rows, with_hash
+from guestlens.operators.filters import filter_months
 from guestlens.schema import RAW_REVIEW, REVIEW
 from guestlens.session import stage
-from guestlens.sources.writers import create_table, stored_form, write_review_csv
+from guestlens.sources.writers import create_table, stored_form, write_by_month, write_review_csv
 
 BATCHED_REVIEW = T.StructType([*REVIEW.fields, T.StructField("batch_id", T.LongType())])
 SEQUENCED_RAW = T.StructType([T.StructField("seq", T.LongType()), *RAW_REVIEW.fields])
@@ -28,17 +30,21 @@ def ingest_batch(batch: DataFrame, batch_id: int, table_path: str, csv_path: str
 
     The batch owns the partition `batch_id=<id>` and compares itself with the others
     only, so running it again after a crash replaces its own output and adds nothing.
-    Within the batch the smallest seq wins; across batches the earlier one.
+    Within the batch the smallest seq wins; across batches the earlier one. Only the
+    months that occur in the batch are read from the table.
     Returns the number of rows of the batch after its own duplicates are gone.
     """
     spark = batch.sparkSession
-    arrived = stage(keep_first(with_hash(batch), ["seq"]), "arrived")
-    rows = arrived.count()
+    first = keep_first(with_hash(batch), ["seq"])
+    arrived = stage(first.withColumn("review_month", F.trunc(parse_review_date(F.col("date")), "month")), "arrived")
+    # at most one row per calendar month
+    by_month = arrived.groupBy("review_month").count().collect()
+    rows = sum(r["count"] for r in by_month)
     earlier = read_table(spark, table_path).where(F.col("batch_id") < batch_id)
-    fresh = new_rows(arrived, earlier, rows)
+    fresh = new_rows(arrived, filter_months(earlier, [r["review_month"] for r in by_month]), rows)
     if csv_path is not None:
         fresh = stage(fresh, "fresh")
-    stored_form(fresh).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+    write_by_month(stored_form(fresh), f"{table_path}/batch_id={batch_id}", "overwrite")
     if csv_path is not None:
         write_review_csv(fresh, f"{csv_path}/batch_id={batch_id}")
     return rows

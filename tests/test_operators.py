@@ -82,12 +82,25 @@ def test_ingesting_twice_adds_nothing(spark, tmp_path):
 
 
 def test_date_filter_reaches_the_scan(spark, tmp_path):
-    writers.create_table(spark, str(tmp_path / "t"))
+    writers.append_reviews(dedup.with_hash(raw(spark, [(1, "h", "a")])), str(tmp_path / "t"))
     table = readers.read_reviews(spark, str(tmp_path / "t"))
     chosen = filters.filter_dates(filters.filter_hotel(filters.prepare(table), "h"), D(2024, 1, 1), D(2024, 2, 1))
-    plan = plan_of(chosen.select("score"))
+    plan = chosen.select("score")._jdf.queryExecution().executedPlan().collectLeaves().head().verboseStringWithOperatorId()
     assert "GreaterThanOrEqual(review_" in plan and "EqualTo(hotel_name,h)" in plan
     assert "ReadSchema: struct<hotel_name:string,score:double,review_date:date>" in plan
+    assert "PartitionFilters: [isnotnull(review_month" in plan
+
+
+def test_table_is_partitioned_by_month(spark, tmp_path):
+    rows = raw(spark, [(1, "h", "a"), (2, "h", "b"), (3, "h", "c")])
+    dates = F.when(F.col("seq") == 1, "2024-01-05").when(F.col("seq") == 2, "2024-03-31").otherwise("nope")
+    writers.append_reviews(dedup.with_hash(rows.withColumn("date", dates)), str(tmp_path / "t"))
+    table = readers.read_reviews(spark, str(tmp_path / "t"))
+    assert {r.seq: r.review_month for r in table.collect()} == {1: D(2024, 1, 1), 2: D(2024, 3, 1), 3: None}
+    assert [r.seq for r in filters.filter_dates(table, D(2024, 3, 31), D(2024, 4, 2)).collect()] == [2]
+    chosen = {m: [r.seq for r in filters.filter_months(table, m).collect()] for m in ((D(2024, 1, 1),), (None,), ())}
+    assert chosen == {(D(2024, 1, 1),): [1], (None,): [3], (): []}
+    assert sorted(r.seq for r in filters.filter_months(table, (None, D(2024, 3, 1))).collect()) == [2, 3]
 
 
 def test_exact_distinct_and_stats(spark):

@@ -29,6 +29,11 @@ def test_stream_ingest_and_replay(spark, tmp_path):
     # a batch that ran but was not recorded runs again: its own rows are replaced
     ingest.ingest_batch(raw(spark, [(0, "a"), (4, "c")]), 1, table)
     assert stored(spark, table) == expected
+    # even when the second run finds fewer rows and months
+    ingest.ingest_batch(raw(spark, [(0, "a"), (4, "c")]).withColumn("date", F.lit("2024-02-07")), 1, table)
+    assert stored(spark, table) == [(0, 1, "a"), (0, 2, "b"), (1, 0, "a"), (1, 4, "c")]
+    ingest.ingest_batch(raw(spark, [(0, "a"), (4, "c")]), 1, table)
+    assert stored(spark, table) == expected
     # everything again under a new number adds nothing
     ingest.ingest_batch(raw(spark, [(7, "a"), (8, "b"), (9, "c")]), 3, table)
     assert stored(spark, table) == expected

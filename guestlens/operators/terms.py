@@ -66,9 +66,15 @@ def _word_and_next_counts(texts: DataFrame) -> DataFrame:
     return kept.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _singular(word: Column) -> Column:
-    """Word without its plural s; null when it has none."""
-    return F.when(word.endswith("s") & ~word.endswith("ss"), F.substring(word, F.lit(1), F.length(word) - 1))
+def _stem(word: Column) -> Column:
+    """Word without a plural s. A stem belongs to two words at most, itself and its plural."""
+    plural = word.endswith("s") & ~word.endswith("ss")
+    return F.when(plural, F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+
+
+def _shown(stem: Column, has_singular: Column) -> Column:
+    """A plural reads as its singular where that occurs, else as itself."""
+    return F.when(has_singular, stem).otherwise(F.concat(stem, F.lit("s")))
 
 
 def _weighted_log(k: Column, n: Column, x: Column) -> Column:
@@ -92,33 +98,28 @@ def collocation_score(pair: Column, first: Column, second: Column, total: Column
 
 
 def _collocation_parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Word counts and scored pair counts, plurals merged into singulars that occur."""
+    """Words as (stem, n, single) and scored pairs as (s1, s2, w1, w2, n, score).
+
+    Plurals are merged by grouping on the stem, so the only joins bring the counts of
+    both words to each pair.
+    """
     counts = stage(_word_and_next_counts(texts), "term-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = counts.groupBy(F.col("w1").alias("word")).agg(F.sum("n").alias("n"))
-
-    known = words.select(F.col("word").alias("base"))
-    forms = words.join(known, _singular(F.col("word")) == F.col("base"), "left").select(
-        "word", F.coalesce("base", "word").alias("form"), "n"
-    )
-    word_counts = forms.groupBy("form").agg(F.sum("n").alias("n"))
-    lookup = forms.select("word", "form").join(word_counts, "form").select("word", "form", "n")
-
-    pairs = counts.where(F.col("w2").isNotNull())
-    known_pairs = pairs.select(F.col("w1").alias("b1"), F.col("w2").alias("b2"))
-    same_pair = (F.col("w1") == F.col("b1")) & (_singular(F.col("w2")) == F.col("b2"))
-    merged = (
-        pairs.join(known_pairs, same_pair, "left")
-        .groupBy("w1", F.coalesce("b2", "w2").alias("w2"))
-        .agg(F.sum("n").alias("n"))
+    words = counts.groupBy(_stem(F.col("w1")).alias("stem")).agg(
+        F.sum("n").alias("n"), F.max(F.col("w1") == _stem(F.col("w1"))).alias("single")
     )
-    scored = (
-        merged.join(lookup.select(F.col("word").alias("w1"), F.col("form").alias("f1"), F.col("n").alias("n1")), "w1")
-        .join(lookup.select(F.col("word").alias("w2"), F.col("form").alias("f2"), F.col("n").alias("n2")), "w2")
-        .withColumn("score", collocation_score(F.col("n"), F.col("n1"), F.col("n2"), F.lit(float(total))))
-        .where(F.col("score") > COLLOCATION_SCORE)
+    pairs = (
+        counts.where(F.col("w2").isNotNull())
+        .groupBy("w1", _stem(F.col("w2")).alias("s2"))
+        .agg(F.sum("n").alias("n"), F.max(F.col("w2") == _stem(F.col("w2"))).alias("single2"))
+        .withColumn("s1", _stem(F.col("w1")))
+        .withColumn("w2", _shown(F.col("s2"), F.col("single2")))
     )
-    return word_counts, scored
+    first = words.select(F.col("stem").alias("s1"), F.col("n").alias("n1"))
+    second = words.select(F.col("stem").alias("s2"), F.col("n").alias("n2"))
+    score = collocation_score(F.col("n"), F.col("n1"), F.col("n2"), F.lit(float(total)))
+    scored = pairs.join(first, "s1").join(second, "s2").withColumn("score", score)
+    return words, scored.where(F.col("score") > COLLOCATION_SCORE).select("s1", "s2", "w1", "w2", "n", "score")
 
 
 def collocations(texts: DataFrame) -> DataFrame:
@@ -130,12 +131,12 @@ def cloud_counts(texts: DataFrame) -> DataFrame:
     """(term, n) of words and collocations; words give up what their pairs take."""
     words, pairs = _collocation_parts(texts)
     pairs = stage(pairs, "collocations")
-    taken = pairs.select(F.explode(F.array("f1", "f2")).alias("term"), (-F.col("n")).alias("n"))
+    taken = pairs.select(F.explode(F.array("s1", "s2")).alias("stem"), (-F.col("n")).alias("n"))
     left = (
-        words.select(F.col("form").alias("term"), "n")
-        .unionByName(taken)
-        .groupBy("term")
-        .agg(F.sum("n").alias("n"))
+        words.unionByName(taken.withColumn("single", F.lit(False)))
+        .groupBy("stem")
+        .agg(F.sum("n").alias("n"), F.max("single").alias("single"))
         .where(F.col("n") > 0)
+        .select(_shown(F.col("stem"), F.col("single")).alias("term"), "n")
     )
     return left.unionByName(pairs.select(F.concat_ws(" ", "w1", "w2").alias("term"), "n"))

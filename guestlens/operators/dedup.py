@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guestlens.functions.identity import review_hash
-from guestlens.schema import RAW_COLUMNS
+from guestlens.functions.identity import HASHED_COLUMNS, review_hash
+from guestlens.schema import RAW_COLUMNS, require_columns
 
 # Bytes that one hash takes in a broadcast relation, rounded up.
 _HASH_BYTES = 100
@@ -12,7 +12,7 @@ _SMALL_BATCH_BYTES = 64 * 1024 * 1024
 
 
 def with_hash(df: DataFrame) -> DataFrame:
-    return df.withColumn("review_hash", review_hash())
+    return require_columns(df, HASHED_COLUMNS).withColumn("review_hash", review_hash())
 
 
 def keep_first(df: DataFrame, order: list[str | Column], key: str = "review_hash") -> DataFrame:

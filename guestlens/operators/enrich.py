@@ -81,7 +81,7 @@ def with_language(df: DataFrame, profiles: dict[str, list[str]] = LANGUAGE_PROFI
 
 
 def with_model_language(df: DataFrame, load_model: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
-    """Language from a model, loaded once per Python worker. Labels may carry a
+    """Language from a model, loaded once per task. Labels may carry a
     `__label__` prefix; short texts and failing calls read `unknown`."""
 
     @F.pandas_udf("string")
@@ -152,7 +152,7 @@ def predict_in_batches(predict, texts: list[str], batch_size: int = BATCH_SIZE)
 
 
 def with_model_sentiment(df: DataFrame, load_model: LoadModel, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Sentiment from a model per language, each loaded once per Python worker.
+    """Sentiment from a model per language, each loaded at most once per task.
 
     `load_model(language)` returns a function from texts to (label, probabilities);
     classes missing from the probabilities read 0. Only text and language are sent.

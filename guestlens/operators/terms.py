@@ -101,10 +101,15 @@ def _collocation_parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Words as (stem, n, single) and scored pairs as (s1, s2, w1, w2, n, score).
 
     Plurals are merged by grouping on the stem, so the only joins bring the counts of
-    both words to each pair.
+    both words to each pair. Both are empty when there is too little text for a cloud.
     """
     counts = stage(_word_and_next_counts(texts), "term-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, letters = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.length("w1")), F.lit(0))
+    ).first()
+    # counted words that are long enough prove that the texts are; only few need measuring
+    if letters < MIN_TEXT and not text_gate(texts).first()["enough"]:
+        counts = counts.where(F.lit(False))
     words = counts.groupBy(_stem(F.col("w1")).alias("stem")).agg(
         F.sum("n").alias("n"), F.max(F.col("w1") == _stem(F.col("w1"))).alias("single")
     )

@@ -16,6 +16,7 @@ from guestlens.operators.workplan import (
     pending,
     work_chunks,
 )
+from guestlens.schema import require_columns
 from guestlens.session import stage
 from guestlens.sources.writers import stored_form
 
@@ -35,6 +36,7 @@ def review_records(pages: DataFrame) -> DataFrame:
 
     `pages` has page_id, url, page_no, hotel_name, html. Bad or empty pages give no rows.
     """
+    require_columns(pages, ["page_id", "page_no", "url", "hotel_name", "html"])
     found = _extracted(pages).select(
         "page_id", "page_no", "hotel_name", F.col("url").alias("hotel_url"), F.posexplode("_found.records")
     )

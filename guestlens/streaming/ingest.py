@@ -1,6 +1,8 @@
 """Stream ingest: batches of raw reviews into the review table, each review once."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -25,17 +27,18 @@ def read_table(spark: SparkSession, table_path: str) -> DataFrame:
     return spark.read.schema(BATCHED_REVIEW).parquet(table_path)
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, table_path: str, csv_path: str | None = None) -> int:
+def ingest_batch(batch: DataFrame, batch_id: int, table_path: str, csv_path: str | None = None) -> dict[str, int]:
     """Writes the reviews of one batch that earlier batches did not bring.
 
     The batch owns the partition `batch_id=<id>` and compares itself with the others
     only, so running it again after a crash replaces its own output and adds nothing.
     Within the batch the smallest seq wins; across batches the earlier one. Only the
     months that occur in the batch are read from the table.
-    Returns the number of rows of the batch after its own duplicates are gone.
+    Returns batch_size and newly_saved.
     """
     spark = batch.sparkSession
-    first = keep_first(with_hash(batch), ["seq"])
+    size = Observation()
+    first = keep_first(with_hash(batch.observe(size, F.count(F.lit(1)).alias("n"))), ["seq"])
     arrived = stage(first.withColumn("review_month", F.trunc(parse_review_date(F.col("date")), "month")), "arrived")
     # at most one row per calendar month
     by_month = arrived.groupBy("review_month").count().collect()
@@ -47,17 +50,29 @@ def ingest_batch(batch: DataFrame, batch_id: int, table_path: str, csv_path: str
     write_by_month(stored_form(fresh), f"{table_path}/batch_id={batch_id}", "overwrite")
     if csv_path is not None:
         write_review_csv(fresh, f"{csv_path}/batch_id={batch_id}")
-    return rows
+    # the plan of an empty batch may leave the observation out
+    batch_size = size.get["n"] if rows else 0
+    saved = read_table(spark, table_path).where(F.col("batch_id") == batch_id).count()  # from file footers
+    return {"batch_size": batch_size, "newly_saved": saved}
 
 
 def start_ingest(
-    batches: DataFrame, table_path: str, checkpoint: str, csv_path: str | None = None
+    batches: DataFrame,
+    table_path: str,
+    checkpoint: str,
+    csv_path: str | None = None,
+    report: Callable[[int, dict[str, int]], None] | None = None,
 ) -> StreamingQuery:
-    """Ingests all that is available, then stops. One query is the one writer of the table."""
+    """Ingests all that is available, then stops. One query is the one writer of the table.
+
+    `report` gets the number and the counts of each batch.
+    """
     create_table(batches.sparkSession, table_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, table_path, csv_path)
+        counts = ingest_batch(batch, batch_id, table_path, csv_path)
+        if report is not None:
+            report(batch_id, counts)
 
     return (
         batches.writeStream.foreachBatch(write)

@@ -107,6 +107,7 @@ def test_exact_distinct_and_stats(spark):
     rows = [("a", None), ("a", None), ("a", ""), ("b", "x")]
     frame = spark.createDataFrame(rows, "a string, b string")
     assert dedup.duplicate_stats(frame).first() == (4, 3, 1)
+    assert dedup.distinct_records(frame).count() == 3
     kept, removed = writers.rewrite_distinct(frame)
     assert removed == 1 and sorted(kept.collect(), key=str) == sorted([("a", None), ("a", ""), ("b", "x")], key=str)
     same, none = writers.rewrite_distinct(kept)

@@ -19,8 +19,12 @@ def test_stream_ingest_and_replay(spark, tmp_path):
     source, table, csv = (str(tmp_path / n) for n in ("in", "out", "csv"))
     for rows in ([(1, "a"), (2, "b"), (3, "a")], [(0, "a"), (4, "c")], [(5, "c"), (6, "b")]):
         raw(spark, rows).write.mode("append").parquet(source)
-    query = ingest.start_ingest(ingest.read_batches(spark, source), table, str(tmp_path / "offsets"), csv)
+    counts = {}
+    query = ingest.start_ingest(
+        ingest.read_batches(spark, source), table, str(tmp_path / "offsets"), csv, counts.__setitem__
+    )
     query.awaitTermination()
+    assert [tuple(counts[i].values()) for i in range(3)] == [(3, 2), (2, 1), (2, 0)]
     expected = [(0, 1, "a"), (0, 2, "b"), (1, 4, "c")]
     assert stored(spark, table) == expected
     written = [readers.read_review_csv(spark, f"{csv}/batch_id={i}") for i in (0, 1)]

@@ -79,6 +79,10 @@ def test_cloud_against_brute_force(spark):
 
 def test_cloud_of_nothing(spark):
     assert terms.cloud_counts(frame_of(spark, ["a the", None])).collect() == []
+    # nine characters are too few, ten are enough
+    assert terms.cloud_counts(frame_of(spark, ["pool", None, "bars"])).collect() == []
+    assert {r.term for r in terms.cloud_counts(frame_of(spark, ["pool", None, "plaza"])).collect()} == {"pool", "plaza"}
+    assert terms.cloud_counts(frame_of(spark, [None])).collect() == []
 
 
 def test_term_counts(spark):

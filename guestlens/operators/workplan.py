@@ -50,31 +50,36 @@ def limit_links(links: DataFrame, limit: int) -> DataFrame:
     return links.orderBy("first_pos").limit(limit) if limit > 0 else links
 
 
-def work_chunks(links: DataFrame, workers: int = WORKERS) -> DataFrame:
-    """Position of each link and its contiguous chunk of size n // workers + 1.
+def number_rows(rows: DataFrame, *order: str | Column, name: str = "position", total: str | None = None) -> DataFrame:
+    """Adds the place of each row, from 0, in the given order, and the row count if asked for.
 
-    Positions come from a range-sorted copy: place within the partition plus the sizes
-    of the partitions before it. Only one number per partition is ordered globally.
-    The copy is staged because the boundaries of a range shuffle are sampled, and both
+    Places come from a range-sorted copy: place within the partition plus the sizes of
+    the partitions before it. Only one number per partition is ordered globally. The
+    copy is staged because the boundaries of a range shuffle are sampled, and both
     readers must see the same ones.
     """
-    placed = links.repartitionByRange("first_pos").sortWithinPartitions("first_pos")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # partition number in the upper bits, running number in the lower 33
-    placed = stage(placed.withColumn("_id", F.monotonically_increasing_id()), "work-order")
+    placed = stage(placed.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_id", 33).alias("_part")
     place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part).agg((F.max(place) + 1).alias("_size"))
     running = F.sum("_size").over(Window.orderBy("_part"))
-    offsets = sizes.select("_part", (running - F.col("_size")).alias("_offset"), F.sum("_size").over(Window.partitionBy()).alias("_total"))
-    size = F.floor(F.col("_total") / workers) + 1
+    whole = F.sum("_size").over(Window.partitionBy())
+    offsets = sizes.select("_part", (running - F.col("_size")).alias("_offset"), whole.alias("_total"))
     # one row per shuffle partition, so this side is small by construction
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn("position", F.col("_offset") + place)
-        .withColumn("chunk", F.floor(F.col("position") / size))
-        .drop("_id", "_part", "_offset", "_total")
-    )
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    numbered = numbered.withColumn(name, F.col("_offset") + place)
+    if total is not None:
+        numbered = numbered.withColumn(total, F.col("_total"))
+    return numbered.drop("_id", "_part", "_offset", "_total")
+
+
+def work_chunks(links: DataFrame, workers: int = WORKERS) -> DataFrame:
+    """Position of each link and its contiguous chunk of size n // workers + 1."""
+    numbered = number_rows(links, "first_pos", total="_links")
+    size = F.floor(F.col("_links") / workers) + 1
+    return numbered.withColumn("chunk", F.floor(F.col("position") / size)).drop("_links")
 
 
 def cap_per_hotel(

@@ -4,8 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from guestlens.checks.oracles import ORACLES
+from guestlens.checks.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +15,8 @@ def db(sf):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -3,11 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestlens.llm import exact, mixing
+from guestlens.llm import exact, mixing, simhash
 from guestlens.llm.common import read
 from guestlens.session import stage
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(read(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -24,6 +28,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
 }

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestlens.llm import exact, mixing, simhash
+from guestlens.llm import exact, hosts, mixing, neighbours, simhash
 from guestlens.llm.common import read
 from guestlens.session import stage
 
@@ -16,6 +16,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, names = mixing.mix_sources(read(spark, sf_dir, "documents"))
     return mixed.select(
@@ -27,8 +31,14 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge_urls(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_mix_sources": op5_mix_sources,
+    "op10_judge_urls": op10_judge_urls,
 }

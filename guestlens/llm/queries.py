@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestlens.llm import exact, hosts, mixing, neighbours, simhash
+from guestlens.llm import exact, hosts, licences, mixing, neighbours, simhash
 from guestlens.llm.common import read
 from guestlens.session import stage
 
@@ -20,6 +20,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(read(spark, sf_dir, "embeddings"))
 
 
+def op4_scan_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(read(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, names = mixing.mix_sources(read(spark, sf_dir, "documents"))
     return mixed.select(
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_scan_licences": op4_scan_licences,
     "op5_mix_sources": op5_mix_sources,
     "op10_judge_urls": op10_judge_urls,
 }

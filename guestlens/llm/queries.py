@@ -3,9 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestlens.llm import exact, hosts, licences, mixing, neighbours, simhash
+from guestlens.llm import article, exact, hosts, licences, mixing, neighbours, pieces, private, simhash, toxicity
 from guestlens.llm.common import read
-from guestlens.session import stage
+
+
+def piece_model() -> str:
+    """Place of the vocabulary file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +41,31 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = article.extract_articles(read(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op7_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest_pieces(read(spark, sf_dir, "documents"), piece_model())
+
+
+def op8_find_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.find_toxic(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_find_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in private.BASE_KINDS),
+        F.sha2(private.span_digest(F.col("found"), base_only=True), 256).alias("base_sha256"),
+        private.span_digest(F.col("found"), base_only=False).alias("spans"),
+        F.array_max(F.transform("found", lambda s: s["score"])).alias("top_score"),
+    )
+
+
 def op10_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -45,5 +76,9 @@ QUERIES = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_scan_licences": op4_scan_licences,
     "op5_mix_sources": op5_mix_sources,
+    "op6_extract_articles": op6_extract_articles,
+    "op7_encode_pieces": op7_encode_pieces,
+    "op8_find_toxic": op8_find_toxic,
+    "op9_find_private": op9_find_private,
     "op10_judge_urls": op10_judge_urls,
 }

@@ -1,8 +1,9 @@
 """Review data derived from the given tables.
 
-Reviews: a document is the text of a review, its source the hotel, the event with the
-same number the score and the date, its label decides whether the text is praise,
-complaint or half of each. Pages: review and hotel pages are built around those texts.
+Reviews: a document is the text of a review, its source the hotel, the events that fall
+to it the score and the date, its label decides whether the text is praise, complaint or
+half of each. Every event falls to one document: its number modulo that of the documents.
+A document without events has neither score nor date. Pages: review and hotel pages are built around those texts.
 Nothing is sampled; every document and its whole text are used.
 """
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guestlens.functions.dates import ENGLISH_MONTHS, SPANISH_MONTHS
+from guestlens.functions.scores import extract_score
 from guestlens.operators.dedup import keep_first, with_hash
 from guestlens.plans.analysis import enrich_reviews
 from guestlens.sources.writers import stored_form
@@ -34,16 +36,27 @@ def _month_name(names: list[str], date: Column) -> Column:
 
 
 def first_delivery(spark: SparkSession, sf: str) -> DataFrame:
-    """One raw review per document, plus event_type and quality of its event and label."""
+    """One raw review per document, plus the number of its events, whether a mirror has it
+    (one click more than a multiple of three), whether it shows twice (the same of
+    purchases), and the quality of its label."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    events = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts", "value", "event_type")
+    documents = docs.agg(F.max("doc_id") + 1).first()[0]
+    events = table(spark, sf, "events")
+    events = events.groupBy((F.col("event_id") % documents).alias("doc_id")).agg(
+        F.min("ts").alias("ts"),
+        F.max("value").alias("value"),
+        F.count(F.lit(1)).alias("n_events"),
+        (F.count_if(F.col("event_type") == "click") % 3 == 1).alias("mirrored"),
+        (F.count_if(F.col("event_type") == "purchase") % 3 == 1).alias("twice"),
+    )
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    base = docs.join(events, "doc_id").join(labels, "doc_id", "left")
+    base = docs.join(events, "doc_id", "left").join(labels, "doc_id", "left")
 
     n, text, v, quality = F.col("doc_id"), F.col("text"), F.col("value"), F.col("quality")
+    no = F.lit(False)
     tenth = (F.floor(v * 10) % 10).cast("string")
     score = (
-        F.when(n % 17 == 0, "No score")
+        F.when((n % 17 == 0) | v.isNull(), "No score")
         .when(n % 5 == 0, F.concat(F.floor(v / 50).cast("string"), F.lit(","), tenth))
         .otherwise(F.concat(F.lit("Score: "), F.floor(v).cast("string"), F.lit("."), tenth))
     )
@@ -57,7 +70,7 @@ def first_delivery(spark: SparkSession, sf: str) -> DataFrame:
     day = F.date_add(F.to_date("ts"), (n % 400).cast("int"))
     english = [m.capitalize() for m in ENGLISH_MONTHS]
     date = (
-        F.when(n % 23 == 0, "sin fecha")
+        F.when((n % 23 == 0) | day.isNull(), "sin fecha")
         .when(
             n % 2 == 0,
             F.concat_ws(" ", F.lit("Reviewed:"), F.day(day), _month_name(english, day), F.year(day)),
@@ -76,11 +89,16 @@ def first_delivery(spark: SparkSession, sf: str) -> DataFrame:
         positive.alias("positive"),
         negative.alias("negative"),
         date.alias("date"),
-        "event_type",
+        F.coalesce("n_events", F.lit(0)).alias("n_events"),
+        F.coalesce("mirrored", no).alias("mirrored"),
+        F.coalesce("twice", no).alias("twice"),
         "quality",
     )
 
 
+HELPERS = ["n_events", "mirrored", "twice", "quality"]
+
+
 def _mirrored(first: DataFrame, is_mirror: Column) -> DataFrame:
     """The rows as the mirror delivers them where `is_mirror`, unchanged elsewhere."""
 
@@ -92,30 +110,31 @@ def _mirrored(first: DataFrame, is_mirror: Column) -> DataFrame:
             "seq": change("seq", F.col("seq") + MIRROR_OFFSET),
             "hotel_name": change("hotel_name", F.concat("hotel_name", F.lit(" (mirror)"))),
             "score": change("score", F.lit("Score: 5.0")),
+            "n_events": change("n_events", F.lit(0)),
         }
     )
 
 
 def second_delivery(first: DataFrame) -> DataFrame:
-    """A mirror delivers the reviews of the click events once more under its own name."""
-    return _mirrored(first.where(F.col("event_type") == "click"), F.lit(True))
+    """A mirror delivers some reviews once more under its own name."""
+    return _mirrored(first.where("mirrored"), F.lit(True))
 
 
 def deliveries(spark: SparkSession, sf: str) -> DataFrame:
     """Both deliveries, made from one pass over the tables."""
-    sides = F.when(F.col("event_type") == "click", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    sides = F.when(F.col("mirrored"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     both = first_delivery(spark, sf).withColumn("_mirror", F.explode(sides))
     return _mirrored(both, F.col("_mirror")).drop("_mirror")
 
 
 def raw_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return deliveries(spark, sf).drop("event_type", "quality")
+    return deliveries(spark, sf).drop(*HELPERS)
 
 
 def labelled_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """The part already stored when a new batch arrives: first deliveries with a label."""
     first = first_delivery(spark, sf)
-    return first.where(F.col("quality").isNotNull()).drop("event_type", "quality")
+    return first.where(F.col("quality").isNotNull()).drop(*HELPERS)
 
 
 def stored_reviews(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,28 +157,35 @@ def _tag(opening: str, content: Column) -> Column:
 def review_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Captured review pages: at most 600 consecutive reviews of a hotel on each.
 
-    Reviews without text get the generic body row; those of purchase events appear twice.
+    Reviews without text get the generic body row. Some appear twice, the second time with
+    other texts that end in the same record: the bare score, and a body row beside a text.
     """
     raw = deliveries(spark, sf)
     no_text = (F.col("positive") == "") & (F.col("negative") == "")
-    block = F.concat(
-        F.lit('<div data-testid="review" class="c-review-block">'),
-        _tag('h3 data-testid="review-title"', _escaped(F.col("title"))),
-        _tag('div class="badge bui-review-score__badge"', F.col("score")),
-        _tag('span data-testid="review-date"', F.col("date")),
-        F.when(
-            F.col("positive") != "",
-            _tag('div data-testid="review-positive-text"', _tag("div", _escaped(F.col("positive")))),
-        ).otherwise(""),
-        F.when(F.col("negative") != "", _tag('p class="c-review__body--negative"', _escaped(F.col("negative")))).otherwise(
-            ""
-        ),
-        F.when(no_text, _tag('div class="c-review-block__row"', F.concat(F.lit("body of "), F.col("seq")))).otherwise(""),
-        F.lit("</div>"),
-    )
-    times = F.when(F.col("event_type") == "purchase", 2).otherwise(1)
+    no_body = _tag('div class="c-review-block__row"', F.concat(F.lit("body of "), F.col("seq")))
+    bare = extract_score(F.col("score"))
+
+    def block(score: Column, body: Column) -> Column:
+        return F.concat(
+            F.lit('<div data-testid="review" class="c-review-block">'),
+            _tag('h3 data-testid="review-title"', _escaped(F.col("title"))),
+            _tag('div class="badge bui-review-score__badge"', score),
+            _tag('span data-testid="review-date"', F.col("date")),
+            F.when(
+                F.col("positive") != "",
+                _tag('div data-testid="review-positive-text"', _tag("div", _escaped(F.col("positive")))),
+            ).otherwise(""),
+            F.when(
+                F.col("negative") != "", _tag('p class="c-review__body--negative"', _escaped(F.col("negative")))
+            ).otherwise(""),
+            body,
+            F.lit("</div>"),
+        )
+
+    once = block(F.col("score"), F.when(no_text, no_body).otherwise(""))
+    blocks = F.when(F.col("twice"), F.concat(once, block(bare, no_body))).otherwise(once)
     page_no = F.floor(F.col("seq") / SEQS_PER_PAGE)
-    blocks = raw.select("hotel_name", "hotel_url", page_no.alias("page_no"), "seq", F.repeat(block, times).alias("b"))
+    blocks = raw.select("hotel_name", "hotel_url", page_no.alias("page_no"), "seq", blocks.alias("b"))
     # a page spans 600 sequence numbers, so the list below has at most 600 items
     pages = blocks.groupBy("hotel_url", "hotel_name", "page_no").agg(
         F.min("seq").alias("page_id"), F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("bs")
@@ -220,7 +246,9 @@ def search_pages(spark: SparkSession, sf: str) -> DataFrame:
         '<div data-testid="property-card"><a class="x e3859ef1a4" href="/hotel/', (F.col("page_id") % 97).cast("string"),
         '">A</a><a data-testid="title-link" href="', F.col("url"),
         '">B</a><h3 class="c-property-card__title"><span><a href="https://stay.example/card/', F.col("page_id").cast("string"),
-        '">C</a></span></h3><a class="other" href="/ad">D</a><a data-testid="title-link" href="">E</a></div>',
+        '">C</a></span></h3><a class="other" href="/ad">D</a><a data-testid="title-link" href="">E</a>',
+        "<a title=it's class=e3859ef1a4 href=\"/a/./b/../../hotel/", (F.col("page_id") % 89).cast("string"),
+        '?a=1&amp;b=2">F</a></div>',
     ]
     front = F.concat(*(F.lit(c) if isinstance(c, str) else c for c in cards))
     return table(spark, sf, "pages").select("page_id", "url", F.concat(front, F.col("html")).alias("html"))

@@ -18,7 +18,7 @@ def _quoted(words) -> str:
 
 _STOP = _quoted(sorted(stop_words()))
 _RAW = ", ".join(RAW_COLUMNS)
-_TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_'']+"
+_TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_'']*"
 _BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+"
 _START, _END = f"DATE '{queries.START}'", f"DATE '{queries.END}'"
 
@@ -53,34 +53,38 @@ _FULL = _strip("coalesce(title, '') || ' ' || coalesce(positive, '') || ' ' || c
 
 # raw: both deliveries; review_date and quality are truths the operators do not see.
 RAW = f"""
+happened AS (
+  SELECT event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, min(ts) AS ts, max(value) AS v, count(*) AS n_events,
+    count(*) FILTER (event_type = 'click') % 3 = 1 AS mirrored, count(*) FILTER (event_type = 'purchase') % 3 = 1 AS twice
+  FROM events GROUP BY 1),
 base AS (
-  SELECT d.doc_id AS n, d.text, d.source, e.value AS v, e.event_type, l.quality,
-         CAST(e.ts AS DATE) + CAST(d.doc_id % 400 AS INTEGER) AS dt
-  FROM documents d JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id),
+  SELECT d.doc_id AS n, d.text, d.source, e.v, coalesce(e.n_events, 0) AS n_events, coalesce(e.mirrored, false) AS mirrored,
+    l.quality, CAST(e.ts AS DATE) + CAST(d.doc_id % 400 AS INTEGER) AS dt
+  FROM documents d LEFT JOIN happened e ON e.doc_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id),
 first_delivery AS (
   SELECT n AS seq, source AS hotel_name,
     'https://stay.example/' || source || '/' || (n % 3) AS hotel_url,
     split_part(text, '.', 1) AS title,
-    CASE WHEN n % 17 = 0 THEN 'No score'
+    CASE WHEN n % 17 = 0 OR v IS NULL THEN 'No score'
          WHEN n % 5 = 0 THEN CAST(floor(v / 50) AS BIGINT) || ',' || (CAST(floor(v * 10) AS BIGINT) % 10)
          ELSE 'Score: ' || CAST(floor(v) AS BIGINT) || '.' || (CAST(floor(v * 10) AS BIGINT) % 10) END AS score,
     CASE WHEN quality = 0 THEN '' WHEN quality = 1 THEN text
          ELSE substr(text, 1, length(text) // 2) END AS positive,
     CASE WHEN quality = 1 OR (quality = 0 AND n % 2 = 0) THEN '' WHEN quality = 0 THEN text
          ELSE substr(text, length(text) // 2 + 1) END AS negative,
-    CASE WHEN n % 23 = 0 THEN 'sin fecha'
+    CASE WHEN n % 23 = 0 OR dt IS NULL THEN 'sin fecha'
          WHEN n % 2 = 0 THEN 'Reviewed: ' || day(dt) || ' '
               || list_extract([{_quoted(m.capitalize() for m in ENGLISH_MONTHS)}], CAST(month(dt) AS INTEGER)) || ' ' || year(dt)
          ELSE 'Comentó el: ' || day(dt) || ' de '
               || list_extract([{_quoted(SPANISH_MONTHS)}], CAST(month(dt) AS INTEGER)) || ' de ' || year(dt) END AS date,
-    event_type, quality, CASE WHEN n % 23 <> 0 THEN dt END AS review_date
+    n_events, mirrored, quality, CASE WHEN n % 23 <> 0 THEN dt END AS review_date
   FROM base),
 raw AS (
   SELECT * FROM first_delivery
   UNION ALL
   SELECT seq + {derived.MIRROR_OFFSET}, hotel_name || ' (mirror)', hotel_url, title, 'Score: 5.0', positive,
-         negative, date, event_type, quality, review_date
-  FROM first_delivery WHERE event_type = 'click')"""
+         negative, date, 0, mirrored, quality, review_date
+  FROM first_delivery WHERE mirrored)"""
 
 # csv_prepared: raw rows as the dashboard sees them without enrichment.
 CSV_PREPARED = f"""
@@ -96,6 +100,9 @@ stored AS (
          {_HASH} AS review_hash
   FROM raw QUALIFY row_number() OVER (PARTITION BY {_HASH} ORDER BY seq) = 1)"""
 
+# the same when the labelled reviews were stored ahead of the others
+_LABELLED_FIRST = STORED.replace("ORDER BY seq", f"ORDER BY (quality IS NULL OR seq >= {derived.MIRROR_OFFSET}), seq")
+
 
 def _votes(source: str, name: str) -> str:
     """Processed text, tokens and language of every row of `source`."""
@@ -150,16 +157,28 @@ hrefs AS (
   FROM anchors WHERE {_HREF} IS NOT NULL),
 links AS (
   SELECT CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href
-              ELSE regexp_extract(page_url, '^[a-z]+://[^/?#]*') || href END AS url,
-         page_url, page_id * 1000000 + place AS pos FROM hrefs),
-harvest AS (SELECT url, min(pos) AS first_pos FROM links GROUP BY url),
+              ELSE regexp_extract(page_url, '^[a-z]+://[^/?#]*') || href END AS url, page_id, place FROM hrefs),
+harvest AS (
+  SELECT url, page_id AS first_page, place AS first_place FROM links
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, place) = 1)"""
+
+# hotel links of the search pages, which stand in front of the given pages' own content
+HOTEL_LINKS = """
+cards AS (
+  SELECT page_id, url AS page_url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin FROM pages),
+links AS (
+  SELECT page_id, page_url, unnest([origin || '/hotel/' || (page_id % 97), page_url, 'https://stay.example/card/' || page_id,
+      origin || '/hotel/' || (page_id % 89) || '?a=1&b=2']) AS url, unnest([0, 1, 2, 3]) AS place FROM cards),
+harvest AS (
+  SELECT url, page_id AS first_page, place AS first_place FROM links
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, place) = 1),
 visited AS (SELECT DISTINCT url FROM links WHERE page_url LIKE 'https:%'),
 pending AS (SELECT * FROM harvest WHERE url NOT IN (SELECT url FROM visited))"""
 
 
 def _chunks(source: str) -> str:
-    position = "row_number() OVER (ORDER BY first_pos) - 1"
-    return f"""SELECT url, first_pos, {position} AS position,
+    position = "row_number() OVER (ORDER BY first_page, first_place) - 1"
+    return f"""SELECT url, first_page, first_place, {position} AS position,
   ({position}) // ((SELECT count(*) FROM {source}) // 8 + 1) AS chunk FROM {source}"""
 
 
@@ -193,7 +212,7 @@ def _terms(column: str) -> str:
     )
 
 
-def _cloud_ctes(column: str) -> str:
+def _cloud_ctes(column: str, source: str = "raw") -> str:
     def llr(k: str, n: str, x: str) -> str:
         return f"(ln(greatest({x}, 1e-10)) * {k} + ln(greatest(1 - {x}, 1e-10)) * ({n} - {k}))"
 
@@ -207,7 +226,7 @@ def _cloud_ctes(column: str) -> str:
 bag AS (
   SELECT seq, list_filter(list_transform(regexp_extract_all(lower({column}), '{_TOKEN}'),
          lambda w: regexp_replace(w, '''s$', '')), lambda w: NOT regexp_full_match(w, '\p{{Nd}}+')) AS ws
-  FROM raw WHERE {column} IS NOT NULL),
+  FROM {source} WHERE {column} IS NOT NULL),
 word_at AS (SELECT seq, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM bag),
 neighbours AS (SELECT w AS w1, lead(w) OVER (PARTITION BY seq ORDER BY i) AS w2 FROM word_at),
 uni AS (SELECT w, count(*) AS c FROM word_at WHERE w NOT IN ({_STOP}) GROUP BY w),
@@ -232,18 +251,17 @@ together AS (
   SELECT *, {score} AS g2 FROM scored WHERE total > c1 AND total > c2 AND {score} > 30)"""
 
 
-def _cloud(column: str) -> str:
-    return _with(
-        RAW,
-        _cloud_ctes(column),
-        body="""SELECT term, n, round(n / max(n) OVER (), 6) AS weight FROM (
-  SELECT term, CAST(n AS BIGINT) AS n FROM (
+_CLOUD = """SELECT term, CAST(n AS BIGINT) AS n FROM (
     SELECT f AS term, sum(c) AS n FROM (
       SELECT f, c FROM words UNION ALL SELECT f1, -c FROM together UNION ALL SELECT f2, -c FROM together)
     GROUP BY f HAVING sum(c) > 0
     UNION ALL SELECT w1 || ' ' || w2, c FROM together)
-  ORDER BY n DESC, term LIMIT 50)""",
-    )
+  ORDER BY n DESC, term LIMIT 50"""
+
+
+def _cloud(column: str) -> str:
+    body = f"SELECT term, n, round(n / max(n) OVER (), 6) AS weight FROM ({_CLOUD})"
+    return _with(RAW, _cloud_ctes(column), body=body)
 
 
 _RANKING = """SELECT hotel_name, round(c, 6) AS compound_score FROM (
@@ -259,8 +277,7 @@ _CHOSEN = f"review_date BETWEEN {_START} AND {_END}"
 
 def _top_terms_of(column: str) -> str:
     return f"""SELECT 'terms_{column}' AS section, term AS item, CAST(n AS DOUBLE) AS value FROM (
-  SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower({column}), '{_TOKEN}')) AS term FROM chosen)
-  WHERE term NOT IN ({_STOP}) GROUP BY term ORDER BY n DESC, term LIMIT 50)"""
+  WITH {_cloud_ctes(column, "chosen")} {_CLOUD})"""
 
 
 ORACLES: dict[str, str] = {
@@ -319,18 +336,15 @@ FROM prepared"""
         body="""SELECT seq, hotel_name, review_date, round(score, 6) AS score, round(compound_score, 6) AS compound_score
 FROM csv_prepared""",
     ),
-    "link_harvest": _with(LINKS, body="SELECT url, first_pos FROM harvest"),
-    "hotel_links": """WITH cards AS (
-  SELECT page_id, unnest([regexp_extract(url, '^[a-z]+://[^/?#]*') || '/hotel/' || (page_id % 97), url,
-                          'https://stay.example/card/' || page_id]) AS link, unnest([0, 1, 2]) AS place FROM pages)
-SELECT link AS url, min(page_id * 1000000 + place) AS first_pos FROM cards GROUP BY link""",
+    "link_harvest": _with(LINKS, body="FROM harvest"),
+    "hotel_links": _with(HOTEL_LINKS, body="FROM harvest"),
     "processed_urls": _with(RAW, body="SELECT DISTINCT hotel_url AS url FROM raw"),
-    "resume_pending": _with(LINKS, body="SELECT url, first_pos FROM pending"),
+    "resume_pending": _with(HOTEL_LINKS, body="FROM pending"),
     "resume_limited": _with(
-        LINKS, body=f"SELECT url, first_pos FROM pending ORDER BY first_pos LIMIT {queries.LINK_LIMIT}"
+        HOTEL_LINKS, body=f"FROM pending ORDER BY first_page, first_place LIMIT {queries.LINK_LIMIT}"
     ),
-    "work_chunks": _with(LINKS, body=_chunks("harvest")),
-    "work_plan": _with(LINKS, body=_chunks("pending")),
+    "work_chunks": _with(HOTEL_LINKS, body=_chunks("harvest")),
+    "work_plan": _with(HOTEL_LINKS, body=_chunks("pending")),
     "per_hotel_cap": _with(
         RAW,
         body=f"""SELECT seq, seq // 25 AS page_no, seq % 25 AS pos, {_RAW} FROM raw
@@ -359,7 +373,12 @@ GROUP BY page_id, hotel_name, hotel_url, title, positive, negative, date""",
   (SELECT count(DISTINCT h) FROM (SELECT {_HASH} AS h FROM raw) WHERE h NOT IN (
      SELECT {_HASH} FROM first_delivery WHERE quality IS NOT NULL)) AS newly_saved""",
     ),
-    "review_count": _with(RAW, body="SELECT count(*) AS reviews FROM raw"),
+    "review_count": _with(RAW, body="SELECT count(*) AS reviews, (SELECT count(*) FROM events) AS events FROM raw"),
+    "date_rejects": _with(
+        RAW,
+        body="""SELECT count(review_date) AS dated, count(*) FILTER (trim(date) = '') AS blank,
+  count(*) FILTER (review_date IS NULL AND trim(date) <> '') AS unread FROM raw""",
+    ),
     "hotel_list": _with(
         RAW, CSV_PREPARED, body="SELECT DISTINCT coalesce(hotel_name, 'None') AS hotel_name FROM csv_prepared"
     ),
@@ -437,7 +456,7 @@ SELECT url, {_strip(f"regexp_replace({_strip('t')}, '-+$', '')")} FROM (
     "ingest": _with(
         RAW, RECORDS,
         f"""capped AS (SELECT *, {_HASH} AS review_hash FROM records
-  QUALIFY row_number() OVER (PARTITION BY hotel_url ORDER BY page_no, pos) <= {queries.REVIEW_CAP})""",
+  QUALIFY row_number() OVER (PARTITION BY hotel_url ORDER BY page_no, pos) <= 1000)""",
         f"""held AS (SELECT {_hash('hotel_url', 'date', _shown('title'), _shown('positive'), _shown('negative'))} AS h
   FROM first_delivery WHERE quality IS NOT NULL)""",
         body=f"""SELECT hotel_name, hotel_url, title, round({_number('score')}, 6) AS score, positive, negative, date, review_date,
@@ -445,6 +464,12 @@ SELECT url, {_strip(f"regexp_replace({_strip('t')}, '-+$', '')")} FROM (
 QUALIFY row_number() OVER (PARTITION BY review_hash ORDER BY page_no, page_id, pos) = 1""",
     ),
     "language_detect": _with(RAW, _votes("raw", "spoken"), body="SELECT seq, language FROM spoken"),
+    "language_model": _with(
+        RAW,
+        f"shown AS (SELECT seq, {_clean(_FULL)} AS t FROM raw)",
+        body="""SELECT seq, CASE WHEN length(t) < 3 THEN 'unknown'
+  WHEN length(replace(t, 'e', '')) < length(replace(t, 'o', '')) THEN 'en' ELSE 'es' END AS language FROM shown""",
+    ),
     "sentiment_score": _with(
         RAW, STORED, ENRICHED,
         body=f"SELECT seq, language, sentiment_label, {_SCORES} FROM enriched WHERE language IN ('es', 'en')",
@@ -463,6 +488,10 @@ QUALIFY row_number() OVER (PARTITION BY review_hash ORDER BY page_no, page_id, p
         RAW, STORED, ENRICHED,
         body=f"SELECT seq, language, full_review_processed, sentiment_label, {_SCORES} FROM enriched",
     ),
+    "enrich_stored": _with(
+        RAW, _LABELLED_FIRST, ENRICHED,
+        body=f"SELECT seq, language, full_review_processed, sentiment_label, {_SCORES} FROM enriched",
+    ),
     "dashboard_overview": _with(
         RAW, STORED, ENRICHED, PREPARED,
         f"chosen AS (SELECT * FROM prepared WHERE {_CHOSEN})",
@@ -483,7 +512,7 @@ UNION ALL {_top_terms_of('negative')})""",
     ),
     "stream_dedup": _with(
         RAW,
-        body=f"SELECT DISTINCT {_HASH} AS review_hash, hotel_url, date FROM raw WHERE review_date IS NOT NULL",
+        body=f"SELECT DISTINCT {_HASH} AS review_hash, hotel_url, date FROM raw",
     ),
     "stream_trend": """SELECT last_day(CAST(ts AS DATE)) AS month, count(*) AS reviews, round(avg(value), 6) AS mean_value
 FROM events GROUP BY last_day(CAST(ts AS DATE))""",

@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guestlens.checks import derived
 from guestlens.functions import markup
@@ -29,7 +30,7 @@ SITE_MARKER = "###"  # occurs in titles of the given pages
 LINK_LIMIT = 100
 REVIEW_CAP = 10
 
-_LEFT_OUT = ["created_at", "review_month"]
+_LEFT_OUT = ["created_at", "review_month", "ingest_id"]
 _STORED = [c for c in REVIEW.names if c not in (*_LEFT_OUT, *ENRICHMENT_COLUMNS)]
 
 
@@ -42,7 +43,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def scan_reviews(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "reviews")
-    writers.write_by_month(derived.enriched_reviews(spark, sf), path, "append")
+    writers.write_by_month(derived.enriched_reviews(spark, sf), path, "first")
     return _rounded(
         readers.read_reviews(spark, path).drop(*_LEFT_OUT),
         "score", "sentiment_score_pos", "sentiment_score_neg", "sentiment_score_neu",
@@ -79,9 +80,9 @@ def ingest_new_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    first = derived.first_delivery(spark, sf).select(*RAW_COLUMNS, "event_type")
-    again = first.where("event_type = 'click'")
-    return writers.rewrite_distinct(first.unionByName(again).drop("event_type"))[0]
+    first = derived.first_delivery(spark, sf).select(*RAW_COLUMNS, "mirrored")
+    again = first.where("mirrored")
+    return writers.rewrite_distinct(first.unionByName(again).drop("mirrored"))[0]
 
 
 def scan_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,8 +149,8 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _visited(spark: SparkSession, sf: str) -> DataFrame:
-    """Links found on the pages captured over https count as visited."""
-    return workplan.harvest_anchors(_pages(spark, sf).where(F.col("url").startswith("https:")))
+    """Hotel links found on the pages captured over https count as visited."""
+    return workplan.harvest_hotel_links(derived.search_pages(spark, sf).where(F.col("url").startswith("https:")))
 
 
 def link_harvest(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,7 +166,7 @@ def processed_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
-    return workplan.pending(link_harvest(spark, sf), _visited(spark, sf))
+    return workplan.pending(hotel_links(spark, sf), _visited(spark, sf))
 
 
 def resume_limited(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,11 +174,11 @@ def resume_limited(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def work_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return workplan.work_chunks(link_harvest(spark, sf))
+    return workplan.work_chunks(hotel_links(spark, sf))
 
 
 def work_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.work_plan(_pages(spark, sf), _visited(spark, sf))
+    return ingest.work_plan(derived.search_pages(spark, sf), _visited(spark, sf))
 
 
 def per_hotel_cap(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,7 +220,12 @@ def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def review_count(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.review_count(derived.raw_reviews(spark, sf))
+    """Reviews of both deliveries, and the events behind them, each of which counts once."""
+    return metrics.review_count(derived.deliveries(spark, sf), F.sum("n_events").alias("events"))
+
+
+def date_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.date_rejects(derived.raw_reviews(spark, sf))
 
 
 def hotel_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,7 +340,7 @@ def ingest_(spark: SparkSession, sf: str) -> DataFrame:
     labelled = derived.labelled_reviews(spark, sf)
     shown = {c: F.trim(F.regexp_replace(c, r"[ \t\r\n\f]+", " ")) for c in ("title", "positive", "negative")}
     stored = dedup.with_hash(labelled.withColumns(shown))
-    new = ingest.ingest_pages(derived.review_pages(spark, sf), stored, REVIEW_CAP, derived.SITE)
+    new = ingest.ingest_pages(derived.review_pages(spark, sf), stored, site_marker=derived.SITE)
     return _rounded(new.select(*(c for c in _STORED if c != "seq")), "score")
 
 
@@ -375,6 +381,32 @@ def sentiment_batches(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scored.select("seq", "language", "sentiment_label", *names), *names)
 
 
+def letter_model() -> Callable[[list[str]], list[str]]:
+    """A language model small enough to be written in SQL too: more e than o is English."""
+
+    def predict(texts: list[str]) -> list[str]:
+        return ["__label__en" if t.count("e") > t.count("o") else "__label__es" for t in texts]
+
+    return predict
+
+
+def language_model(spark: SparkSession, sf: str) -> DataFrame:
+    texts = enrich.with_processed_text(derived.raw_reviews(spark, sf))
+    return enrich.with_model_language(texts, letter_model).select("seq", "language")
+
+
+def enrich_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled reviews are stored and enriched, then the others are, then the table
+    is enriched again, which touches the new rows only. Content after all that."""
+    path = new_path(spark, "reviews")
+    writers.create_table(spark, path)
+    for batch in (derived.labelled_reviews(spark, sf), derived.raw_reviews(spark, sf)):
+        writers.append_reviews(ingest.ingest_raw(batch, readers.read_reviews(spark, path)), path)
+        writers.store_enrichment(spark, path, lambda rows: analysis.enrich_reviews(rows, derived.LEXICON))
+    names = ["sentiment_score_pos", "sentiment_score_neg", "sentiment_score_neu"]
+    return _rounded(readers.read_reviews(spark, path).select("seq", *ENRICHMENT_COLUMNS), *names)
+
+
 def enrich_(spark: SparkSession, sf: str) -> DataFrame:
     names = ["sentiment_score_pos", "sentiment_score_neg", "sentiment_score_neu"]
     return _rounded(derived.enriched_reviews(spark, sf).select("seq", *ENRICHMENT_COLUMNS), *names)
@@ -393,25 +425,29 @@ def _delivered_files(spark: SparkSession, sf: str) -> str:
     path = new_path(spark, "delivered")
     first = derived.first_delivery(spark, sf)
     for part in (first, derived.second_delivery(first)):
-        part.drop("event_type", "quality").write.mode("append").parquet(path)
+        part.drop(*derived.HELPERS).write.mode("append").parquet(path)
     return path
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    table_path = new_path(spark, "reviews")
-    batches = stream_ingest_.read_batches(spark, _delivered_files(spark, sf), files_per_batch=4)
-    stream_ingest_.start_ingest(batches, table_path, new_path(spark, "offsets")).awaitTermination()
-    kept = stream_ingest_.read_table(spark, table_path)
+    """A batch run fills the table with the labelled reviews, a stream adds what is new,
+    and another stream with a fresh checkpoint delivers everything again."""
+    table_path, delivered = new_path(spark, "reviews"), _delivered_files(spark, sf)
+    writers.append_reviews(dedup.with_hash(derived.labelled_reviews(spark, sf)), table_path)
+    for files in (4, 8):
+        batches = stream_ingest_.read_batches(spark, delivered, files_per_batch=files)
+        stream_ingest_.start_ingest(batches, table_path, new_path(spark, "offsets")).awaitTermination()
+    kept = readers.read_reviews(spark, table_path)
     return kept.select("hotel_url", "date", "title", "positive", "negative", "review_hash")
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    raw = spark.readStream.schema(stream_ingest_.SEQUENCED_RAW).parquet(_delivered_files(spark, sf))
-    timed = dedup.with_hash(raw).withColumn("event_time", parse_review_date(F.col("date")).cast("timestamp"))
-    kept = trend.dedup_within(timed.where("event_time is not null"), "event_time", "800 days")
-    out = new_path(spark, "distinct")
-    trend.write_append(kept.select("review_hash", "hotel_url", "date"), out, new_path(spark, "offsets")).awaitTermination()
-    return spark.read.schema("review_hash string, hotel_url string, date string").parquet(out)
+    """The first arrival of every hash, late and undated reviews included."""
+    batches = stream_ingest_.read_batches(spark, _delivered_files(spark, sf), files_per_batch=4)
+    out, columns = new_path(spark, "distinct"), "review_hash string, hotel_url string, date string"
+    kept = T.StructType.fromDDL(columns)
+    stream_ingest_.start_distinct(batches, out, new_path(spark, "offsets"), kept).awaitTermination()
+    return spark.read.schema(kept).parquet(out).select(*kept.names)
 
 
 def stream_trend(spark: SparkSession, sf: str) -> DataFrame:
@@ -420,7 +456,7 @@ def stream_trend(spark: SparkSession, sf: str) -> DataFrame:
     timed = events.select(F.col("ts").cast("timestamp").alias("event_time"), "value")
     out = new_path(spark, "daily")
     trend.write_latest(trend.daily_trend(timed, "event_time", "value"), out, new_path(spark, "offsets")).awaitTermination()
-    daily = spark.read.schema("day date, n long, total double, n_valued long").parquet(out)
+    daily = trend.read_latest(spark, out, "day date, n long, total double, n_valued long")
     return _rounded(trend.monthly_from_daily(daily), "mean_value")
 
 
@@ -453,6 +489,7 @@ QUERIES: dict[str, Query] = {
     "dedup_stats": dedup_stats,
     "ingest_stats": ingest_stats,
     "review_count": review_count,
+    "date_rejects": date_rejects,
     "hotel_list": hotel_list,
     "date_bounds": date_bounds,
     "kpis": kpis,
@@ -486,9 +523,11 @@ QUERIES: dict[str, Query] = {
     "rejects": rejects,
     "ingest": ingest_,
     "language_detect": language_detect,
+    "language_model": language_model,
     "sentiment_score": sentiment_score,
     "sentiment_batches": sentiment_batches,
     "enrich": enrich_,
+    "enrich_stored": enrich_stored,
     "dashboard_overview": dashboard_overview,
     "stream_ingest": stream_ingest,
     "stream_dedup": stream_dedup,

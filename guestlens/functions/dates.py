@@ -35,10 +35,13 @@ def month_numbers() -> dict[str, int]:
 
 
 _WEEKDAY = rf"^(?:{'|'.join(WEEKDAYS)}),?\s+"
-_DAY_FIRST = r"^(\d{1,2})(?:st|nd|rd|th)?\s+(?:de\s+)?(\p{L}+)\.?,?\s+(?:del?\s+)?(\d{4})$"
-_MONTH_FIRST = r"^(\p{L}+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})$"
-_ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[t ]\d{2}:\d{2}.*)?$"
-_NUMERIC = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$"
+# A time of day after the date is allowed and ignored.
+_TIME = r"(?:,?[t\s]\s*(?:at\s+|a\s+las\s+)?\d{1,2}:\d{2}.*)?$"
+_YEAR = r"(\d{4}|\d{2})"
+_DAY_FIRST = rf"^(\d{{1,2}})(?:st|nd|rd|th)?[\s\-]+(?:de\s+)?(\p{{L}}+)\.?,?[\s\-]+(?:del?\s+)?{_YEAR}{_TIME}"
+_MONTH_FIRST = rf"^(\p{{L}}+)\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){_TIME}"
+_ISO = rf"^(\d{{4}})[/.\-](\d{{1,2}})[/.\-](\d{{1,2}}){_TIME}"
+_NUMERIC = rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-]{_YEAR}{_TIME}"
 
 _SEPARATOR = "\u0001"  # cannot be typed into a date text
 
@@ -50,8 +53,10 @@ def _joined(*groups: int) -> str:
 def parse_review_date(raw: Column) -> Column:
     """Date of a review text, null when blank or in no accepted form.
 
-    Accepted: `3 de octubre de 2023`, `20 Oct 2023`, `October 20, 2023`, `2023-10-20`,
-    `20/10/2023` (day first; month first only when the day-first reading is no date).
+    Accepted: `3 de octubre de 2023`, `20 Oct 23`, `October 20, 2023`, `2023-10-20`,
+    `2023/10/20`, `20/10/2023` (day first; month first only when the day-first reading is
+    no date), each with or without a time of day. Years of two digits lie within 1969 to
+    2068, as in POSIX.
     """
     text = F.lower(raw)
     for prefix in DATE_PREFIXES:
@@ -67,6 +72,8 @@ def parse_review_date(raw: Column) -> Column:
 
     def resolve(parts: Column) -> Column:
         year, middle, last = (F.get(parts, F.lit(i)) for i in range(3))
+        short = year.try_cast("int") + F.when(year.try_cast("int") < 69, 2000).otherwise(1900)
+        year = F.when(F.length(year) == 2, short.cast("string")).otherwise(year)
         month = F.coalesce(F.try_element_at(months, middle), middle)
         found = F.try_to_date(F.concat_ws("-", year, month, last), "y-M-d")
         swapped = F.when(F.size(parts) == 4, F.try_to_date(F.concat_ws("-", year, last, middle), "y-M-d"))

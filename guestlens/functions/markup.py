@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from guestlens.functions import page_texts
 from guestlens.functions.text import null_to_empty, strip
 
-# A tag body in which quoted values may hold '>'.
-_ATTRS = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
+# A tag body in which quoted values may hold '>'. A quote opens a value only after '='.
+_ATTRS = r"""(?:[^>=]|=(?!\s*["'])|=\s*"[^"]*"|=\s*'[^']*')*+"""
 
 # Schema.org types that name a hotel, and the words a script must
 # contain to be looked at.
@@ -22,6 +22,7 @@ SCRIPT_WORDS = ["Hotel", "LodgingBusiness"]
 TITLE_NOISE = "Updated Prices"
 
 # Pages without any of these strings are never sent to Python.
+NAME_MARKS = [v for rule in page_texts.NAME_ELEMENTS.values() for _, _, v in rule]
 HEAD_MARKS = [v for rule in (page_texts.NAME_ELEMENTS | page_texts.COUNT_ELEMENTS).values() for _, _, v in rule]
 REVIEW_MARKS = [v for _, _, v in page_texts.REVIEW_ITEM]
 LINK_MARKS = [v for _, _, v in page_texts.HOTEL_LINKS + page_texts.HOTEL_LINK_PARENT]
@@ -31,8 +32,13 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-_FOUND = _strings("error").add("records", T.ArrayType(_strings(*page_texts.REVIEW_FIELDS)))
-_HEAD = _strings(*page_texts.NAME_ELEMENTS, "count_sidebar").add("count_links", T.ArrayType(T.StringType()))
+_FOUND = (
+    _strings("error")
+    .add("records", T.ArrayType(_strings(*page_texts.REVIEW_FIELDS)))
+    .add("errors", T.ArrayType(T.StringType()))
+)
+_HEAD = _strings("error", *page_texts.NAME_ELEMENTS, "count_sidebar").add("count_links", T.ArrayType(T.StringType()))
+_LINKS = _strings("error").add("hrefs", T.ArrayType(T.StringType()))
 
 
 def _if_marked(html: Column, marks: list[str]) -> Column:
@@ -44,19 +50,16 @@ def _if_marked(html: Column, marks: list[str]) -> Column:
 
 @F.pandas_udf(_FOUND)
 def _review_blocks(html: pd.Series) -> pd.DataFrame:
-    records, errors = [], []
+    rows = []
     for page in html:
-        found, error = [], None
+        found, bad, error = [], [], None
         if page is not None:
             try:
-                # equal records of one page count once, in first-seen order
-                rows = page_texts.review_records(page)
-                found = [dict(items) for items in dict.fromkeys(tuple(r.items()) for r in rows)]
+                found, bad = page_texts.review_records(page)
             except Exception as e:  # a bad page becomes a reject, not a failed job
                 error = f"{type(e).__name__}: {e}"
-        records.append(found)
-        errors.append(error)
-    return pd.DataFrame({"error": errors, "records": records})
+        rows.append((error, found, bad))
+    return pd.DataFrame(rows, columns=_FOUND.names)
 
 
 @F.pandas_udf(_HEAD)
@@ -65,21 +68,21 @@ def _head_texts(html: pd.Series) -> pd.DataFrame:
     rows = []
     for page in html:
         try:
-            rows.append(page_texts.head_texts(page) if page is not None else empty)
-        except Exception:
-            rows.append(empty)
-    return pd.DataFrame(rows, columns=list(empty))
+            rows.append({"error": None, **(page_texts.head_texts(page) if page is not None else empty)})
+        except Exception as e:
+            rows.append({"error": f"{type(e).__name__}: {e}", **empty})
+    return pd.DataFrame(rows, columns=_HEAD.names)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _hotel_hrefs(html: pd.Series, url: pd.Series) -> pd.Series:
-    found = []
-    for page, base in zip(html, url):
+@F.pandas_udf(_LINKS)
+def _hotel_hrefs(html: pd.Series) -> pd.DataFrame:
+    rows = []
+    for page in html:
         try:
-            found.append(page_texts.hotel_hrefs(page, base) if page is not None else [])
-        except Exception:
-            found.append([])
-    return pd.Series(found)
+            rows.append((None, page_texts.hotel_hrefs(page) if page is not None else []))
+        except Exception as e:
+            rows.append((f"{type(e).__name__}: {e}", []))
+    return pd.DataFrame(rows, columns=_LINKS.names)
 
 
 @F.pandas_udf(T.StringType())
@@ -88,7 +91,8 @@ def _unescape(text: pd.Series) -> pd.Series:
 
 
 def review_blocks(html: Column) -> Column:
-    """struct(records, error): the distinct review records of a page in page order."""
+    """struct(error, records, errors): texts of the review elements of a page in page
+    order, why the page failed, and why single elements did."""
     return _review_blocks(_if_marked(html, REVIEW_MARKS))
 
 
@@ -96,8 +100,16 @@ def head_texts(html: Column) -> Column:
     return _head_texts(_if_marked(html, HEAD_MARKS))
 
 
-def hotel_hrefs(html: Column, url: Column) -> Column:
-    return _hotel_hrefs(_if_marked(html, LINK_MARKS), url)
+def name_texts(html: Column) -> Column:
+    """As `head_texts`, for the name alone: only pages without a name in JSON-LD or
+    og:title are read, and of those only the ones with a mark of a name element."""
+    undecided = json_ld_name(html).isNull() & og_title(html).isNull()
+    return _head_texts(_if_marked(F.when(undecided, html), NAME_MARKS))
+
+
+def hotel_hrefs(html: Column) -> Column:
+    """struct(error, hrefs): link targets of the result cards, as written."""
+    return _hotel_hrefs(_if_marked(html, LINK_MARKS))
 
 
 def unescape_entities(text: Column) -> Column:
@@ -107,12 +119,14 @@ def unescape_entities(text: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in the text of one tag, '' when absent."""
-    quoted = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    # from the start over whole attributes, so that values that look like one are skipped
+    before = r"""^<[A-Za-z][^\s>]*(?:\s+(?!""" + name + r"""\s*=)[^\s=>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?)*+"""
+    quoted = rf"""(?i){before}\s+{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
     return F.concat(*(F.regexp_extract(tag, quoted, i) for i in (1, 2, 3)))
 
 
 def anchor_hrefs(html: Column, tag_pattern: str = "") -> Column:
-    """Non-empty hrefs of the anchors whose tag matches `tag_pattern`, in page order."""
+    """Non-empty hrefs of the anchors whose tag matches `tag_pattern`, as written, in page order."""
     tags = F.regexp_extract_all(html, F.lit(rf"(?i)<a(?=\s){_ATTRS}>"), F.lit(0))
     if tag_pattern:
         tags = F.filter(tags, lambda t: t.rlike(tag_pattern))
@@ -120,8 +134,30 @@ def anchor_hrefs(html: Column, tag_pattern: str = "") -> Column:
     return F.filter(hrefs, lambda h: h != "")
 
 
+def _without_dots(url: Column) -> Column:
+    """Dot segments of the path resolved; only urls that have one are taken apart."""
+    pattern = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)(/[^?#]*)(.*)$"
+    segments = F.split(F.substring(F.regexp_extract(url, pattern, 2), F.lit(2), F.length(url)), "/")
+
+    def step(path: Column, segment: Column) -> Column:
+        up = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
+        return F.when(segment == "..", up).when(segment == ".", path).otherwise(F.array_append(path, segment))
+
+    none = F.array().cast("array<string>")
+    path = F.array_join(F.aggregate(segments, none, step), "/")
+    last = F.element_at(segments, -1)
+    closed = F.when(last.isin(".", "..") & (path != ""), "/").otherwise("")  # a folder stays one
+    whole = F.concat(F.regexp_extract(url, pattern, 1), F.lit("/"), path, closed, F.regexp_extract(url, pattern, 3))
+    dotted = url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:/[^?#]*)?/\.\.?(?:[/?#]|$)")
+    return F.when(dotted, whole).otherwise(url)
+
+
 def resolve_href(href: Column, page_url: Column) -> Column:
-    """Absolute form of a link, as a browser reports it (dot segments are left as they are)."""
+    """Absolute form of a decoded link, dot segments resolved, as a browser reports it."""
+    return _without_dots(_absolute(F.trim(href), F.coalesce(page_url, F.lit(""))))
+
+
+def _absolute(href: Column, page_url: Column) -> Column:
     scheme = F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     origin = F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     bare = F.regexp_extract(page_url, r"^([^?#]*)", 1)
@@ -143,9 +179,11 @@ def json_ld_name(html: Column) -> Column:
     Scripts are read in order; one that is no valid JSON ends the search, what came
     before it still counts. A script may hold one item or a list.
     """
-    script = rf"""(?is)<script(?=\s)(?={_ATTRS}type\s*=\s*["']application/ld\+json["']){_ATTRS}>(.*?)</script"""
+    opening = rf"(?is)<script(?=\s){_ATTRS}>"
+    every = F.regexp_extract_all(F.when(html.contains("ld+json"), html), F.lit(rf"{opening}.*?</script"), F.lit(0))
+    typed = F.filter(every, lambda s: F.lower(attribute(s, "type")) == "application/ld+json")
     scripts = F.filter(
-        F.regexp_extract_all(F.when(html.contains("ld+json"), html), F.lit(script), F.lit(1)),
+        F.transform(typed, lambda s: F.regexp_extract(s, rf"{opening}(.*)</script$", 1)),
         lambda s: s.contains(SCRIPT_WORDS[0]) | s.contains(SCRIPT_WORDS[1]),
     )
 
@@ -189,7 +227,7 @@ def clean_title(title: Column, site_marker: str | None = None) -> Column:
 def hotel_name(html: Column, head: Column, site_marker: str | None = None) -> Column:
     """Name of the hotel of a page: JSON-LD, og:title, id, headings, then the title.
 
-    `head` is the column made by `head_texts(html)`.
+    `head` is the column made by `name_texts(html)` or `head_texts(html)`.
     """
     elements = ["name_by_id", "name_header", "name_testid", "name_class"]
     return F.coalesce(

@@ -5,7 +5,6 @@ they say; everything built on the answers is DataFrame code.
 """
 
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 # Element patterns of the captured pages, written tag, attribute, value.
 # "class" means that the value is one of the class names of the element.
@@ -157,15 +156,23 @@ def _walk(html, rules):
 
 
 def review_records(html):
-    """One dict of texts per review element; the first match inside it counts."""
+    """One dict of texts per review element; the first match inside it counts. Also the
+    errors of the elements that could not be read."""
     blocks = []
     for element in _walk(html, {"item": REVIEW_ITEM, **REVIEW_FIELDS}):
         if element.name == "item":
             blocks.append(element)
         for block in element.items:
             block.fields.setdefault(element.name, element)
-    texts = [{name: element.text() for name, element in b.fields.items()} for b in blocks]
-    return [{name: found.get(name, "") for name in REVIEW_FIELDS} for found in texts]
+    records, errors = [], []
+    for block in blocks:
+        try:
+            texts = {name: element.text() for name, element in block.fields.items()}
+        except Exception as e:  # drops this block only
+            errors.append(f"{type(e).__name__}: {e}")
+        else:
+            records.append({name: texts.get(name, "") for name in REVIEW_FIELDS})
+    return records, errors
 
 
 def head_texts(html):
@@ -197,9 +204,9 @@ class _LinkWalker(_Walker):
                 self.hrefs.append(href)
 
 
-def hotel_hrefs(html, page_url):
-    """Absolute link targets of the result cards, in document order."""
+def hotel_hrefs(html):
+    """Link targets of the result cards as written, references decoded, in document order."""
     walker = _LinkWalker()
     walker.feed(html)
     walker.close()
-    return [urljoin(page_url or "", href) for href in walker.hrefs]
+    return walker.hrefs

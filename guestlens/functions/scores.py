@@ -26,8 +26,8 @@ def normalize_score(text: Column) -> Column:
 
 def normalize_score_number(value: Column) -> Column:
     """The same rule for a numeric column: large doubles must not pass through text,
-    where Spark would write them with an exponent."""
-    return _to_ten(F.abs(value.cast("double")))
+    where Spark would write them with an exponent. NaN is no number: null."""
+    return _to_ten(F.nanvl(F.abs(value.cast("double")), F.lit(None).cast("double")))
 
 
 def compound_sentiment(positive: Column, negative: Column) -> Column:

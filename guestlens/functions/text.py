@@ -14,8 +14,8 @@ _BLANKS = "".join(
               0x202F, 0x205F, 0x3000])
 )
 
-# Two or more letters, digits or underscores; apostrophes allowed after the first.
-TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
+# Letters, digits or underscores; apostrophes allowed after the first.
+TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_']*"
 
 
 def null_to_empty(col: Column) -> Column:

@@ -4,8 +4,9 @@ Both built-in scorers work row by row on token arrays with set tests, so enrichm
 needs no shuffle and also runs on streams. A model of the user's can replace either.
 """
 
+import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from guestlens.functions.binding import bind
 from guestlens.functions.text import clean_text, full_review_text, tokens
+from guestlens.functions.worker import worker_cached
 
 # Shortest text with a language, code of an undecided one, languages
 # that get a sentiment, sentiment classes, rows per model call.
@@ -81,12 +83,13 @@ def with_language(df: DataFrame, profiles: dict[str, list[str]] = LANGUAGE_PROFI
 
 
 def with_model_language(df: DataFrame, load_model: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
-    """Language from a model, loaded once per task. Labels may carry a
+    """Language from a model, loaded once per worker process. Labels may carry a
     `__label__` prefix; short texts and failing calls read `unknown`."""
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        predict = load_model()
+        predict = worker_cached(key, load_model)
         for texts in batches:
             codes = pd.Series([UNKNOWN] * len(texts), index=texts.index)
             usable = texts[texts.str.len() >= MIN_LANGUAGE_TEXT]
@@ -152,15 +155,15 @@ def predict_in_batches(predict, texts: list[str], batch_size: int = BATCH_SIZE)
 
 
 def with_model_sentiment(df: DataFrame, load_model: LoadModel, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Sentiment from a model per language, each loaded at most once per task.
+    """Sentiment from a model per language, each loaded at most once per worker process.
 
     `load_model(language)` returns a function from texts to (label, probabilities);
     classes missing from the probabilities read 0. Only text and language are sent.
     """
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("struct<label:string,probas:map<string,double>>")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = lru_cache(maxsize=len(SCORED_LANGUAGES))(load_model)
         for texts, languages in batches:
             labels: list[str | None] = [None] * len(texts)
             probas: list[dict | None] = [None] * len(texts)
@@ -168,7 +171,9 @@ def with_model_sentiment(df: DataFrame, load_model: LoadModel, batch_size: int =
                 at = [i for i, found in enumerate(languages) if found == code]
                 if not at:
                     continue
-                predictions = predict_in_batches(model(code), [texts.iloc[i] for i in at], batch_size)
+                predictions = predict_in_batches(
+                    worker_cached((key, code), partial(load_model, code)), [texts.iloc[i] for i in at], batch_size
+                )
                 for i, (label, by_class) in zip(at, predictions, strict=True):
                     labels[i], probas[i] = label, by_class
             yield pd.DataFrame({"label": labels, "probas": probas})

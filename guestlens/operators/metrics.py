@@ -1,17 +1,30 @@
 """Counts, KPIs, rankings and monthly trends."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guestlens.functions.dates import month_end
+from guestlens.functions.dates import month_end, parse_review_date
 from guestlens.functions.text import has_empty_body
+from guestlens.session import stage
 
 # Fixed value: length of the hotel ranking.
 RANKING_SIZE = 10
 
 
-def review_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("reviews"))
+def review_count(df: DataFrame, *more: Column) -> DataFrame:
+    """Number of reviews, and further aggregates if given."""
+    return df.agg(F.count(F.lit(1)).alias("reviews"), *more)
+
+
+def date_rejects(df: DataFrame) -> DataFrame:
+    """Reviews whose date text was read, is blank, or is in no accepted form. The last
+    two are left out of every metric."""
+    text, date = F.trim(F.coalesce("date", F.lit(""))), parse_review_date(F.col("date"))
+    return df.select(text.alias("_text"), date.alias("_date")).agg(
+        F.count("_date").alias("dated"),
+        F.count_if(F.col("_date").isNull() & (F.col("_text") == "")).alias("blank"),
+        F.count_if(F.col("_date").isNull() & (F.col("_text") != "")).alias("unread"),
+    )
 
 
 def empty_body_audit(df: DataFrame) -> DataFrame:
@@ -79,24 +92,20 @@ def monthly_sentiment(df: DataFrame) -> DataFrame:
 def monthly_volume(df: DataFrame) -> DataFrame:
     """Reviews per month end from the first month to the last, 0 where there are none.
 
-    The month counts, at most one per calendar month, fold into one map; the month
-    sequence looks its counts up there. So the reviews are scanned once, and the
-    calendar needs no join.
+    The month counts, at most one per calendar month, are the only thing that is joined
+    with the month sequence, so the reviews are scanned once.
     """
     counts = (
         df.where(F.col("review_date").isNotNull())
         .groupBy(month_end(F.col("review_date")).alias("month"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    folded = counts.agg(
-        F.map_from_entries(F.collect_list(F.struct("month", "n"))).alias("by_month"),
-        F.min(F.trunc("month", "month")).alias("first"),
-        F.max(F.trunc("month", "month")).alias("last"),
-    ).where(F.col("first").isNotNull())
-    months = F.explode(F.sequence("first", "last", F.expr("interval 1 month")))
+    counts = stage(counts, "months")
+    bounds = counts.agg(F.min(F.trunc("month", "month")).alias("first"), F.max(F.trunc("month", "month")).alias("last"))
+    months = F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("start")
+    calendar = bounds.where(F.col("first").isNotNull()).select(months).select(F.last_day("start").alias("month"))
     return (
-        folded.select("by_month", months.alias("start"))
-        .select(F.last_day("start").alias("month"), "by_month")
-        .select("month", F.coalesce(F.try_element_at("by_month", F.col("month")), F.lit(0)).alias("reviews"))
+        calendar.join(counts, "month", "left")
+        .select("month", F.coalesce("n", F.lit(0)).alias("reviews"))
         .orderBy("month")
     )

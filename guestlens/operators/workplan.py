@@ -10,30 +10,36 @@ from guestlens.session import stage
 MAX_REVIEWS_PER_HOTEL = 1000
 WORKERS = 8
 
-# A page holds fewer links than this; page and place are joined into one number.
-PLACES_PER_PAGE = 1_000_000
+# Harvest order of a link: the page it was first seen on, and its place there.
+LINK_ORDER = ["first_page", "first_place"]
 
 _CAP_BUCKETS = 1024
+# Cuts of so many hotels may be broadcast; beyond that texts meet them in salted parts.
+_BROADCAST_CUTS = 200_000
+_CUT_SALTS = 32
 
 
 def _first_seen(links: DataFrame) -> DataFrame:
-    position = F.col("page_id") * PLACES_PER_PAGE + F.col("place")
-    return links.groupBy("url").agg(F.min(position).alias("first_pos"))
+    first = F.min(F.struct("page_id", "place")).alias("_first")
+    return links.groupBy("url").agg(first).select(
+        "url", F.col("_first.page_id").alias("first_page"), F.col("_first.place").alias("first_place")
+    )
 
 
 def harvest_anchors(pages: DataFrame, tag_pattern: str = "") -> DataFrame:
-    """(url, first_pos) of the distinct link targets whose anchor tag matches a pattern."""
+    """(url, first_page, first_place) of the distinct link targets whose anchor tag
+    matches a pattern."""
     hrefs = markup.anchor_hrefs(F.col("html"), tag_pattern)
     links = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(hrefs).alias("place", "href"))
+    links = links.withColumn("href", markup.unescape_entities(F.col("href")))
     return _first_seen(links.withColumn("url", markup.resolve_href(F.col("href"), F.col("page_url"))))
 
 
 def harvest_hotel_links(pages: DataFrame) -> DataFrame:
-    """(url, first_pos) of the hotel links in the result cards of search pages."""
-    hrefs = markup.hotel_hrefs(F.col("html"), F.col("url"))
-    return _first_seen(
-        pages.select("page_id", hrefs.alias("hrefs")).select("page_id", F.posexplode("hrefs").alias("place", "url"))
-    )
+    """(url, first_page, first_place) of the hotel links in the result cards of search pages."""
+    found = pages.select("page_id", F.col("url").alias("page_url"), markup.hotel_hrefs(F.col("html")).alias("_found"))
+    links = found.select("page_id", "page_url", F.posexplode("_found.hrefs").alias("place", "href"))
+    return _first_seen(links.withColumn("url", markup.resolve_href(F.col("href"), F.col("page_url"))))
 
 
 def processed_urls(reviews: DataFrame) -> DataFrame:
@@ -47,7 +53,7 @@ def pending(links: DataFrame, processed: DataFrame) -> DataFrame:
 
 def limit_links(links: DataFrame, limit: int) -> DataFrame:
     """The first `limit` links in harvest order; 0 keeps all."""
-    return links.orderBy("first_pos").limit(limit) if limit > 0 else links
+    return links.orderBy(*LINK_ORDER).limit(limit) if limit > 0 else links
 
 
 def number_rows(rows: DataFrame, *order: str | Column, name: str = "position", total: str | None = None) -> DataFrame:
@@ -77,7 +83,7 @@ def number_rows(rows: DataFrame, *order: str | Column, name: str = "position", t
 
 def work_chunks(links: DataFrame, workers: int = WORKERS) -> DataFrame:
     """Position of each link and its contiguous chunk of size n // workers + 1."""
-    numbered = number_rows(links, "first_pos", total="_links")
+    numbered = number_rows(links, *LINK_ORDER, total="_links")
     size = F.floor(F.col("_links") / workers) + 1
     return numbered.withColumn("chunk", F.floor(F.col("position") / size)).drop("_links")
 
@@ -88,16 +94,20 @@ def cap_per_hotel(
     order: tuple[str, ...] = ("page_no", "pos"),
     hotel: str = "hotel_url",
     buckets: int = _CAP_BUCKETS,
+    broadcast_cuts: int = _BROADCAST_CUTS,
 ) -> DataFrame:
     """The first `limit` records of each hotel; `order` must be unique within a hotel.
 
     Only the order columns of hotels above the limit are ranked, to find where each of
     them is cut. A very large hotel is ranked in `buckets` parts first, of which each
     passes on `limit` rows at most, so no task ever holds a whole hotel. Texts are never
-    sorted; they are filtered by the cut.
+    sorted; they are filtered by the cut, one narrow row per large hotel. The cuts are
+    stored and counted: few of them are broadcast and no text is shuffled; many meet the
+    texts in salted parts, so that a giant hotel spreads over tasks.
     """
     place = F.struct(*order)
     large = records.groupBy(hotel).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    large = stage(large, "large-hotels")
     narrow = records.select(F.col(hotel), place.alias("_place"))
     # null-safe join: records without a hotel url form one group too
     narrow = narrow.join(large.select(F.col(hotel).alias("_h")), F.col(hotel).eqNullSafe(F.col("_h")), "left_semi")
@@ -108,11 +118,13 @@ def cap_per_hotel(
     ).select(hotel, "_place")
     in_hotel = F.row_number().over(Window.partitionBy(hotel).orderBy("_place"))
     cuts = head.withColumn("_rank", in_hotel).where(F.col("_rank") == limit)
-    cuts = cuts.select(F.col(hotel).alias("_h"), F.col("_place").alias("_cut"))
-    kept = records.join(cuts, F.col(hotel).eqNullSafe(F.col("_h")), "left")
+    cuts = stage(cuts.select(F.col(hotel).alias("_h"), F.col("_place").alias("_cut")), "cuts")
+    same = F.col(hotel).eqNullSafe(F.col("_h"))
+    if cuts.count() <= broadcast_cuts:
+        kept = records.join(F.broadcast(cuts), same, "left")
+    else:
+        salted = cuts.withColumn("_cut_salt", F.explode(F.sequence(F.lit(0), F.lit(_CUT_SALTS - 1))))
+        salt = F.pmod(F.xxhash64(place), F.lit(_CUT_SALTS)).cast("int")
+        kept = records.withColumn("_salt", salt).join(salted, same & (F.col("_salt") == F.col("_cut_salt")), "left")
+        kept = kept.drop("_salt", "_cut_salt")
     return kept.where(F.col("_cut").isNull() | (place <= F.col("_cut"))).drop("_h", "_cut")
-
-
-def first_records(records: DataFrame, columns: list[str | Column], n: int = 1) -> DataFrame:
-    """A look at `n` rows."""
-    return records.select(*columns).limit(n)

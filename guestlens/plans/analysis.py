@@ -31,7 +31,8 @@ def overview(
     start: datetime.date | None = None,
     end: datetime.date | None = None,
 ) -> DataFrame:
-    """All dashboard figures as rows (section, item, value).
+    """All dashboard figures as rows (section, item, value); terms are those of the
+    clouds: words and collocations, none when there is too little text.
 
     The prepared frame is staged once without its long unused columns; every section
     then scans the few columns it needs.
@@ -61,7 +62,7 @@ def overview(
         # the ranking ignores the date filter
         parts.append(rows("ranking", metrics.hotel_ranking(prepared), "hotel_name", "compound_score"))
     for column, label in (("positive", "POS"), ("negative", "NEG")):
-        counts = terms.term_counts(corpus(chosen, column, label))
+        counts = terms.cloud_counts(corpus(chosen, column, label))
         parts.append(rows(f"terms_{column}", terms.top_terms(counts), "term", "n"))
     whole = parts[0]
     for part in parts[1:]:

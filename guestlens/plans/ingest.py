@@ -1,6 +1,6 @@
 """From captured pages to new rows of the review table, and the harvest plan."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guestlens.functions import markup
@@ -11,7 +11,7 @@ from guestlens.operators.workplan import (
     MAX_REVIEWS_PER_HOTEL,
     WORKERS,
     cap_per_hotel,
-    harvest_anchors,
+    harvest_hotel_links,
     limit_links,
     pending,
     work_chunks,
@@ -22,7 +22,7 @@ from guestlens.sources.writers import stored_form
 
 
 def with_hotel_name(pages: DataFrame, site_marker: str | None = None) -> DataFrame:
-    named = pages.withColumn("_head", markup.head_texts(F.col("html")))
+    named = pages.withColumn("_head", markup.name_texts(F.col("html")))
     name = markup.hotel_name(F.col("html"), F.col("_head"), site_marker)
     return named.withColumn("hotel_name", name).drop("_head")
 
@@ -32,37 +32,52 @@ def _extracted(pages: DataFrame) -> DataFrame:
 
 
 def review_records(pages: DataFrame) -> DataFrame:
-    """One raw review per distinct review element of a page, with its place in the page.
+    """One raw review per distinct finished record of a page, with its place in the page.
 
-    `pages` has page_id, url, page_no, hotel_name, html. Bad or empty pages give no rows.
+    Records are finished first, so elements whose texts differ only in ways the record
+    does not show count once. They are distinct within the page's array, without a
+    shuffle. `pages` has page_id, url, page_no, hotel_name, html. Bad or empty pages and
+    elements that fail give no rows; see `rejects`.
     """
     require_columns(pages, ["page_id", "page_no", "url", "hotel_name", "html"])
+
+    def finished(block: Column) -> Column:
+        return F.struct(
+            block["title"].alias("title"),
+            extract_score(block["score"]).alias("score"),
+            body_fallback(block["positive"], block["negative"], block["body"]).alias("positive"),
+            block["negative"].alias("negative"),
+            block["date"].alias("date"),
+        )
+
+    records = F.array_distinct(F.transform("_found.records", finished))
     found = _extracted(pages).select(
-        "page_id", "page_no", "hotel_name", F.col("url").alias("hotel_url"), F.posexplode("_found.records")
-    )
-    block = F.col("col")
-    return found.select(
-        "page_id",
-        "page_no",
-        "pos",
-        "hotel_name",
-        "hotel_url",
-        block["title"].alias("title"),
-        extract_score(block["score"]).alias("score"),
-        body_fallback(block["positive"], block["negative"], block["body"]).alias("positive"),
-        block["negative"].alias("negative"),
-        block["date"].alias("date"),
+        "page_id", "page_no", "hotel_name", F.col("url").alias("hotel_url"), F.posexplode(records).alias("pos", "_r")
     )
+    return found.select("page_id", "page_no", "pos", "hotel_name", "hotel_url", "_r.*")
 
 
 def rejects(pages: DataFrame) -> DataFrame:
-    """(page_id, reason) of the pages that give no review: unread, failed or without any."""
-    reason = (
+    """(page_id, reason) of what gives no review: pages that are unread, failed or without
+    any, and every single review element that failed; also pages whose head or links
+    could not be read."""
+    found = _extracted(pages).select(
+        "page_id",
+        "html",
+        "_found",
+        markup.head_texts(F.col("html"))["error"].alias("_head_error"),
+        markup.hotel_hrefs(F.col("html"))["error"].alias("_link_error"),
+    )
+    page = (
         F.when(F.coalesce(F.col("html"), F.lit("")) == "", "empty_page")
         .when(F.col("_found.error").isNotNull(), F.col("_found.error"))
-        .when(F.size("_found.records") == 0, "no_reviews")
+        .when((F.size("_found.records") == 0) & (F.size("_found.errors") == 0), "no_reviews")
+    )
+    blocks = F.transform("_found.errors", lambda e: F.concat(F.lit("block: "), e))
+    parts = F.array_compact(
+        F.array(page, F.concat(F.lit("head: "), "_head_error"), F.concat(F.lit("links: "), "_link_error"))
     )
-    return _extracted(pages).select("page_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+    return found.select("page_id", F.explode(F.concat(parts, blocks)).alias("reason"))
 
 
 def ingest_pages(
@@ -88,8 +103,8 @@ def ingest_raw(raw: DataFrame, existing: DataFrame, batch_rows: int | None = Non
 
 
 def work_plan(
-    pages: DataFrame, processed: DataFrame, tag_pattern: str = "", limit: int = 0, workers: int = WORKERS
+    pages: DataFrame, processed: DataFrame, limit: int = 0, workers: int = WORKERS
 ) -> DataFrame:
-    """Links of the captured pages still to visit, in order, assigned to workers."""
-    links = harvest_anchors(pages, tag_pattern)
+    """Hotel links of the captured search pages still to visit, in order, assigned to workers."""
+    links = harvest_hotel_links(pages)
     return work_chunks(limit_links(pending(links, processed), limit), workers)

@@ -10,7 +10,8 @@ RAW_REVIEW = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS
 # The stored table. `review_date` is parsed once at ingest so that date filters
 # reach the Parquet scan; the raw text stays next to it. The table is partitioned by
 # `review_month`, the first day of the month: date filters prune partitions, and since
-# the date is part of the hash, a review can only repeat one of its own month.
+# the date is part of the hash, a review can only repeat one of its own month. Below the
+# month, `ingest_id` keeps apart what each batch run or stream batch brought.
 REVIEW = T.StructType(
     [
         T.StructField("seq", T.LongType()),
@@ -31,9 +32,13 @@ REVIEW = T.StructType(
         T.StructField("sentiment_score_neu", T.DoubleType()),
         T.StructField("created_at", T.TimestampType()),
         T.StructField("review_month", T.DateType()),
+        T.StructField("ingest_id", T.StringType()),
     ]
 )
 
+# What a row says itself; the writer adds which ingest brought it.
+STORED_COLUMNS = REVIEW.names[:-1]
+
 ENRICHMENT_COLUMNS = [
     "language",
     "full_review_processed",

@@ -1,5 +1,7 @@
 """Review tables, review CSV files and captured pages."""
 
+import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +34,28 @@ def read_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW)
     return spark.read.schema(schema).parquet(path)
 
 
+def read_months(
+    spark: SparkSession, path: str, months: set[datetime.date | None], schema: T.StructType = REVIEW, ingest_id: str = "*"
+) -> DataFrame:
+    """Rows of the given months of a stored table, None standing for undated rows, of one
+    ingest or of all. Only the folders of these months are listed."""
+    names = sorted("__HIVE_DEFAULT_PARTITION__" if m is None else m.isoformat() for m in months)
+    if not names:
+        return spark.createDataFrame([], schema)
+    folders = f"{path}/review_month={{{','.join(names)}}}/ingest_id={ingest_id}"
+    try:
+        return spark.read.schema(schema).option("basePath", path).parquet(folders)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_reviews_jdbc(
-    spark: SparkSession, url: str, table: str = "reviews", parts: int = 64, bounds: tuple[int, int] = (0, 1), **options
+    spark: SparkSession, url: str, bounds: tuple[int, int], table: str = "reviews", parts: int = 64, **options
 ) -> DataFrame:
-    """Review table of a database, read in `parts` ranges of its id."""
+    """Review table of a database, read in `parts` ranges of its id. `bounds` are its
+    smallest and largest id; they deal the rows to tasks and leave none out."""
     ranges = {"partitionColumn": "id", "numPartitions": parts, "lowerBound": bounds[0], "upperBound": bounds[1]}
     return spark.read.format("jdbc").options(url=url, dbtable=table, **ranges, **options).load()
 
@@ -86,9 +106,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """Captured pages as single HTML files; the file name is the url, its hash the id."""
+    """Captured pages as single HTML files; the file name is the url, its 64-bit hash the
+    id. No operator groups pages by id alone."""
     files = spark.read.text(path, wholetext=True)
     name = F.input_file_name()
-    # 43 bits, so that page and place of a link still fit one number
-    page_id = F.shiftrightunsigned(F.xxhash64(name), 21)
-    return files.select(page_id.alias("page_id"), name.alias("url"), F.col("value").alias("html"))
+    return files.select(F.xxhash64(name).alias("page_id"), name.alias("url"), F.col("value").alias("html"))

@@ -1,12 +1,16 @@
 """Sinks of the review data."""
 
+import datetime
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guestlens.functions.dates import parse_review_date
 from guestlens.functions.scores import normalize_score
-from guestlens.schema import RAW_COLUMNS, REVIEW
-from guestlens.session import stage
+from guestlens.schema import RAW_COLUMNS, REVIEW, STORED_COLUMNS
+from guestlens.session import remove, stage, staging
 from guestlens.sources.readers import CSV_OPTIONS
 
 # A CSV file with line breaks inside quotes is read by one task, so files stay moderate.
@@ -31,15 +35,31 @@ def stored_form(raw: DataFrame) -> DataFrame:
     if "seq" not in raw.columns:
         columns["seq"] = F.lit(None).cast("bigint")
     stored = raw.withColumns(columns)
-    return stored.withColumn("review_month", F.trunc("review_date", "month")).select(*REVIEW.names)
+    return stored.withColumn("review_month", F.trunc("review_date", "month")).select(*STORED_COLUMNS)
+
+
+PARTITIONS = ["review_month", "ingest_id"]
+
+
+def write_by_month(rows: DataFrame, path: str, ingest_id: str | None = None) -> None:
+    """Writes rows with a review_month into the partitions (month, ingest). The rebalance
+    gathers each month's rows into few files and splits a month that holds much of the
+    data over many tasks. Partitions of the same month and ingest are replaced, all
+    others stay. Without `ingest_id` the rows say themselves which ingest they are of."""
+    if ingest_id is not None:
+        rows = rows.withColumn("ingest_id", F.lit(ingest_id))
+    spread = rows.hint("rebalance", *PARTITIONS)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
 
 
-def write_by_month(reviews: DataFrame, path: str, mode: str) -> None:
-    """Writes stored rows partitioned by month. The rebalance gathers each month's rows
-    into few files and splits a month that holds much of the data over many tasks.
-    Overwriting replaces all months at the path."""
-    spread = reviews.hint("rebalance", "review_month")
-    spread.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("review_month").parquet(path)
+def drop_other_months(spark: SparkSession, path: str, ingest_id: str, months: set[datetime.date | None]) -> None:
+    """Drops what an ingest has left in months that it no longer has rows in."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/review_month=*/ingest_id={ingest_id}")
+    for found in root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []:
+        place = found.getPath()
+        name = place.getParent().getName().removeprefix("review_month=")
+        if (None if name == "__HIVE_DEFAULT_PARTITION__" else datetime.date.fromisoformat(name)) not in months:
+            remove(spark, place.toString())
 
 
 def export_projection(reviews: DataFrame) -> DataFrame:
@@ -62,14 +82,35 @@ def write_review_csv(reviews: DataFrame, path: str, mode: str = "overwrite") ->
 def append_reviews(new: DataFrame, table_path: str, csv_path: str | None = None) -> None:
     """Adds rows known to be new: clean scores to the table, raw score texts to the CSV.
 
-    `new` holds raw reviews with hash. It is staged when it feeds both sinks.
+    `new` holds raw reviews with hash. It is staged when it feeds both sinks. The table is
+    the one that streams write to as well; every call is an ingest of its own.
     """
+    ingest_id = f"batch-{uuid.uuid4().hex}"
     if csv_path is None:
-        write_by_month(stored_form(new), table_path, "append")
+        write_by_month(stored_form(new), table_path, ingest_id)
         return
-    staged = stage(new, "new-reviews")
-    write_by_month(stored_form(staged), table_path, "append")
-    write_review_csv(staged, csv_path, mode="append")
+    with staging(new.sparkSession):
+        staged = stage(new, "new-reviews")
+        write_by_month(stored_form(staged), table_path, ingest_id)
+        write_review_csv(staged, csv_path, mode="append")
+
+
+def store_enrichment(spark: SparkSession, table_path: str, enrich: Callable[[DataFrame], DataFrame]) -> int:
+    """Stores what `enrich` adds to the rows that are not enriched yet, which are those
+    without a language. Only partitions that hold such rows are read and replaced.
+    Returns the number of rows enriched."""
+    table = spark.read.schema(REVIEW).parquet(table_path)
+    undone = F.col("language").isNull()
+    with staging(spark):
+        # one row per partition; Spark chooses the join by its measured size
+        open_ = table.where(undone).groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("_n"))
+        open_ = stage(open_.withColumnsRenamed({c: f"_{c}" for c in PARTITIONS}), "open-partitions")
+        same = table["review_month"].eqNullSafe(open_["_review_month"]) & table["ingest_id"].eqNullSafe(open_["_ingest_id"])
+        touched = table.join(open_, same, "left_semi")
+        both = touched.where(~undone).unionByName(enrich(touched.where(undone)).select(*REVIEW.names))
+        # the partitions are replaced from a copy, never from themselves
+        write_by_month(stage(both, "enriched"), table_path)
+        return open_.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
 
 
 def save_bucketed(reviews: DataFrame, name: str, buckets: int) -> None:
@@ -92,4 +133,4 @@ def rewrite_distinct(df: DataFrame, name: str = "distinct") -> tuple[DataFrame,
 
 def create_table(spark: SparkSession, path: str, schema=REVIEW) -> None:
     """Empty table at a new path; an existing table is kept."""
-    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("review_month").parquet(path)
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*PARTITIONS).parquet(path)

@@ -9,51 +9,80 @@ from pyspark.sql.streaming import StreamingQuery
 
 from guestlens.functions.dates import parse_review_date
 from guestlens.operators.dedup import keep_first, new_rows, with_hash
-from guestlens.operators.filters import filter_months
 from guestlens.schema import RAW_REVIEW, REVIEW
-from guestlens.session import stage
-from guestlens.sources.writers import create_table, stored_form, write_by_month, write_review_csv
+from guestlens.session import stage, staging
+from guestlens.sources.readers import read_months
+from guestlens.sources.writers import create_table, drop_other_months, stored_form, write_by_month, write_review_csv
 
-BATCHED_REVIEW = T.StructType([*REVIEW.fields, T.StructField("batch_id", T.LongType())])
 SEQUENCED_RAW = T.StructType([T.StructField("seq", T.LongType()), *RAW_REVIEW.fields])
 
+Counts = dict[str, int]
+Report = Callable[[int, Counts], None]
+
 
 def read_batches(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """Stream over a folder of raw review files, oldest file first."""
     return spark.readStream.schema(SEQUENCED_RAW).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def read_table(spark: SparkSession, table_path: str) -> DataFrame:
-    return spark.read.schema(BATCHED_REVIEW).parquet(table_path)
-
-
-def ingest_batch(batch: DataFrame, batch_id: int, table_path: str, csv_path: str | None = None) -> dict[str, int]:
-    """Writes the reviews of one batch that earlier batches did not bring.
-
-    The batch owns the partition `batch_id=<id>` and compares itself with the others
-    only, so running it again after a crash replaces its own output and adds nothing.
-    Within the batch the smallest seq wins; across batches the earlier one. Only the
-    months that occur in the batch are read from the table.
-    Returns batch_size and newly_saved.
+def ingest_batch(
+    batch: DataFrame,
+    ingest_id: str,
+    table_path: str,
+    csv_path: str | None = None,
+    schema: T.StructType = REVIEW,
+    form: Callable[[DataFrame], DataFrame] = stored_form,
+) -> Counts:
+    """Writes the reviews of one batch that no other ingest has brought.
+
+    The batch owns the partitions `review_month=<m>/ingest_id=<id>` and compares itself
+    with all others of its months, so running it again after a crash replaces its own
+    output and adds nothing, and no other ingest's rows are ever touched. Within the
+    batch the smallest seq wins; across batches the one that came first. A late review
+    is compared with the months it belongs to like any other, undated ones with the
+    undated: none is dropped. Only folders of the batch's months are listed.
+    Returns batch_size, undated and newly_saved.
     """
     spark = batch.sparkSession
     size = Observation()
-    first = keep_first(with_hash(batch.observe(size, F.count(F.lit(1)).alias("n"))), ["seq"])
-    arrived = stage(first.withColumn("review_month", F.trunc(parse_review_date(F.col("date")), "month")), "arrived")
-    # at most one row per calendar month
-    by_month = arrived.groupBy("review_month").count().collect()
-    rows = sum(r["count"] for r in by_month)
-    earlier = read_table(spark, table_path).where(F.col("batch_id") < batch_id)
-    fresh = new_rows(arrived, filter_months(earlier, [r["review_month"] for r in by_month]), rows)
-    if csv_path is not None:
-        fresh = stage(fresh, "fresh")
-    write_by_month(stored_form(fresh), f"{table_path}/batch_id={batch_id}", "overwrite")
-    if csv_path is not None:
-        write_review_csv(fresh, f"{csv_path}/batch_id={batch_id}")
+    with staging(spark):
+        first = keep_first(with_hash(batch.observe(size, F.count(F.lit(1)).alias("n"))), ["seq"])
+        month = F.trunc(parse_review_date(F.col("date")), "month")
+        arrived = stage(first.withColumn("review_month", month), "arrived")
+        # at most one row per calendar month
+        by_month = {r["review_month"]: r["count"] for r in arrived.groupBy("review_month").count().collect()}
+        rows = sum(by_month.values())
+        held = read_months(spark, table_path, set(by_month), schema).where(F.col("ingest_id") != ingest_id)
+        fresh = new_rows(arrived, held, rows)
+        if csv_path is not None:
+            fresh = stage(fresh, "fresh")
+        if rows:
+            write_by_month(form(fresh), table_path, ingest_id)
+        own = read_months(spark, table_path, set(by_month), schema, ingest_id)
+        saved = {r["review_month"]: r["count"] for r in own.groupBy("review_month").count().collect()} if rows else {}
+        drop_other_months(spark, table_path, ingest_id, set(by_month))
+        if csv_path is not None:
+            write_review_csv(fresh, f"{csv_path}/ingest_id={ingest_id}")
     # the plan of an empty batch may leave the observation out
     batch_size = size.get["n"] if rows else 0
-    saved = read_table(spark, table_path).where(F.col("batch_id") == batch_id).count()  # from file footers
-    return {"batch_size": batch_size, "newly_saved": saved}
+    return {"batch_size": batch_size, "undated": by_month.get(None, 0), "newly_saved": sum(saved.values())}
+
+
+def _run(batches: DataFrame, checkpoint: str, store: Callable[[DataFrame, str], Counts], report: Report | None):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # The id of a query lives in its checkpoint: the same after a restart, another
+        # one with a fresh checkpoint, whose batches count from 0 again.
+        query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        counts = store(batch, f"{query}-{batch_id}")
+        if report is not None:
+            report(batch_id, counts)
+
+    return (
+        batches.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def start_ingest(
@@ -61,22 +90,25 @@ def start_ingest(
     table_path: str,
     checkpoint: str,
     csv_path: str | None = None,
-    report: Callable[[int, dict[str, int]], None] | None = None,
+    report: Report | None = None,
 ) -> StreamingQuery:
-    """Ingests all that is available, then stops. One query is the one writer of the table.
+    """Ingests all that is available, then stops. The table may already hold reviews of
+    batch runs or other streams; it has one writer at a time.
 
     `report` gets the number and the counts of each batch.
     """
     create_table(batches.sparkSession, table_path)
+    return _run(batches, checkpoint, lambda batch, id_: ingest_batch(batch, id_, table_path, csv_path), report)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        counts = ingest_batch(batch, batch_id, table_path, csv_path)
-        if report is not None:
-            report(batch_id, counts)
 
-    return (
-        batches.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def start_distinct(
+    batches: DataFrame, path: str, checkpoint: str, columns: T.StructType, report: Report | None = None
+) -> StreamingQuery:
+    """Exact duplicate removal of a stream of raw reviews: the first arrival of every
+    hash, late and undated ones included, however late. `columns` of it are kept at
+    `path`, which stands in for a state and may grow without bound: a batch reads the
+    hashes of its own months only."""
+    schema = T.StructType([*columns.fields, *(f for f in REVIEW.fields if f.name in ("review_month", "ingest_id"))])
+    create_table(batches.sparkSession, path, schema)
+    form = lambda fresh: fresh.select(*columns.names, "review_month")
+    return _run(batches, checkpoint, lambda batch, id_: ingest_batch(batch, id_, path, None, schema, form), report)

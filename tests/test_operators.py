@@ -146,26 +146,36 @@ def test_cap_against_brute_force(spark, limit, buckets):
         if seen[row[0]] <= limit:
             expected.append(row)
     got = [tuple(r) for r in workplan.cap_per_hotel(frame, limit, buckets=buckets).collect()]
+    salted = workplan.cap_per_hotel(frame, limit, buckets=buckets, broadcast_cuts=-1)
+    assert sorted(got, key=str) == sorted((tuple(r) for r in salted.collect()), key=str)
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
 def test_pending_keeps_null_and_duplicate_links(spark):
-    links = spark.createDataFrame([("a", 0), ("b", 1), (None, 2), ("b", 3), ("c", 4)], "url string, first_pos long")
+    links = spark.createDataFrame(
+        [("a", 0, 0), ("b", 0, 1), (None, 0, 2), ("b", 0, 3), ("c", 1, 0)], "url string, first_page long, first_place int"
+    )
     done = spark.createDataFrame([("a",), (None,), ("a",)], "url string")
-    assert sorted(r.first_pos for r in workplan.pending(links, done).collect()) == [1, 2, 3, 4]
+    got = sorted((r.first_page, r.first_place) for r in workplan.pending(links, done).collect())
+    assert got == [(0, 1), (0, 2), (0, 3), (1, 0)]
     assert workplan.pending(links, done.where("false")).count() == 5
 
 
 def test_limit_links(spark):
-    links = spark.range(10).select(F.concat(F.lit("u"), "id").alias("url"), (9 - F.col("id")).alias("first_pos"))
-    assert sorted(r.first_pos for r in workplan.limit_links(links, 3).collect()) == [0, 1, 2]
+    links = spark.range(10).select(
+        F.concat(F.lit("u"), "id").alias("url"), (9 - F.col("id")).alias("first_page"), F.lit(0).alias("first_place")
+    )
+    assert sorted(r.first_page for r in workplan.limit_links(links, 3).collect()) == [0, 1, 2]
     assert workplan.limit_links(links, 0).count() == 10
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 16, 1000])
 def test_work_chunks(spark, n):
-    links = spark.range(n).select(F.lit("u").alias("url"), (F.col("id") * 7 % 1009).alias("first_pos"))
-    got = workplan.work_chunks(links, 8).orderBy("first_pos").collect()
+    place = F.col("id") * 7 % 1009
+    links = spark.range(n).select(
+        F.lit("u").alias("url"), F.floor(place / 10).alias("first_page"), (place % 10).alias("first_place")
+    )
+    got = workplan.work_chunks(links, 8).orderBy("first_page", "first_place").collect()
     size = n // 8 + 1
     assert [(r.position, r.chunk) for r in got] == [(i, i // size) for i in range(n)]
 

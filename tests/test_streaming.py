@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guestlens.operators import dedup
 from guestlens.schema import RAW_COLUMNS
-from guestlens.sources import readers
+from guestlens.sources import readers, writers
 from guestlens.streaming import ingest, trend
 
 
@@ -12,7 +13,7 @@ def raw(spark, rows):
 
 
 def stored(spark, table):
-    return sorted((r.batch_id, r.seq, r.title) for r in ingest.read_table(spark, table).collect())
+    return sorted((r.seq, r.title) for r in readers.read_reviews(spark, table).collect())
 
 
 def test_stream_ingest_and_replay(spark, tmp_path):
@@ -24,28 +25,72 @@ def test_stream_ingest_and_replay(spark, tmp_path):
         ingest.read_batches(spark, source), table, str(tmp_path / "offsets"), csv, counts.__setitem__
     )
     query.awaitTermination()
-    assert [tuple(counts[i].values()) for i in range(3)] == [(3, 2), (2, 1), (2, 0)]
-    expected = [(0, 1, "a"), (0, 2, "b"), (1, 4, "c")]
+    assert [tuple(counts[i].values()) for i in range(3)] == [(3, 0, 2), (2, 0, 1), (2, 0, 0)]
+    expected = [(1, "a"), (2, "b"), (4, "c")]
     assert stored(spark, table) == expected
-    written = [readers.read_review_csv(spark, f"{csv}/batch_id={i}") for i in (0, 1)]
+    written = [readers.read_review_csv(spark, f"{csv}/ingest_id={query.id}-{i}") for i in (0, 1)]
     assert [sorted(r.title for r in w.collect()) for w in written] == [["a", "b"], ["c"]]
 
     # a batch that ran but was not recorded runs again: its own rows are replaced
-    ingest.ingest_batch(raw(spark, [(0, "a"), (4, "c")]), 1, table)
+    own = f"{query.id}-1"
+    ingest.ingest_batch(raw(spark, [(0, "a"), (4, "c")]), own, table)
     assert stored(spark, table) == expected
     # even when the second run finds fewer rows and months
-    ingest.ingest_batch(raw(spark, [(0, "a"), (4, "c")]).withColumn("date", F.lit("2024-02-07")), 1, table)
-    assert stored(spark, table) == [(0, 1, "a"), (0, 2, "b"), (1, 0, "a"), (1, 4, "c")]
-    ingest.ingest_batch(raw(spark, [(0, "a"), (4, "c")]), 1, table)
+    ingest.ingest_batch(raw(spark, [(0, "a"), (4, "c")]).withColumn("date", F.lit("2024-02-07")), own, table)
+    assert stored(spark, table) == [(0, "a"), (1, "a"), (2, "b"), (4, "c")]
+    ingest.ingest_batch(raw(spark, [(0, "a"), (4, "c")]), own, table)
     assert stored(spark, table) == expected
     # everything again under a new number adds nothing
-    ingest.ingest_batch(raw(spark, [(7, "a"), (8, "b"), (9, "c")]), 3, table)
+    ingest.ingest_batch(raw(spark, [(7, "a"), (8, "b"), (9, "c")]), f"{query.id}-3", table)
     assert stored(spark, table) == expected
 
     # the stream goes on where it stopped
     raw(spark, [(10, "d"), (11, "a")]).write.mode("append").parquet(source)
     ingest.start_ingest(ingest.read_batches(spark, source), table, str(tmp_path / "offsets")).awaitTermination()
-    assert [t for _, _, t in stored(spark, table)] == ["a", "b", "c", "d"]
+    assert [t for _, t in stored(spark, table)] == ["a", "b", "c", "d"]
+
+    # with a fresh checkpoint all comes again, and what other ingests stored stays
+    raw(spark, [(12, "e")]).write.mode("append").parquet(source)
+    ingest.start_ingest(ingest.read_batches(spark, source, 2), table, str(tmp_path / "fresh")).awaitTermination()
+    assert [t for _, t in stored(spark, table)] == ["a", "b", "c", "d", "e"]
+
+
+def test_batch_run_and_stream_share_a_table(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "out")
+    writers.append_reviews(dedup.with_hash(raw(spark, [(1, "a"), (2, "b")])), table)
+    raw(spark, [(3, "b"), (4, "c")]).write.parquet(source)
+    ingest.start_ingest(ingest.read_batches(spark, source), table, str(tmp_path / "o")).awaitTermination()
+    writers.append_reviews(dedup.with_hash(raw(spark, [(5, "d")])), table)
+    assert stored(spark, table) == [(1, "a"), (2, "b"), (4, "c"), (5, "d")]
+
+
+def test_late_and_undated_reviews_are_kept_once(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    late = raw(spark, [(3, "old")]).withColumn("date", F.lit("2003-01-05"))
+    undated = raw(spark, [(4, "when")]).withColumn("date", F.lit("soon"))
+    for part in (raw(spark, [(1, "a")]), late, undated, late.unionByName(undated).coalesce(1)):
+        part.write.mode("append").parquet(source)
+    columns = T.StructType.fromDDL("title string, review_hash string")
+    counts = {}
+    stream = ingest.read_batches(spark, source)
+    ingest.start_distinct(stream, out, str(tmp_path / "o"), columns, counts.__setitem__).awaitTermination()
+    assert sorted(r.title for r in spark.read.parquet(out).collect()) == ["a", "old", "when"]
+    assert [tuple(c.values()) for _, c in sorted(counts.items())] == [(1, 0, 1), (1, 0, 1), (1, 1, 1), (2, 1, 0)]
+
+
+def test_enrichment_is_stored_for_rows_not_done(spark, tmp_path):
+    table, seen = str(tmp_path / "out"), []
+
+    def enrich(rows):
+        seen.append(sorted(r.title for r in rows.collect()))
+        return rows.withColumns({"language": F.lit("xx"), "sentiment_score_pos": F.lit(0.5)})
+
+    for rows in ([(1, "a"), (2, "b")], [(3, "c")]):
+        writers.append_reviews(dedup.with_hash(raw(spark, rows)), table)
+        assert writers.store_enrichment(spark, table, enrich) == len(rows)
+    assert seen == [["a", "b"], ["c"]]
+    assert {(r.language, r.sentiment_score_pos) for r in readers.read_reviews(spark, table).collect()} == {("xx", 0.5)}
+    assert writers.store_enrichment(spark, table, enrich) == 0 and stored(spark, table) == [(1, "a"), (2, "b"), (3, "c")]
 
 
 def test_stream_keeps_the_hashes_of_the_batch(spark, tmp_path):
@@ -55,7 +100,7 @@ def test_stream_keeps_the_hashes_of_the_batch(spark, tmp_path):
         raw(spark, rows[start : start + 10]).write.mode("append").parquet(source)
     ingest.start_ingest(ingest.read_batches(spark, source), table, str(tmp_path / "o")).awaitTermination()
     batch = dedup.keep_first(dedup.with_hash(raw(spark, rows)), ["seq"])
-    kept = ingest.read_table(spark, table).select("review_hash")
+    kept = readers.read_reviews(spark, table).select("review_hash")
     assert sorted(r[0] for r in kept.collect()) == sorted(r.review_hash for r in batch.collect())
 
 
@@ -78,7 +123,7 @@ def test_trend_follows_the_stream(spark, tmp_path):
         ).parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         trend.write_latest(trend.daily_trend(stream, "at", "v"), out, offsets).awaitTermination()
-        daily = spark.read.schema("day date, n long, total double, n_valued long").parquet(out)
+        daily = trend.read_latest(spark, out, "day date, n long, total double, n_valued long")
         return [(str(r.month), r.reviews, r.mean_value) for r in trend.monthly_from_daily(daily).collect()]
 
     assert send(("2024-01-01", 1.0), ("2024-01-31", 3.0)) == [("2024-01-31", 2, 2.0)]

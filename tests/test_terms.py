@@ -29,7 +29,7 @@ def brute_cloud(texts):
     stop = stop_words()
     words, pairs = Counter(), Counter()
     for text in texts:
-        found = re.findall(r"\w[\w']+", (text or "").lower())
+        found = re.findall(r"\w[\w']*", (text or "").lower())
         found = [w[:-2] if w.endswith("'s") else w for w in found]
         found = [w for w in found if not w.isdigit()]
         words.update(w for w in found if w not in stop)

@@ -17,9 +17,10 @@ CLOUD_TERMS = 50
 MIN_TEXT = 10
 COLLOCATION_SCORE = 30.0
 
-# Tokens of a cloud: those that are no pure number, with or without a final 's.
+# Tokens of a cloud: those that are no pure number, with or without a final 's. None starts
+# within another, after its apostrophes.
 _WORD = r"[\p{L}\p{N}_]"
-CLOUD_TOKEN = rf"(?<!{_WORD})(?!\p{{Nd}}+(?:'s)?(?![\p{{L}}\p{{N}}_'])){TOKEN}"
+CLOUD_TOKEN = rf"(?<!{_WORD}'{{0,16}})(?!\p{{Nd}}+(?:'s)?(?![\p{{L}}\p{{N}}_'])){TOKEN}"
 
 
 def text_gate(texts: DataFrame) -> DataFrame:

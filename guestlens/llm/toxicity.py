@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guestlens.session import stage
+
 # Categories ahead of the labelled one, each with the words that mark it in training.
 # Common English abuse.
 CATEGORIES = {
@@ -14,7 +16,7 @@ CATEGORIES = {
     "contempt": ("worthless", "pathetic", "disgusting", "trash", "scum", "garbage", "filth", "vermin"),
 }
 # Labelled documents a chain is fitted on at most, half of them toxic if there are as many.
-TRAINING_ROWS = 4000
+TRAINING_ROWS = 2400
 # Words and word beginnings kept as features: those most typical of some category, by so
 # many standard errors at least, which chance does not reach among all words of a sample.
 FEATURES = 250
@@ -31,12 +33,6 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def marks_of(word: str) -> list[str]:
-    """A word and its beginnings; languages that inflect or compound show the same stem in
-    many words."""
-    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)]
-
-
 @dataclass
 class Chain:
     """Fitted chain: one row of weights per category, over an intercept, the features
@@ -97,80 +93,92 @@ def fit_logistic(x, y, penalty: float = PENALTY):
     return w
 
 
-def fit_chain(documents: list[set[str]], labels: dict[str, list[int]], folds: int = FOLDS) -> Chain:
-    """Chain over documents given as word sets; `labels` by category in chain order.
+def fit_chain(names: list[str], present: list[list[int]], labels: dict[str, list[int]], folds: int = FOLDS) -> Chain:
+    """Chain over documents given as the numbers of the marks they have; `labels` by
+    category in chain order.
 
-    A later model is trained on the probabilities that models of the other folds gave a
-    document for the earlier categories, so it learns how far they can be trusted on
-    documents not seen. The models kept are fitted on all documents.
+    Of marks that occur in the same documents the first is kept. A later model is trained
+    on the probabilities that models of the other folds gave a document for the earlier
+    categories, so it learns how far they can be trusted on documents not seen. The
+    models kept are fitted on all documents.
     """
     import numpy as np
 
-    categories = list(labels)
-    y = np.array([labels[c] for c in categories], dtype=float).reshape(len(categories), len(documents))
-    vocabulary: dict[str, int] = {}
-    numbers: dict[str, list[int]] = {}
-    inside = []
-    for words in documents:
-        for word in sorted(words - numbers.keys()):
-            numbers[word] = [vocabulary.setdefault(m, len(vocabulary)) for m in marks_of(word)]
-        inside.append(np.unique([i for w in words for i in numbers[w]]).astype(np.int64))
-    rows = np.repeat(np.arange(len(documents)), [len(i) for i in inside])
-    columns = np.concatenate(inside) if inside else np.zeros(0, dtype=np.int64)
-    seen = np.bincount(columns, minlength=len(vocabulary)).astype(float)
-    best = np.zeros(len(vocabulary))
-    for row in y:
-        # by how many standard errors the share of positives with the word is high
-        share = row.mean() if len(row) else 0.0
-        hits = np.bincount(columns, weights=row[rows], minlength=len(vocabulary))
-        error = np.sqrt(np.maximum(seen * share * (1 - share), 1e-12))
-        best = np.maximum(best, (hits - seen * share) / error)
-    names = [w for w in vocabulary if best[vocabulary[w]] >= TYPICAL]
-    names = sorted(names, key=lambda w: (-best[vocabulary[w]], w.endswith("*"), -len(w), w))
-    # of marks that occur in the same documents one is enough, the longest
-    order = np.argsort(columns, kind="stable")
-    ends = np.cumsum(np.bincount(columns, minlength=len(vocabulary)))
-    same: dict[bytes, str] = {}
-    for w in names:
-        last = ends[vocabulary[w]]
-        same.setdefault(rows[order[last - int(seen[vocabulary[w]]) : last]].tobytes(), w)
-    names = list(same.values())[:FEATURES]
-    features = {w: i for i, w in enumerate(names)}
-    base = np.zeros((len(documents), 1 + len(features)))
-    base[:, 0] = 1
-    place = np.full(len(vocabulary), -1)
-    place[[vocabulary[w] for w in names]] = np.arange(len(names))
-    kept = place[columns] >= 0
-    base[rows[kept], 1 + place[columns[kept]]] = 1
-
-    fold = np.arange(len(documents)) % folds
-    earlier = np.zeros((len(documents), 0))
+    n = len(present)
+    base = np.zeros((n, len(names)))
+    for row, marks in enumerate(present):
+        base[row, marks] = 1
+    kept = list({base[:, i].tobytes(): i for i in reversed(range(len(names)))}.values())
+    kept = sorted(kept)[:FEATURES]
+    base = np.c_[np.ones(n), base[:, kept]]
+    fold = np.arange(n) % folds
+    earlier = np.zeros((n, 0))
     weights = []
-    for row in y:
+    for row in labels.values():
+        y = np.array(row, dtype=float)
         x = np.c_[base, earlier]
-        weights.append([float(v) for v in fit_logistic(x, row)])
-        held_out = np.zeros(len(documents))
+        weights.append([float(v) for v in fit_logistic(x, y)])
+        held_out = np.zeros(n)
         for k in range(folds):
-            w = fit_logistic(x[fold != k], row[fold != k])
+            w = fit_logistic(x[fold != k], y[fold != k])
             held_out[fold == k] = 1 / (1 + np.exp(-np.clip(x[fold == k] @ w, -30, 30)))
         earlier = np.c_[earlier, held_out]
-    return Chain(categories, features, weights)
+    return Chain(list(labels), {names[i]: at for at, i in enumerate(kept)}, weights)
+
+
+def _marks(words: Column) -> Column:
+    """The distinct marks of an array of words: the words themselves and their beginnings;
+    languages that inflect or compound show the same stem in many words."""
+
+    def of(w: Column) -> Column:
+        begins = [F.when(F.length(w) >= n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in BEGINNINGS]
+        return F.array_compact(F.array(w, *begins))
+
+    return F.array_distinct(F.flatten(F.transform(words, of)))
+
+
+def typical_marks(sample: DataFrame, categories: list[str]) -> list[str]:
+    """Marks typical of some category, most typical first, whole words before beginnings,
+    longer before shorter: a few times FEATURES at most.
+
+    `sample` has `_words` and a column 0 or 1 per category. The documents with each mark
+    are counted in Spark, with partial sums per task.
+    """
+    whole = sample.agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in categories)).first()
+    if not whole["n"]:
+        return []
+    seen = F.col("_seen")
+    counted = sample.select(F.explode(_marks(F.col("_words"))).alias("mark"), *categories)
+    counted = counted.groupBy("mark").agg(F.count(F.lit(1)).alias("_seen"), *(F.sum(c).alias(c) for c in categories))
+    scores = []
+    for c in categories:
+        share = whole[c] / whole["n"]
+        if 0 < share < 1:
+            # by how many standard errors the share of positives with the mark is high
+            scores.append((F.col(c) - seen * share) / F.sqrt(seen * (share * (1 - share))))
+    if not scores:
+        return []
+    counted = counted.withColumn("_best", F.greatest(*scores) if len(scores) > 1 else scores[0])
+    best = counted.where(F.col("_best") >= TYPICAL).orderBy(
+        F.desc("_best"), F.col("mark").endswith("*"), F.desc(F.length("mark")), "mark"
+    )
+    return [row["mark"] for row in best.select("mark").limit(4 * FEATURES).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = TRAINING_ROWS) -> Chain:
     """Chain fitted on a bounded sample of labelled documents, chosen by a hash of the
-    id; of equal texts one is taken. The sample is all that reaches the driver."""
+    id; of equal word sets one is taken. Only the numbers of the typical marks of the
+    sample's documents reach the driver."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
-    known = known.where(F.col("_id").isNotNull() & F.col("_toxic").isNotNull())
+    known = known.where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1))
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    total = {row["_toxic"]: row["count"] for row in known.where(F.col("_toxic").isin(0, 1)).groupBy("_toxic").count().collect()}
+    total = {row["_toxic"]: row["count"] for row in known.groupBy("_toxic").count().collect()}
     order = [F.xxhash64("_id"), F.col("_id")]
     half = known.where("_toxic = 1").orderBy(*order).limit(rows // 2)
     rest = known.where("_toxic = 0").orderBy(*order).limit(rows // 2)
-    chosen = half.unionByName(rest)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     # at most `rows` rows on the broadcast side
-    sample = texts.join(F.broadcast(chosen), "_id").withColumn("_order", F.xxhash64("_id"))
+    sample = texts.join(F.broadcast(half.unionByName(rest)), "_id").withColumn("_order", F.xxhash64("_id"))
 
     def tokens(batches):
         import pyarrow as pa
@@ -181,16 +189,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.record_batch(parts, ["_order", "_toxic", "_words"])
 
     found = sample.select("_text", "_toxic", "_order").mapInArrow(tokens, "_order long, _toxic int, _words array<string>")
-    unique = {}
-    for row in sorted(found.collect(), key=lambda r: (r["_order"], r["_words"])):
-        unique.setdefault(frozenset(row["_words"]), row["_toxic"])
-    documents = [set(words) for words in unique]
-    by_category = {c: [int(not words.isdisjoint(marks)) for words in documents] for c, marks in CATEGORIES.items()}
-    chain = fit_chain(documents, {**by_category, "toxic": list(unique.values())})
-    toxic = sum(unique.values())
-    if 0 < toxic < len(unique):
+    found = found.groupBy("_words").agg(F.min("_order").alias("_order"), F.min_by("_toxic", "_order").alias("toxic"))
+    marked = {c: F.arrays_overlap("_words", F.array(*map(F.lit, marks))).cast("int") for c, marks in CATEGORIES.items()}
+    found = stage(found.withColumns(marked), "training-sample")
+    categories = [*CATEGORIES, "toxic"]
+    names = typical_marks(found, categories)
+    number = {name: i for i, name in enumerate(names)}
+    have = F.array_intersect(_marks(F.col("_words")), F.array(*map(F.lit, names)).cast("array<string>"))
+    documents = found.select("_order", have.alias("_have"), *categories).orderBy("_order", "_have").collect()
+    present = [sorted(number[m] for m in row["_have"]) for row in documents]
+    chain = fit_chain(names, present, {c: [row[c] for row in documents] for c in categories})
+    toxic = sum(row["toxic"] for row in documents)
+    if 0 < toxic < len(documents):
         # the sample holds more toxic documents than the corpus; the intercept allows for it
-        chain.weights[-1][0] += math.log(total[1] / total[0] * (len(unique) - toxic) / toxic)
+        chain.weights[-1][0] += math.log(total[1] / total[0] * (len(documents) - toxic) / toxic)
     return chain
 
 

@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame
 
 from guestlens.functions.worker import worker_cached
 
-# Words whose pieces a worker remembers; the store starts afresh when it is full.
-REMEMBERED = 400_000
+# Words whose pieces a worker remembers: the newer half stays when the store is full.
+REMEMBERED = 1_200_000
 
 _SPACE = "▁"
+# Cuts of a text: runs of letters and digits, runs of marks (raised digits count as such), each with the space marks
+# before it, and line breaks; the same with letters and marks together; the whole text.
+_PARTS = [
+    re.compile(f"\n|{_SPACE}*(?:[^\\W_¹²³]+|(?:[^\\w{_SPACE}\n]|[_¹²³])+)|{_SPACE}+"),
+    re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+"),
+    re.compile(r".+", re.DOTALL),
+]
+_SHORT = 24
+_NEVER = float("inf")
 
 
 class MergeEncoder:
@@ -27,35 +36,48 @@ class MergeEncoder:
         self.cost = {lib.id_to_piece(i): -lib.get_score(i) for i in merged}
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.end = lib.eos_id()
-        # No piece has a space mark after another character, or a line break at all, so
-        # nothing merges across these borders and each part is encoded alone.
-        if any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in self.ids):
-            raise ValueError("the vocabulary has pieces across words")
-        self.words = re.compile(f"\n|{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+")
-        self.known: dict[str, list[int]] = {}
+        # Where no piece spans two parts, nothing merges across their border, and each part
+        # is encoded alone. The finest cut that holds for this vocabulary is taken.
+        self.words = next(p for p in _PARTS if all(map(p.fullmatch, self.ids)))
+        # tuples of numbers, which the garbage collector need not look at
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.remembered = remembered
+        self.names = [str(i) for i in range(size)]
 
     def pieces(self, word: str) -> list[str]:
         """Merges adjacent symbols in order of their score, the leftmost first.
 
         The agenda holds every adjacent pair that forms a piece. The best is taken and
         joined unless one of its symbols has changed since, and the pairs that the new
-        symbol forms with its neighbours join the agenda.
+        symbol forms with its neighbours join the agenda. It is a heap for long words; for
+        short ones a list in order of the pairs, of which the smallest is found faster.
         """
         cost = self.cost
         symbols = list(word)
         last = len(symbols)
+        if last <= _SHORT:
+            agenda = [cost.get(pair, _NEVER) for pair in map(str.__add__, symbols, symbols[1:])]
+            while agenda:
+                best = min(agenda)
+                if best == _NEVER:
+                    break
+                at = agenda.index(best)
+                symbols[at] += symbols.pop(at + 1)
+                del agenda[at]
+                if at:
+                    agenda[at - 1] = cost.get(symbols[at - 1] + symbols[at], _NEVER)
+                if at < len(agenda):
+                    agenda[at] = cost.get(symbols[at] + symbols[at + 1], _NEVER)
+            return symbols
         after, before = list(range(1, last + 1)), list(range(-1, last - 1))
-        agenda = []
-        for i in range(last - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in cost:
-                agenda.append((cost[pair], i, i + 1, pair))
+        pairs = map(str.__add__, symbols, symbols[1:])
+        agenda = [(cost[pair], left, pair) for left, pair in enumerate(pairs) if pair in cost]
         heapq.heapify(agenda)
         while agenda:
-            _, left, right, pair = heapq.heappop(agenda)
-            a, b = symbols[left], symbols[right]
-            if not a or not b or len(a) + len(b) != len(pair):
+            _, left, pair = heapq.heappop(agenda)
+            right = after[left]
+            if right >= last or not symbols[left] or symbols[left] + symbols[right] != pair:
                 continue
             symbols[left], symbols[right] = pair, ""
             following = after[left] = after[right]
@@ -63,41 +85,47 @@ class MergeEncoder:
                 before[following] = left
                 joined = pair + symbols[following]
                 if joined in cost:
-                    heapq.heappush(agenda, (cost[joined], left, following, joined))
+                    heapq.heappush(agenda, (cost[joined], left, joined))
             leading = before[left]
             if leading >= 0:
                 joined = symbols[leading] + pair
                 if joined in cost:
-                    heapq.heappush(agenda, (cost[joined], leading, left, joined))
+                    heapq.heappush(agenda, (cost[joined], leading, joined))
         return [s for s in symbols if s]
 
-    def word_ids(self, word: str) -> list[int]:
-        found = self.known.get(word)
+    def word_ids(self, word: str) -> tuple[int, ...]:
+        found = self.older.get(word)
         if found is None:
-            found = []
+            numbers: list[int] = []
             for piece in self.pieces(word):
                 number = self.ids.get(piece)
                 if number is None:
-                    found.extend(self.bytes[b] for b in piece.encode())
+                    numbers.extend(self.bytes[b] for b in piece.encode())
                 else:
-                    found.append(number)
-            if len(word) <= 64:
-                if len(self.known) >= self.remembered:
-                    self.known.clear()
-                self.known[word] = found
+                    numbers.append(number)
+            found = tuple(numbers)
+        if len(word) <= 64:
+            if len(self.known) >= self.remembered // 2:
+                self.known, self.older = {}, self.known
+            self.known[word] = found
         return found
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         if text:
             for word in self.words.findall(_SPACE + text.replace(" ", _SPACE)):
-                ids += self.word_ids(word)
+                found = self.known.get(word)
+                ids += self.word_ids(word) if found is None else found
         ids.append(self.end)
         return ids
 
+    def text_of(self, ids: list[int]) -> str:
+        """Decimal ids, joined by one space."""
+        return " ".join([self.names[i] for i in ids])
+
 
 def encoded(docs: DataFrame, model_path: str, doc_id: str, text: str, form: str, row) -> DataFrame:
-    """Rows made by row(text, ids, decoded, agrees) of every document."""
+    """Rows made by row(encoder, ids, decoded, agrees) of every document."""
     with open(model_path, "rb") as file:  # a vocabulary, sent with the job
         model = file.read()
     name = sha256(model).hexdigest()
@@ -116,7 +144,7 @@ def encoded(docs: DataFrame, model_path: str, doc_id: str, text: str, form: str,
                 checked = encoder.library.encode(block, add_eos=True, num_threads=1)
                 for t, right in zip(block, checked):
                     ids = encoder.encode(t)
-                    rows.append(row(right, encoder.library.decode(right), ids == right))
+                    rows.append(row(encoder, right, encoder.library.decode(right), ids == right))
             columns = [batch.column(0)] + [pa.array(list(c)) for c in zip(*rows)] if rows else None
             if columns:
                 yield pa.record_batch(columns, names)
@@ -137,15 +165,16 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
     An empty table gives no rows. Other columns are not looked at.
     """
     form = "doc_id {}, ids array<int>, n_tokens long, decoded string, agrees boolean"
-    return encoded(docs, model_path, doc_id, text, form, lambda ids, decoded, agrees: (ids, len(ids), decoded, agrees))
+    return encoded(docs, model_path, doc_id, text, form, lambda _, ids, decoded, agrees: (ids, len(ids), decoded, agrees))
 
 
 def digest_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As `encode_pieces`, with digests in place of ids and decoded text, made where the
     ids are: doc_id, n_tokens, ids_sha256, decoded_sha256, agrees."""
 
-    def digests(ids, decoded, agrees):
-        return len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(decoded.encode()).hexdigest(), agrees
+    def digests(encoder, ids, decoded, agrees):
+        shown = sha256(encoder.text_of(ids).encode()).hexdigest()
+        return len(ids), shown, sha256(decoded.encode()).hexdigest(), agrees
 
     form = "doc_id {}, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
     return encoded(docs, model_path, doc_id, text, form, digests)

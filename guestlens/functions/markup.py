@@ -11,7 +11,7 @@ from guestlens.functions import page_texts
 from guestlens.functions.text import null_to_empty, strip
 
 # A tag body in which quoted values may hold '>'. A quote opens a value only after '='.
-_ATTRS = r"""(?:[^>=]|=(?!\s*["'])|=\s*"[^"]*"|=\s*'[^']*')*+"""
+_ATTRS = r"""(?:[^>=]++|=\s*+"[^"]*"|=\s*+'[^']*'|=(?!\s*["']))*+"""
 
 # Schema.org types that name a hotel, and the words a script must
 # contain to be looked at.

@@ -17,11 +17,15 @@ RULES = (
 # Chance of following a link; share of a host's walk that must come from blocked pages.
 DAMPING = 0.85
 THRESHOLD = 0.5
-TOLERANCE = 1e-6
-_ROUNDS = 50
+TOLERANCE = 1e-3
+_ROUNDS = 100
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_ANCHOR = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+# An anchor up to its href: whole attributes one by one, so that a value that looks like
+# one is skipped. Every step is bounded, whatever stands in a page.
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))"""
+_OTHER = r"""(?:\s+(?!href\s*=)[^\s=<>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?){0,500}+"""
+_ANCHOR = rf"(?is)<a{_OTHER}\s+href\s*=\s*{_VALUE}"
 _ABSOLUTE = r"(?is)^\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\s]+)"
 
 

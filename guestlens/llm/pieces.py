@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from guestlens.functions.worker import worker_cached
 
 # Words whose pieces a worker remembers: the newer half stays when the store is full.
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000
 
 _SPACE = "▁"
 # Cuts of a text: runs of letters and digits, runs of marks (raised digits count as such), each with the space marks
@@ -124,30 +124,32 @@ class MergeEncoder:
         return " ".join([self.names[i] for i in ids])
 
 
-def encoded(docs: DataFrame, model_path: str, doc_id: str, text: str, form: str, row) -> DataFrame:
-    """Rows made by row(encoder, ids, decoded, agrees) of every document."""
+def encoded(docs: DataFrame, model_path: str, doc_id: str, text: str, form: dict[str, str], row) -> DataFrame:
+    """doc_id and the columns of `form`, made by row(encoder, ids, decoded, agrees) of
+    every document, in small blocks of an Arrow batch."""
     with open(model_path, "rb") as file:  # a vocabulary, sent with the job
         model = file.read()
     name = sha256(model).hexdigest()
-    schema = form.format(docs.schema[doc_id].dataType.simpleString())
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    schema = ", ".join([f"doc_id {id_type}", *(f"{c} {kind}" for c, kind in form.items())])
 
     def encode(batches):
         import pyarrow as pa
 
         encoder = worker_cached(("pieces", name), lambda: MergeEncoder(model))
-        names = [part.split(" ")[0] for part in re.split(r", (?=\w+ )", schema)]
+        known = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+        names, kinds = ["doc_id", *form], [known[kind] for kind in form.values()]
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
-            for at in range(0, len(texts), 64):
-                block = texts[at : at + 64]
+            for at in range(0, len(batch), 64):
+                block = [t or "" for t in batch.column(1).slice(at, 64).to_pylist()]
                 checked = encoder.library.encode(block, add_eos=True, num_threads=1)
                 for t, right in zip(block, checked):
                     ids = encoder.encode(t)
                     rows.append(row(encoder, right, encoder.library.decode(right), ids == right))
-            columns = [batch.column(0)] + [pa.array(list(c)) for c in zip(*rows)] if rows else None
-            if columns:
-                yield pa.record_batch(columns, names)
+            if rows:
+                made = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
+                yield pa.record_batch([batch.column(0), *made], names)
 
     return docs.select(doc_id, text).mapInArrow(encode, schema)
 
@@ -164,7 +166,7 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
     A null text is empty and gives the end id alone. Repeated rows are rows of their own.
     An empty table gives no rows. Other columns are not looked at.
     """
-    form = "doc_id {}, ids array<int>, n_tokens long, decoded string, agrees boolean"
+    form = {"ids": "array<int>", "n_tokens": "long", "decoded": "string", "agrees": "boolean"}
     return encoded(docs, model_path, doc_id, text, form, lambda _, ids, decoded, agrees: (ids, len(ids), decoded, agrees))
 
 
@@ -176,5 +178,5 @@ def digest_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
         shown = sha256(encoder.text_of(ids).encode()).hexdigest()
         return len(ids), shown, sha256(decoded.encode()).hexdigest(), agrees
 
-    form = "doc_id {}, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
+    form = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "agrees": "boolean"}
     return encoded(docs, model_path, doc_id, text, form, digests)

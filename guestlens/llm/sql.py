@@ -1,5 +1,9 @@
 """SQL counterparts of the registered queries, where SQL can express them."""
 
+import math
+
+from guestlens.llm.licences import BLOCK_WORDS, CONTAINMENT, PHRASES, TEMPLATES
+
 _OP2 = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -9,6 +13,44 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+
+
+def _licences() -> str:
+    """Places of the phrases and the templates that some block holds, by plain list tests."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    places, labels = [], []
+    for phrase, label in PHRASES.items():
+        same = " AND ".join(f"w[i + {k}] = '{part}'" for k, part in enumerate(phrase.split(), start=1))
+        places.append(f"list_filter(range(len(w)), lambda i: {same})")
+        labels.append(label)
+    held = []
+    for label, words in TEMPLATES:
+        template = sorted(set(words.split()))
+        shared = f"list_max(list_transform(blocks, lambda b: len(list_intersect(b, {quoted(template)}))))"
+        need = math.ceil(CONTAINMENT * len(template) - 1e-9)
+        held.append(f"CASE WHEN {shared} >= {need} THEN {{'label': '{label}', 'share': {shared} / {len(template)}}} END")
+    base = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for p, label in zip(places, labels))
+    starts = f"range(greatest(1, CAST(ceil((len(w) - {BLOCK_WORDS // 2}) / {BLOCK_WORDS // 2}.0) AS BIGINT)))"
+    some = lambda items: f"list_filter({items}, lambda x: x IS NOT NULL)"
+    joined = lambda items: f"coalesce(array_to_string(list_sort(list_distinct({items})), ','), '')"
+    return rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+cut AS (
+  SELECT doc_id, w, list_transform({starts},
+    lambda i: list_slice(w, i * {BLOCK_WORDS // 2} + 1, i * {BLOCK_WORDS // 2} + {BLOCK_WORDS})) AS blocks FROM words),
+found AS (
+  SELECT doc_id, w, {some('[' + base + ']')} AS base, flatten([{', '.join(places)}]) AS starts,
+    {some('[' + ', '.join(held) + ']')} AS held FROM cut)
+SELECT doc_id, len(w) AS n_words, len(starts) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word,
+  {joined('base')} AS base_labels,
+  {joined("list_concat(base, list_transform(held, lambda h: h.label))")} AS labels,
+  CASE WHEN len(base) > 0 THEN 1.0 ELSE coalesce(list_max(list_transform(held, lambda h: h.share)), 0.0) END AS score
+FROM found
+"""
+
+
 ORACLES = {
     "op2_exact_dedup": _OP2,
+    "op4_scan_licences": _licences(),
 }

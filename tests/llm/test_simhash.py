@@ -1,0 +1,107 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from guestlens.llm import simhash
+from guestlens.llm.components import components
+
+
+def fingerprint(text, size=3):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(max(1, len(words) - size + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute(rows, radius=3):
+    prints = [fingerprint(t) for _, t in rows]
+    above = list(range(len(rows)))
+
+    def root(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for i, p in enumerate(prints):
+        for j in range(i):
+            if (p ^ prints[j]).bit_count() <= radius and root(i) != root(j):
+                above[max(root(i), root(j))] = min(root(i), root(j))
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            smallest[root(i)] = min(d, smallest.get(root(i), d))
+    return sorted(((d, f"{p:016x}", smallest.get(root(i))) for i, ((d, _), p) in enumerate(zip(rows, prints))), key=str)
+
+
+def some_texts():
+    rng = random.Random(5)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+        rows.append((100 + i, " ".join(words)))
+        for k in range(6):
+            changed = list(words)
+            changed[rng.randrange(400)] = "x"
+            rows.append((10 * i + k, " ".join(changed)))
+    return rows
+
+
+@pytest.mark.parametrize("tree_size", [16_384, 4])
+def test_against_brute_force(docs, tree_size):
+    rows = some_texts() + [(500, None), (501, ""), (502, " \n"), (503, "One"), (504, "one"), (505, "Ä b"), (None, "one"),
+                           (None, "alone here"), (503, "One"), (506, "ab c d " * 9000)]
+    got = simhash.simhash_dedup(docs(rows, "fingerprint", "component_id", "shard"), tree_size=tree_size).collect()
+    expected = brute(rows)
+    assert sorted((tuple(r) for r in got), key=str) == expected
+    assert len({c for _, _, c in expected}) < len({f for _, f, _ in expected})  # some texts are linked
+
+
+def test_forest_search_finds_all_within_the_radius():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(0, 2**63, size=(4, 2)).astype(np.uint64)
+    tree = np.repeat(np.arange(4), 50)
+    values = centres[tree] ^ (np.uint64(1) << rng.integers(0, 40, size=(200, 2)).astype(np.uint64))
+    root, key, child = simhash.bk_forest(tree, values)
+    found = set()
+    for q, n in simhash.bk_search(values, root, values, key, child, values, 2):
+        found.update(zip(q.tolist(), n.tolist()))
+    apart = np.bitwise_count(values[:, None] ^ values[None]).sum(axis=2)
+    assert found == set(zip(*np.nonzero((apart <= 2) & (tree[:, None] == tree[None]))))
+    assert len(child) == 200 - 4
+
+
+def test_masks_cover_the_radius():
+    rng = random.Random(2)
+    masks = [m for (m,) in simhash.block_masks(5, 2)]
+    for _ in range(500):
+        change = sum(1 << b for b in rng.sample(range(64), 3))
+        assert any(not change & m for m in masks)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(0, 60) if i % 20 != 19] + [("n100", f"n{i}") for i in range(101, 180)]
+    rng.shuffle(pairs)
+    frame = spark.createDataFrame([p if rng.random() < 0.5 else p[::-1] for p in pairs] * 2 + [("z", "z")], "a string, b string")
+    got = {r.node: r.root for r in components(frame).collect()}
+    expected = {f"n{i:03}": f"n{i // 20 * 20:03}" for i in range(60)} | {f"n{i}": "n100" for i in range(100, 180)}
+    assert got == expected
+    assert components(frame.where("false")).count() == 0
+
+
+def test_near_copies_go_and_others_stay(docs):
+    rng = random.Random(7)
+    base = [" ".join(f"w{rng.randrange(9000)}" for _ in range(300)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " tail") for i, t in enumerate(base[:10])]
+    rows += [(200 + i, t.replace(t.split()[150], "changed")) for i, t in enumerate(base[:10])] + [(300, None), (301, "")]
+    kept = simhash.drop_near_copies(docs(rows, "component_id"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(30), 300]
+    assert kept.columns[-1] == "component_id"
+
+
+def test_empty_table(docs):
+    assert simhash.simhash_dedup(docs([]).where("false")).count() == 0
+    assert simhash.drop_near_copies(docs([]).where("false")).count() == 0

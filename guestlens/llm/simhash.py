@@ -254,8 +254,8 @@ def simhash_dedup(
 # Near copies in the pipeline: shingles of five words, 128 bits. Sets of shingles with
 # Jaccard similarity 0.8 differ in 19 of 128 bits on average, 0.9 in 13; unrelated ones in 64.
 NEAR_WORDS = 5
-NEAR_RADIUS = 19
-NEAR_MASKS = sampled_masks(tables=32, bits=20)
+NEAR_RADIUS = 20
+NEAR_MASKS = sampled_masks(tables=64, bits=20)
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

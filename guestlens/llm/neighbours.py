@@ -112,8 +112,8 @@ def nearest_neighbours(
     every query; recall depends on the collision threshold alone.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor
-    do rows without id or with another number of components than most small ids have (the
-    first one's). A repeated id is a candidate as often as it occurs, but never for the
+    do rows without id or with another number of components than the vector of the smallest
+    id. A repeated id is a candidate as often as it occurs, but never for the
     query of the same id. Ties go to the smaller vec_id. With fewer candidates than wanted
     all are returned. No vectors, no rows. Other columns are not looked at.
     """

@@ -34,7 +34,7 @@ def test_rules(spark, url, expected):
 
 
 def test_links(spark):
-    html = """<a href="http://B.com/x">1</a><A class='a>b' HREF=//c.com>2</A><a href='/own'>3</a><a data-href="http://no.com">
+    html = """<a href="http://B.com/x">1</a><A class='a>b' title=it's HREF=//c.com>2</A><a href='/own'>3</a><a data-href="http://no.com">
       <a href="mailto:x@y.z">4</a><abbr href="http://no.com"></abbr><a href="https://b.com?q">5</a>"""
     pages = pages_of(spark, [(1, "http://a.com/", html), (2, "http://b.com/", html), (3, None, html)])
     links = hosts.host_links(pages.select(hosts.host_of(F.col("url")).alias("host"), "html"))

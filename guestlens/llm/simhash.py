@@ -12,6 +12,8 @@ from guestlens.session import stage
 
 # Largest number of fingerprints in one tree.
 TREE_SIZE = 16_384
+# Large shards whose sizes may be broadcast, 16 bytes each.
+_BROADCAST_SHARDS = 1_000_000
 # Pairs that one step of a search holds at most, about 16 bytes each.
 _FRONTIER = 2_000_000
 
@@ -130,13 +132,16 @@ def _links_of(rows, radius: int, words64: int):
     import numpy as np
     import pyarrow as pa
 
-    values = np.stack([rows.column(f"w{i}").to_numpy() for i in range(words64)], axis=1).view(np.uint64)
-    shard = np.unique(rows.column("shard").to_numpy(), return_inverse=True)[1]
-    role = rows.column("role").to_numpy()
+    shard = rows.column("shard").to_numpy()
+    same = shard[1:] == shard[:-1]
+    shared = np.r_[False, same] | np.r_[same, False]  # rows alone in their shard have no links
+    values = np.stack([rows.column(f"w{i}").to_numpy()[shared] for i in range(words64)], axis=1).view(np.uint64)
+    shard = np.cumsum(np.r_[False, shard[shared][1:] != shard[shared][:-1]]) if shared.any() else shard[shared]
+    role = rows.column("role").to_numpy()[shared]
     # role 0: in the tree, 1: looks for neighbours, 2: both
     in_tree, asks = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
     root, key, child = bk_forest(shard[in_tree], values[in_tree])
-    start_of = np.full(shard.max() + 1, -1)
+    start_of = np.full(shard.max(initial=-1) + 1, -1)
     start_of[shard[in_tree]] = root
     asks = asks[start_of[shard[asks]] >= 0]
     label = np.arange(len(shard))
@@ -180,10 +185,11 @@ def shard_links(prints: DataFrame, masks: list[tuple[int, ...]], radius: int, tr
         for n, mask in enumerate(masks)
     ]
     keyed = stage(prints.select(*words, F.explode(F.array(*shards)).alias("shard")), "shards")
-    sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    sizes = stage(sizes, "shard-sizes")
-    parts = F.ceil(F.col("_n") / tree_size).cast("int")
-    placed = keyed.join(sizes, "shard").withColumn("_parts", parts)
+    sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tree_size)
+    sizes = stage(sizes, "large-shards")
+    hint = F.broadcast if sizes.count() <= _BROADCAST_SHARDS else (lambda df: df)
+    parts = F.coalesce(F.ceil(F.col("_n") / tree_size).cast("int"), F.lit(1))
+    placed = keyed.join(hint(sizes), "shard", "left").withColumn("_parts", parts)
     placed = placed.withColumn("_part", F.pmod(F.xxhash64(*words), F.col("_parts")).cast("int"))
     # the pair (low, high) of parts: the low one grows the tree, the high one asks
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other")

@@ -1,16 +1,19 @@
 """Main text of web pages by the distribution of text over lines."""
 
+import itertools
 import re
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 
-# Lines in a window; share of the largest stretch's text from which another stretch of a
-# page without article mark belongs to the text; share of link text from which a line
-# outside an article is a menu.
+# Lines in a window; characters without links that a window of a stretch has to reach, and
+# outside the article where a page marks one; share of linked text from which a window is
+# a menu, and inside an article.
 WINDOW = 3
-STRETCH_SHARE = 0.3
+SURGE = 40
+SURGE_OUTSIDE = 160
 LINK_SHARE = 0.6
+LINK_SHARE_ARTICLE = 0.9
 
 # Fixed values of HTML: elements that start a line, and those without an end tag.
 _BLOCKS = frozenset(
@@ -110,36 +113,60 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
 def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     """(surge, dive) of every stretch of lines: the text of the window that starts at a
     line rises from nothing at the surge and falls to nothing at the dive."""
-    running = sum(lengths[:window])
+    return _runs([sum(lengths[i : i + window]) > 0 for i in range(len(lengths))])
+
+
+def _runs(open_: list[bool]) -> list[tuple[int, int]]:
     found, start = [], None
-    for i in range(len(lengths)):
-        if running and start is None:
+    for i, now in enumerate([*open_, False]):
+        if now and start is None:
             start = i
-        elif not running and start is not None:
+        elif not now and start is not None:
             found.append((start, i))
             start = None
-        running += (lengths[i + window] if i + window < len(lengths) else 0) - lengths[i]
-    if start is not None:
-        found.append((start, len(lengths)))
     return found
 
 
-def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    marked = any(article and not aside for _, _, article, aside in lines)
+def _kept(lines: list[tuple[str, int]], article: bool, surge: int, share: float, window: int = WINDOW) -> list[str]:
+    """The lines between surges and dives of (text, linked) lines. A window that is mostly
+    links is empty, unless its first line alone makes a surge; a stretch reaches `surge`
+    characters without links in one of its windows, and holds the lines of its windows.
+    Lines of links at its ends are the menus next to it, in an article only where there
+    are as many as a window has."""
+    dense = [linked > share * len(text) for text, linked in lines]
+    plain, open_, menu = [], [], [not article] * len(lines)
+    for i, (text, linked) in enumerate(lines):
+        block = lines[i : i + window]
+        length, links = sum(len(t) for t, _ in block), sum(n for _, n in block)
+        open_.append(links <= share * length or not dense[i] and len(text) - linked >= surge)
+        plain.append(length - links)
+        if len(block) == window and all(dense[i : i + window]):
+            menu[i : i + window] = [True] * window
+    kept = [False] * len(lines)
+    for a, b in _runs(open_):
+        if max(plain[a:b]) < surge:
+            continue
+        b = min(b + window - 1, len(lines))
+        while dense[a] and menu[a]:
+            a += 1
+        while dense[b - 1] and menu[b - 1]:
+            b -= 1
+        kept[a:b] = [True] * (b - a)
+    return [text for (text, _), k in zip(lines, kept) if k]
 
-    def length(line) -> int:
-        text, linked, article, aside = line
-        if aside or marked and not article or not marked and linked > LINK_SHARE * len(text):
-            return 0
-        return len(text)
 
-    lengths = [length(line) for line in lines]
-    found = stretches(lengths)
-    mass = [sum(lengths[a:b]) for a, b in found]
-    if not marked:
-        found = [s for s, m in zip(found, mass) if m >= STRETCH_SHARE * max(mass)]
-    return "\n\n".join(lines[i][0] for a, b in found for i in range(a, b) if lengths[i])
+def main_text(html: str | None) -> str:
+    lines = [line for line in lines_of(html or "") if not line[3]]
+    marked = any(article for _, _, article, _ in lines)
+    surge = SURGE_OUTSIDE
+    if not marked:  # little text may be all there is
+        windows = [sum(len(t) - n for t, n, _, _ in lines[i : i + WINDOW]) for i in range(len(lines))]
+        surge = min(SURGE, max(1, max(windows, default=1)))
+    texts = []
+    for article, part in itertools.groupby(lines, key=lambda line: line[2]):
+        limits = (1, LINK_SHARE_ARTICLE) if article else (surge, LINK_SHARE)
+        texts += _kept([line[:2] for line in part], article, *limits)
+    return "\n\n".join(texts or [text for text, _, article, _ in lines if article])
 
 
 def extract_articles(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -148,11 +175,14 @@ def extract_articles(pages: DataFrame, page_id: str = "page_id", url: str = "url
     Line-block distribution. Markup is stripped to one line per block element; character
     references are decoded and white space inside a line becomes one space. Lines in
     menus, headers, footers, side bars, notices, adverts, forms, reader comments and the
-    like count as lines without text, and so do lines outside the article where a page
-    marks one, else lines that are mostly links. Text lengths are summed over sliding
-    windows of lines; the text between each surge and the next dive is kept, on pages
-    without an article mark only of stretches that hold at least 0.3 of the largest one's
-    text. Lines are joined by an empty line, in page order.
+    like are left out. Text and linked text are summed over sliding windows of three
+    lines. A window of mostly links is empty; the text between each surge and the next
+    dive is kept when a window of it holds 40 characters without links, however long
+    other stretches are. An article mark only moves the thresholds: inside, a window is
+    empty from a share of links of 0.9 in place of 0.6, and any text without links is a
+    surge; outside, 160 characters are one. Windows do not span the border. On a page
+    that never reaches 40 the fullest window is the threshold, and an article of links
+    alone is kept. Lines are joined by an empty line, in page order.
 
     A null or empty html gives an empty text. Unclosed tags end with what holds them.
     Repeated rows are rows of their own. An empty table gives no rows. Other columns are

@@ -29,6 +29,27 @@ def test_page_without_article_mark():
     assert got == [f"Sentence number {i} of a text that is long enough." for i in range(12)]
 
 
+PROSE = [f"Paragraph {i} of a text goes on for a while, so that it is prose and nothing else." for i in range(40)]
+LINKS = "".join(f"<p><a href=/{i}>Some other headline of the site, number {i}</a></p>" for i in range(5))
+
+
+def _paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_windows_decide_on_marked_pages():
+    page = f"<body><p>Tagline</p><article>{_paragraphs(PROSE[:4])}{LINKS}{_paragraphs(PROSE[4:8])}</article>"
+    assert article.main_text(page).split("\n\n") == PROSE[:8]  # menu in the article
+    page = f"<body><main><h1>Head</h1>{_paragraphs(PROSE[:3])}</main><div>{_paragraphs(PROSE[3:9])}</div><p>Imprint</p>"
+    assert article.main_text(page).split("\n\n") == ["Head", *PROSE[:3], *PROSE[3:9], "Imprint"]  # text outside the mark
+    shares = "".join(f"<p><a href=/{i}>Share {i}</a></p>" for i in range(2))
+    page = f"<article><h1>Head</h1><div class=share>{shares * 3}</div>{_paragraphs(PROSE[:2])}{shares}{_paragraphs(PROSE[2:3])}</article>"
+    assert article.main_text(page).split("\n\n") == ["Head", *PROSE[:2], "Share 0", "Share 1", PROSE[2]]
+    page = f"<article><h1>Head</h1>{LINKS}{_paragraphs(PROSE[:2])}<p><a href=/>Source</a></p></article>"
+    assert article.main_text(page).split("\n\n") == ["Head", *PROSE[:2], "Source"]
+    assert article.main_text(f"<article>{LINKS}</article>").count("\n\n") == 4
+
+
 def test_stretches():
     assert article.stretches([0, 0, 5, 0, 5, 0, 0, 0, 0, 7]) == [(0, 5), (7, 10)]
     assert article.stretches([]) == [] and article.stretches([0, 0]) == [] and article.stretches([3]) == [(0, 1)]

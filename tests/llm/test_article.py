@@ -50,6 +50,18 @@ def test_windows_decide_on_marked_pages():
     assert article.main_text(f"<article>{LINKS}</article>").count("\n\n") == 4
 
 
+def test_unmarked_article_split_by_adverts():
+    # a conclusion far shorter than the longest stretch, and citations that are mostly links
+    cited = "As Smith wrote: <a href=/s>the long title of a paper on many things and some others</a>"
+    advert = "<div class=ad>Buy</div>" * 4
+    for between in (LINKS, advert, advert + LINKS):
+        page = f"<body>{LINKS}<div>{_paragraphs([*PROSE[:30], cited, *PROSE[30:32]])}{between}{_paragraphs(PROSE[32:34])}</div>{LINKS}"
+        got = article.main_text(page).split("\n\n")
+        assert got == [*PROSE[:30], re.sub("<[^>]*>", "", cited), *PROSE[30:34]]
+    page = f"<body>{_paragraphs(PROSE[:2])}{LINKS}{_paragraphs(PROSE[2:3])}{LINKS}{_paragraphs(PROSE[3:])}"
+    assert article.main_text(page).split("\n\n") == PROSE
+
+
 def test_stretches():
     assert article.stretches([0, 0, 5, 0, 5, 0, 0, 0, 0, 7]) == [(0, 5), (7, 10)]
     assert article.stretches([]) == [] and article.stretches([0, 0]) == [] and article.stretches([3]) == [(0, 1)]

@@ -33,28 +33,49 @@ _ASIDE_WORDS = frozenset(
     "navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion recommended related "
     "replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words of the layout, which also stand on wrappers of whole pages, as forms do; an article
+# in such an element is one.
+_LAYOUT = frozenset("banner footer header login masthead menu nav navbar navigation search sidebar toolbar".split())
+# First parts of class words that tell of a layout or of something absent.
+_ABOUT = frozenset("has have hide is no not show with without".split())
 _ARTICLE = frozenset(("article", "main"))
 _ROOTS = frozenset(("html", "body", "article", "main"))
 _SPLIT = re.compile(r"[^a-z]+")
+_EDGES = re.compile(r"^[^a-z]+|[^a-z]+$")
 # Elements whose start ends an open paragraph or an open element of their own kind.
 _SIBLINGS = frozenset(("li", "dt", "dd", "tr", "td", "th", "option", "p"))
 
 
+def _aside_words(value: str) -> set[str]:
+    """Words of `_ASIDE_WORDS` in a class, id or role: whole ones, or the last part of a
+    compound, which says what the element is ("cookie-notice", but not "sidebar-wrap")."""
+    found = set()
+    for token in value.lower().split():
+        parts = [p for p in _SPLIT.split(token) if p]
+        if parts and (_EDGES.sub("", token) in _ASIDE_WORDS or parts[-1] in _ASIDE_WORDS and parts[0] not in _ABOUT):
+            found.add(parts[-1])
+    return found
+
+
 class _Lines(HTMLParser):
     """Strips markup: one line per block, with its text, the part of it in links, whether
-    it stands in an article, and whether in something that is no main text."""
+    it stands in an article, and whether in something that is no main text: _NO, _YES, or
+    the numbers of the wrappers around it that say so by a word of the layout or as forms."""
+
+    _NO, _YES = (), (0,)
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, aside, article
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.open: list[tuple[str, tuple[int, ...], bool]] = []  # tag, aside, article
+        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.wrappers = 0
         self.parts: list[str] = []
         self.linked = self.links = 0
 
     def end_line(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            aside, article = self.open[-1][1:] if self.open else (False, False)
+            aside, article = self.open[-1][1:] if self.open else (self._NO, False)
             self.lines.append((text, self.linked, article, aside))
         self.parts, self.linked = [], 0
 
@@ -67,23 +88,28 @@ class _Lines(HTMLParser):
                 self.end_element()
         if tag in _VOID:
             return
-        aside, article = self.open[-1][1:] if self.open else (False, False)
-        article = article or tag in _ARTICLE
-        if tag not in _ROOTS:
-            words = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
+        aside, article = self.open[-1][1:] if self.open else (self._NO, False)
+        if tag in _ARTICLE:
+            article = True
+            aside = aside if aside == self._YES else self._NO
+        if tag not in _ROOTS and aside != self._YES:
+            words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in _aside_words(v)}
             hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-            words = {tag, *_SPLIT.split(words)}
             if article:
                 words.discard("header")  # the title of the article
-            aside = aside or hidden or tag in _ASIDE or not _ASIDE_WORDS.isdisjoint(words)
-        if aside != (self.open[-1][1] if self.open else False):
+            if hidden or tag in _ASIDE - {"form"} and not (article and tag == "header") or words - _LAYOUT:
+                aside = self._YES
+            elif words or tag == "form":
+                self.wrappers += 1
+                aside = (*aside, self.wrappers)
+        if aside != (self.open[-1][1] if self.open else self._NO):
             self.end_line()
         self.open.append((tag, aside, article))
         self.links += tag == "a"
 
     def end_element(self):
         tag, aside, _ = self.open[-1]
-        if tag in _BLOCKS or aside != (self.open[-2][1] if len(self.open) > 1 else False):
+        if tag in _BLOCKS or aside != (self.open[-2][1] if len(self.open) > 1 else self._NO):
             self.end_line()
         self.links -= tag == "a"
         self.open.pop()
@@ -103,11 +129,21 @@ class _Lines(HTMLParser):
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
+    """A wrapper that holds more than half of the text without links is not aside; where
+    an article is marked already, only one inside of it may be such."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    return parser.lines
+    lines = parser.lines
+    marked = any(article and not aside for _, _, article, aside in lines)
+    held, total = [0] * (parser.wrappers + 1), 0
+    for text, linked, article, aside in lines:
+        if aside != parser._YES and (article or not marked):
+            total += len(text) - linked
+            for wrapper in aside:
+                held[wrapper] += len(text) - linked
+    return [(t, n, article, any(2 * held[w] <= total for w in aside)) for t, n, article, aside in lines]
 
 
 def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:

@@ -62,6 +62,18 @@ def test_unmarked_article_split_by_adverts():
     assert article.main_text(page).split("\n\n") == PROSE
 
 
+@pytest.mark.parametrize(
+    "start", ["div class='content-sidebar-wrap'", "div class='layout has-sidebar'", "div id='no-comments'", "form id='aspnetForm'",
+              "div class='sidebar'", "section class='main-menu'"]
+)
+def test_wrappers_of_the_whole_page(start):
+    end, nav = f"</{start.split()[0]}>", "<nav><p>Menu of this page, which is long enough to be text</p></nav>"
+    comments = f"<div class='post-comments'><article>{_paragraphs(PROSE[10:])}</article></div>"
+    for body in (_paragraphs(PROSE[:9]), f"<article>{_paragraphs(PROSE[:9])}</article>", f"<main>{_paragraphs(PROSE[:9])}</main>"):
+        page = f"<body><{start}>{nav}{body}{comments}{end}<form><p>A form that is long enough to be a text on its own</p></form>"
+        assert article.main_text(page).split("\n\n") == PROSE[:9]
+
+
 def test_stretches():
     assert article.stretches([0, 0, 5, 0, 5, 0, 0, 0, 0, 7]) == [(0, 5), (7, 10)]
     assert article.stretches([]) == [] and article.stretches([0, 0]) == [] and article.stretches([3]) == [(0, 1)]

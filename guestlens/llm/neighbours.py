@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 # Single projections, and how many of them must collide before a vector is verified.
 PROJECTIONS = 96
 THRESHOLD = 58
-# Vectors in one index; at most 65,535, since places in the arrays are kept in 16 bits.
+# Vectors in one index on average; up to 65,535 places in the arrays are kept in 16 bits.
 SHARD_VECTORS = 16_384
 # Vectors of an index that are verified per query at least, besides the wanted number:
 # a fixed number and a share of the index.
@@ -32,8 +32,9 @@ class CollisionIndex:
         order = np.argsort(places, axis=1, kind="stable")
         self.sorted = np.take_along_axis(places, order, axis=1)
         # place of each vector in each sorted array
-        self.place = np.empty(order.shape, dtype=np.uint16)
-        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+        self.kind = np.uint16 if len(ids) <= 65_535 else np.uint32
+        self.place = np.empty(order.shape, dtype=self.kind)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.kind)[None, :], axis=1)
         # first window: what a few vectors of the shard would have needed, a little less
         self.width = float(np.sqrt(lengths.max())) / 64
         trials = vectors[:: max(1, len(ids) // 8)][:8]
@@ -59,8 +60,8 @@ class CollisionIndex:
             going = []
             for k, query in enumerate(open_):
                 # below the low end the difference wraps around and is large
-                first, span = low[:, k, None].astype(np.uint16), high[:, k, None] - low[:, k, None]
-                inside = (self.place - first) < span.astype(np.uint16)
+                first, span = low[:, k, None].astype(self.kind), high[:, k, None] - low[:, k, None]
+                inside = (self.place - first) < span.astype(self.kind)
                 over = np.flatnonzero(inside.sum(axis=0, dtype=np.int16) >= self.threshold)
                 if len(over) >= enough or (span == n).all():
                     results[query] = (over, width)
@@ -91,6 +92,12 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
 
 
+def dealt(vectors: DataFrame, shards: int) -> DataFrame:
+    """The vectors with their shard; repeated rows of one id spread over all shards."""
+    shard = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards))
+    return vectors.select(shard.alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     wanted: int = 20,
@@ -105,7 +112,7 @@ def nearest_neighbours(
     """(query_id, rank, vec_id, score): the nearest found of every query, nearest first.
 
     Queries are the vectors whose id is divisible by `query_every`. Vectors are dealt by
-    a hash of the id to shards of bounded size, each with its own index; every shard is
+    a hash of id and row to shards of bounded size, each with its own index; every shard is
     sent the queries after its vectors and reads them as a stream, so that a task holds
     one index and one Arrow batch of queries. A shard passes on `wanted` rows a query,
     and the best of all shards remain. Every vector is indexed, and every shard answers
@@ -121,11 +128,11 @@ def nearest_neighbours(
     counted = good.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("vec_id", F.size("v").alias("size")))["size"].alias("size")).first()
     good = good.where(F.size("v") == (counted["size"] or 0))
     shards = max(1, -(-counted["n"] // shard_vectors))
-    indexed = good.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
+    indexed = dealt(good, shards)
     asked = good.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "v"])
     shard = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
     asked = asked.select(shard, F.lit(1).alias("kind"), "vec_id", "v")
-    dealt = indexed.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
+    both = indexed.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
 
     def answer(batches):
         import numpy as np
@@ -157,7 +164,7 @@ def nearest_neighbours(
                     columns = [query, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
                     yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(answer, "query_id long, vec_id long, score double")
+    found = both.mapInArrow(answer, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     ranked = found.withColumn("rank", best).where(F.col("rank") <= wanted)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -54,6 +54,17 @@ def test_ties_copies_and_rows_that_take_no_part(spark):
     assert got.keys() == {0, 20, 100}
 
 
+def test_repeats_of_one_id(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((66_000, 2))
+    index = neighbours.CollisionIndex(np.full(66_000, 7), vectors, 8, 8, 0.01)
+    assert (np.sort(index.place, axis=1) == np.arange(66_000)).all()
+    rows = [(7, [1.0, float(i)]) for i in range(400)] + [(20, [1.0, 0.0])]
+    good = neighbours.dealt(frame_of(spark, rows).selectExpr("vec_id", "cast(embedding as array<double>) v"), 4)
+    counts = [r["count"] for r in good.where("vec_id = 7").groupBy("shard").count().collect()]
+    assert len(counts) == 4 and max(counts) < 200
+
+
 def test_few_and_none(spark):
     got = answers(neighbours.nearest_neighbours(frame_of(spark, [(0, [1.0, 2.0]), (3, [2.0, 1.0])])))
     assert [i for i, _ in got[0]] == [3]

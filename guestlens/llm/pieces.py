@@ -124,6 +124,15 @@ class MergeEncoder:
         return " ".join([self.names[i] for i in ids])
 
 
+def checked(encoder, texts: list[str]):
+    """(ids, decoded, agrees) of every text: the agenda's ids, what they decode to, and
+    whether the library gives the same ids."""
+    library = encoder.library
+    for text, right in zip(texts, library.encode(texts, add_eos=True, num_threads=1)):
+        ids = encoder.encode(text)
+        yield ids, library.decode(ids), ids == right
+
+
 def encoded(docs: DataFrame, model_path: str, doc_id: str, text: str, form: dict[str, str], row) -> DataFrame:
     """doc_id and the columns of `form`, made by row(encoder, ids, decoded, agrees) of
     every document, in small blocks of an Arrow batch."""
@@ -143,10 +152,7 @@ def encoded(docs: DataFrame, model_path: str, doc_id: str, text: str, form: dict
             rows = []
             for at in range(0, len(batch), 64):
                 block = [t or "" for t in batch.column(1).slice(at, 64).to_pylist()]
-                checked = encoder.library.encode(block, add_eos=True, num_threads=1)
-                for t, right in zip(block, checked):
-                    ids = encoder.encode(t)
-                    rows.append(row(encoder, right, encoder.library.decode(right), ids == right))
+                rows += [row(encoder, *found) for found in checked(encoder, block)]
             if rows:
                 made = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
                 yield pa.record_batch([batch.column(0), *made], names)
@@ -160,7 +166,7 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
     The ids come from a score-ordered agenda of adjacent symbol pairs, per word, since
     no piece crosses a word; words seen before are looked up in a store of bounded size.
     Every Arrow batch is checked against the sentencepiece library: `agrees` tells
-    whether both gave the same ids, and the library's are returned if they ever differ.
+    whether both gave the same ids; the agenda's are returned and decoded in any case.
     Encoding appends the end id and samples nothing; decoding is the library's.
 
     A null text is empty and gives the end id alone. Repeated rows are rows of their own.

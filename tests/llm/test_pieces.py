@@ -31,6 +31,12 @@ def test_the_two_agendas_agree(encoder, monkeypatch):
     assert [encoder.pieces(w) for w in ("▁international", "▁▁▁", "hello", "aaaaaaaa")] == short
 
 
+def test_a_wrong_agenda_shows(encoder, monkeypatch):
+    other = encoder.encode("another text")
+    monkeypatch.setattr(encoder, "encode", lambda text: other)
+    assert list(pieces.checked(encoder, ["some text", "another text"])) == [(other, "another text", False), (other, "another text", True)]
+
+
 def test_frame(docs):
     rows = [*enumerate(ODD), (None, None), (0, ""), (99, "word " * 30_000)]
     library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())

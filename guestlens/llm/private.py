@@ -31,7 +31,19 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+# Characters of an IBAN by country.
+_IBAN_LENGTH = {
+    code: length
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 
@@ -61,6 +73,24 @@ def _emails(text: str):
         at = text.find("@", at + 1)
 
 
+def _ibans(text: str):
+    """The end is where the country's length says, for other countries the last end of a
+    token that mod 97 confirms: capitals and digits may follow after a space."""
+    end = 0
+    for start in _IBAN_START.finditer(text):
+        m = _IBAN.match(text, start.start()) if start.start() >= end else None
+        wanted = _IBAN_LENGTH.get(start[0][:2])
+        for at in range(m.end(), m.start() + 14, -1) if m else ():
+            shown = text[m.start() : at].replace(" ", "")
+            if text[at - 1] == " " or at < len(text) and text[at].isascii() and text[at].isalnum():
+                continue
+            if len(shown) == wanted or wanted is None and len(shown) >= 15:
+                if mod97(shown):
+                    end = at
+                    yield m.start(), at
+                    break
+
+
 def _octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 3 or len(part) == 3 and int(part) <= 255
@@ -84,7 +114,7 @@ def proposed(text: str):
     for m in _PHONE.finditer(text):
         if 8 <= len(_digits(m[0])) <= 15:
             yield "phone", m.start(), m.end()
-    yield from (("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", "")))
+    yield from (("iban", a, b) for a, b in _ibans(text))
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", m.start(), m.end()
@@ -110,7 +140,8 @@ def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Regular expressions propose spans, leftmost first and without overlap within a
     kind; checksums and ranges confirm them (Luhn for cards, mod 97 for IBANs, parts of
-    addresses, digits of numbers), a failing match is dropped and not tried again.
+    addresses, digits of numbers), a failing match is dropped and not tried again; an
+    IBAN is as long as its country has it, whatever follows.
     Context words within 48 characters raise the score. Base kinds are kept at any
     score; cards of 13 to 15 digits and social security numbers only with context.
 

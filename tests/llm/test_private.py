@@ -52,6 +52,15 @@ def test_method_adds_confirmed_spans():
     assert near[3] > far[3]
 
 
+def test_iban_before_capitals_and_digits():
+    german, french = "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606"
+    for iban in (german, german.replace(" ", ""), french):
+        for text in ("IBAN {} BIC COBADEFF", "{} 2024", "AB12 CDEF {} {} END", "{}, X", "{} and"):
+            found = [text.format(iban, iban)[a:b] for kind, a, b in private.proposed(text.format(iban, iban)) if kind == "iban"]
+            assert found == [iban] * text.count("{}")
+    assert not any(kind == "iban" for kind, *_ in private.proposed(f"{german}X {german}0 x{german}"))
+
+
 def test_frame(docs):
     rows = [(1, None), (2, ""), (None, "😀 a@b.co"), (3, "x " * 60_000 + "1.2.3.4"), (3, "a@b.co"), (3, "a@b.co")]
     got = private.find_private(docs(rows, "found", "spans")).collect()

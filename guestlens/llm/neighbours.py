@@ -119,15 +119,16 @@ def nearest_neighbours(
     every query; recall depends on the collision threshold alone.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor
-    do rows without id or with another number of components than the vector of the smallest
-    id. A repeated id is a candidate as often as it occurs, but never for the
+    do rows without id or with another number of components than most have (of equally
+    frequent numbers the larger). A repeated id is a candidate as often as it occurs, but never for the
     query of the same id. Ties go to the smaller vec_id. With fewer candidates than wanted
     all are returned. No vectors, no rows. Other columns are not looked at.
     """
     good = usable(vectors, vec_id, embedding)
-    counted = good.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("vec_id", F.size("v").alias("size")))["size"].alias("size")).first()
-    good = good.where(F.size("v") == (counted["size"] or 0))
-    shards = max(1, -(-counted["n"] // shard_vectors))
+    counted = good.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.agg(F.max(F.struct("n", "size")).alias("most")).first()["most"]
+    good = good.where(F.size("v") == (counted["size"] if counted else 0))
+    shards = max(1, -(-counted["n"] // shard_vectors)) if counted else 1
     indexed = dealt(good, shards)
     asked = good.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "v"])
     shard = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")

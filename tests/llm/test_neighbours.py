@@ -65,6 +65,12 @@ def test_repeats_of_one_id(spark):
     assert len(counts) == 4 and max(counts) < 200
 
 
+def test_one_malformed_vector_of_the_smallest_id(spark):
+    rows = [(0, [1.0]), *((i, [1.0, float(i)]) for i in range(20, 60))]
+    got = answers(neighbours.nearest_neighbours(frame_of(spark, rows), wanted=2))
+    assert got.keys() == {20, 40} and [i for i, _ in got[20]] == [59, 58]
+
+
 def test_few_and_none(spark):
     got = answers(neighbours.nearest_neighbours(frame_of(spark, [(0, [1.0, 2.0]), (3, [2.0, 1.0])])))
     assert [i for i, _ in got[0]] == [3]

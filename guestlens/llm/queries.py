@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestlens.llm import article, exact, hosts, licences, mixing, neighbours, pieces, private, simhash, toxicity
+from guestlens.llm import article, exact, hosts, licences, mixing, neighbours, pieces, private, simhash, spelling, toxicity
 from guestlens.llm.common import read
 
 
@@ -70,6 +70,21 @@ def op10_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def altered_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, word): the letter runs of the documents. Where 97 divides the checksum of
+    `<doc_id>:<run>`, one code point is deleted; without an id nothing is."""
+    runs = spelling.letter_runs(docs).where(F.col("run") != "")
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    at = (h % F.char_length("run")).cast("int")
+    deleted = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.char_length("run")))
+    return runs.select("doc_id", F.when(h % 97 == 0, deleted).otherwise(F.col("run")).alias("word"))
+
+
+def op11_group_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = altered_runs(read(spark, sf_dir, "documents"))
+    return spelling.spelling_variants(spelling.frequent_words(words, min_length=5, min_count=3), ratio=2)
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -81,4 +96,5 @@ QUERIES = {
     "op8_find_toxic": op8_find_toxic,
     "op9_find_private": op9_find_private,
     "op10_judge_urls": op10_judge_urls,
+    "op11_group_spellings": op11_group_spellings,
 }

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestlens.llm import article, exact, hosts, licences, mixing, neighbours, pieces, private, simhash, spelling, toxicity
+from guestlens.functions.binding import bind
+from guestlens.llm import article, exact, hosts, licences, mixing, neighbours, periodic, pieces, private, simhash, spelling, toxicity
 from guestlens.llm.common import read
 
 
@@ -85,6 +86,40 @@ def op11_group_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.frequent_words(words, min_length=5, min_count=3), ratio=2)
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): with h the checksum of the decimal doc_id and g = h / 10, where 10
+    divides h the words from g % n on repeat the first p of them, p = 1 + (n - a) / (3 + g % 8).
+    Without an id nothing is changed."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        a = (h / 10).cast("long") % n
+        p = 1 + ((n - a) / (3 + (h / 10).cast("long") % 8)).cast("long")
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        # `get` binds what the places need of each document once
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))), " ")).otherwise("")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, bind(words, repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_find_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(planted_runs(read(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    found = found.withColumn("_best", periodic.longest(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "_best.start",
+        "_best.length",
+        "_best.period",
+        F.floor(1000 * F.col("_best.length") / F.col("_best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -97,4 +132,5 @@ QUERIES = {
     "op9_find_private": op9_find_private,
     "op10_judge_urls": op10_judge_urls,
     "op11_group_spellings": op11_group_spellings,
+    "op12_find_periodic_runs": op12_find_periodic_runs,
 }

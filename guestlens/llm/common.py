@@ -1,8 +1,10 @@
 """What several training-data operators share."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from guestlens.session import stage
+
 # Rows of an id list that may be broadcast: at 16 bytes a row, 32 MB.
 _BROADCAST_IDS = 2_000_000
 
@@ -24,6 +26,24 @@ def words_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
 
 
+def totals_before(rows: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
+    """Adds the sum of `amount` over all rows before each one in the given order.
+
+    Rows are range-sorted and stored, since the boundaries of a range shuffle are sampled
+    and all readers must see the same ones. Sums run within a partition; the partitions
+    before it add one number each.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(placed.withColumn("_id", F.monotonically_increasing_id()), "in-order")
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    sums = placed.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    offsets = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_offset"))
+    within = F.sum(amount).over(Window.partitionBy("_part").orderBy("_id")) - F.col(amount)
+    # one row per shuffle partition, so this side is small by construction
+    summed = placed.withColumn("_within", within).join(F.broadcast(offsets), "_part")
+    return summed.withColumn(name, (F.col("_offset") + F.col("_within")).cast("long")).drop("_id", "_part", "_offset", "_within")
+
+
 def keep_decided(docs: DataFrame, decisions: DataFrame, doc_id: str, key: Column) -> DataFrame:
     """The rows of `docs` whose decision is to stay, with their columns.
 

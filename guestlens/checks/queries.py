@@ -74,8 +74,7 @@ def ingest_new_only(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "reviews")
     writers.create_table(spark, path)
     for batch in (derived.labelled_reviews(spark, sf), derived.raw_reviews(spark, sf)):
-        new = ingest.ingest_raw(batch, readers.read_reviews(spark, path))
-        writers.append_reviews(new, path)
+        writers.insert_new(batch, path)
     return _rounded(readers.read_reviews(spark, path).select(_STORED), "score")
 
 

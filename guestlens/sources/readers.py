@@ -1,13 +1,12 @@
 """Review tables, review CSV files and captured pages."""
 
-import datetime
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guestlens.schema import RAW_REVIEW, REVIEW
+from guestlens.sources import table
 
 # Texts hold line breaks and quotes; blanks at the edges are part of the text.
 CSV_OPTIONS = {
@@ -29,26 +28,13 @@ PAGE = T.StructType(
 )
 
 
-def read_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW) -> DataFrame:
-    """Stored review table; the schema is declared, never inferred."""
-    return spark.read.schema(schema).parquet(path)
-
-
-def read_months(
-    spark: SparkSession, path: str, months: set[datetime.date | None], schema: T.StructType = REVIEW, ingest_id: str = "*"
-) -> DataFrame:
-    """Rows of the given months of a stored table, None standing for undated rows, of one
-    ingest or of all. Only the folders of these months are listed."""
-    names = sorted("__HIVE_DEFAULT_PARTITION__" if m is None else m.isoformat() for m in months)
-    if not names:
-        return spark.createDataFrame([], schema)
-    folders = f"{path}/review_month={{{','.join(names)}}}/ingest_id={ingest_id}"
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(folders)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def read_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW, version: int | None = None) -> DataFrame:
+    """Stored review table in its newest version or an earlier one, or a Parquet folder
+    that no writer of this library made; the schema is declared, never inferred."""
+    found = table.current(spark, path, version)
+    if not found.number and not found.parts:
+        return spark.read.schema(schema).parquet(path)
+    return table.read(spark, path, schema, found)
 
 
 def read_reviews_jdbc(
@@ -91,9 +77,9 @@ def reviews_or_fallback(spark: SparkSession, table_path: str, csv_path: str) ->
     The two have different columns; callers test for the ones they need.
     """
     try:
-        table = read_reviews(spark, table_path)
-        if not table.isEmpty():
-            return table
+        reviews = read_reviews(spark, table_path)
+        if not reviews.isEmpty():
+            return reviews
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

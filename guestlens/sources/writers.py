@@ -1,16 +1,18 @@
 """Sinks of the review data."""
 
-import datetime
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guestlens.functions.dates import parse_review_date
 from guestlens.functions.scores import normalize_score
+from guestlens.operators.dedup import keep_first, new_rows, with_hash
 from guestlens.schema import RAW_COLUMNS, REVIEW, STORED_COLUMNS
-from guestlens.session import remove, stage, staging
+from guestlens.session import stage, staging
+from guestlens.sources import hashindex, table
 from guestlens.sources.readers import CSV_OPTIONS
 
 # A CSV file with line breaks inside quotes is read by one task, so files stay moderate.
@@ -38,28 +40,88 @@ def stored_form(raw: DataFrame) -> DataFrame:
     return stored.withColumn("review_month", F.trunc("review_date", "month")).select(*STORED_COLUMNS)
 
 
-PARTITIONS = ["review_month", "ingest_id"]
-
-
-def write_by_month(rows: DataFrame, path: str, ingest_id: str | None = None) -> None:
-    """Writes rows with a review_month into the partitions (month, ingest). The rebalance
-    gathers each month's rows into few files and splits a month that holds much of the
-    data over many tasks. Partitions of the same month and ingest are replaced, all
-    others stay. Without `ingest_id` the rows say themselves which ingest they are of."""
-    if ingest_id is not None:
-        rows = rows.withColumn("ingest_id", F.lit(ingest_id))
-    spread = rows.hint("rebalance", *PARTITIONS)
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
-
-
-def drop_other_months(spark: SparkSession, path: str, ingest_id: str, months: set[datetime.date | None]) -> None:
-    """Drops what an ingest has left in months that it no longer has rows in."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/review_month=*/ingest_id={ingest_id}")
-    for found in root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []:
-        place = found.getPath()
-        name = place.getParent().getName().removeprefix("review_month=")
-        if (None if name == "__HIVE_DEFAULT_PARTITION__" else datetime.date.fromisoformat(name)) not in months:
-            remove(spark, place.toString())
+def write_by_month(rows: DataFrame, path: str, ingest_id: str) -> None:
+    """Writes rows with a review_month into the partitions (month, ingest) of the table, in
+    place of what the same ingest has stored before; all others stay."""
+    spark = rows.sparkSession
+    add = table.write(rows, path, ingest_id)
+
+    def replace() -> None:
+        seen = table.current(spark, path)
+        own = {p for p in seen.parts if p.ingest_id == ingest_id} - set(add)
+        table.commit(spark, path, seen, add, own, months=set())
+
+    table.retried(replace)
+
+
+def insert_new(
+    batch: DataFrame,
+    path: str,
+    ingest_id: str | None = None,
+    csv_path: str | None = None,
+    schema: T.StructType = REVIEW,
+    form: Callable[[DataFrame], DataFrame] = stored_form,
+) -> dict[str, int]:
+    """Stores the raw reviews of a batch that no other ingest has brought. Returns
+    batch_size, undated and newly_saved.
+
+    Within the batch the smallest seq wins; across batches the one that came first. The
+    date is part of the hash, so a review is compared with those of its own month only,
+    undated ones with the undated; a late one like any other. Of large folders of these
+    months the hash filters are asked first, and only those that may hold a hash of the
+    batch are read (`unseen`). What the same ingest has stored before is replaced in the
+    same step, so running a batch again after a crash adds nothing; another writer's rows
+    are never touched, and if one comes first, the batch is compared again.
+    """
+    spark = batch.sparkSession
+    ingest_id = ingest_id or f"batch-{uuid.uuid4().hex}"
+    size = Observation()
+    with staging(spark):
+        first = keep_first(with_hash(batch.observe(size, F.count(F.lit(1)).alias("n"))), ["seq"])
+        arrived = stage(first.withColumn("review_month", F.trunc(parse_review_date(F.col("date")), "month")), "arrived")
+        # at most one row per calendar month
+        counts = {r["review_month"]: r["count"] for r in arrived.groupBy("review_month").count().collect()}
+        rows, undated = sum(counts.values()), counts.pop(None, 0)
+        per_month = {m.isoformat(): n for m, n in counts.items()} | ({table.UNDATED: undated} if undated else {})
+
+        def insert() -> int:
+            seen = table.current(spark, path)
+            own = {p for p in seen.parts if p.ingest_id == ingest_id}
+            if not rows and not own:
+                return 0
+            saved = Observation()
+            fresh = unseen(arrived, path, table.Version(seen.number, seen.parts - own), per_month, schema)
+            if csv_path is not None:
+                fresh = stage(fresh, "fresh")
+            fresh = fresh.observe(saved, F.count(F.lit(1)).alias("n"))
+            add = table.write(form(fresh), path, ingest_id, per_month)
+            if add or own:
+                table.commit(spark, path, seen, add, own, months=set(per_month))
+            if csv_path is not None:
+                write_review_csv(fresh, f"{csv_path}/ingest_id={ingest_id}")
+            # the plan of nothing new may leave the observation out
+            return saved.get["n"] if add else 0
+
+        newly_saved = table.retried(insert)
+    return {"batch_size": size.get["n"] if rows else 0, "undated": undated, "newly_saved": newly_saved}
+
+
+def unseen(arrived: DataFrame, path: str, seen: table.Version, per_month: dict[str, int], schema: T.StructType = REVIEW) -> DataFrame:
+    """Rows of `arrived` (one per review_hash, with its review_month) that the version does
+    not hold. `per_month` has their number by month. A large folder is read only if its
+    hash filter lets one of these hashes through, and then for those hashes."""
+    spark, rows = arrived.sparkSession, sum(per_month.values())
+    parts = [p for p in seen.parts if p.month in per_month]
+    asked = arrived.select("review_month", "review_hash")
+    held = table.read(spark, path, schema, seen, lambda p: p in parts and not p.blocks).select("review_hash")
+    if any(p.blocks for p in parts):
+        let_through = stage(hashindex.may_hold(spark, path, asked, parts), "may-be-held")
+        # at most one row per large folder
+        folders = {r["folder"] for r in let_through.select("folder").distinct().collect()}
+        if folders:
+            large = table.read(spark, path, schema, seen, lambda p: p.folder in folders)
+            held = held.unionByName(large.join(let_through.select("review_hash").distinct(), "review_hash", "left_semi").select("review_hash"))
+    return new_rows(arrived, held, rows)
 
 
 def export_projection(reviews: DataFrame) -> DataFrame:
@@ -97,20 +159,9 @@ def append_reviews(new: DataFrame, table_path: str, csv_path: str | None = None)
 
 def store_enrichment(spark: SparkSession, table_path: str, enrich: Callable[[DataFrame], DataFrame]) -> int:
     """Stores what `enrich` adds to the rows that are not enriched yet, which are those
-    without a language. Only partitions that hold such rows are read and replaced.
-    Returns the number of rows enriched."""
-    table = spark.read.schema(REVIEW).parquet(table_path)
-    undone = F.col("language").isNull()
-    with staging(spark):
-        # one row per partition; Spark chooses the join by its measured size
-        open_ = table.where(undone).groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("_n"))
-        open_ = stage(open_.withColumnsRenamed({c: f"_{c}" for c in PARTITIONS}), "open-partitions")
-        same = table["review_month"].eqNullSafe(open_["_review_month"]) & table["ingest_id"].eqNullSafe(open_["_ingest_id"])
-        touched = table.join(open_, same, "left_semi")
-        both = touched.where(~undone).unionByName(enrich(touched.where(undone)).select(*REVIEW.names))
-        # the partitions are replaced from a copy, never from themselves
-        write_by_month(stage(both, "enriched"), table_path)
-        return open_.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    without a language. Only folders that hold such rows are read and replaced, all at
+    once with the new version. Returns the number of rows enriched."""
+    return table.update(spark, table_path, F.col("language").isNull(), enrich)
 
 
 def save_bucketed(reviews: DataFrame, name: str, buckets: int) -> None:
@@ -131,6 +182,6 @@ def rewrite_distinct(df: DataFrame, name: str = "distinct") -> tuple[DataFrame,
     return (copies.drop("_copies"), removed) if removed else (df, 0)
 
 
-def create_table(spark: SparkSession, path: str, schema=REVIEW) -> None:
+def create_table(spark: SparkSession, path: str) -> None:
     """Empty table at a new path; an existing table is kept."""
-    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*PARTITIONS).parquet(path)
+    table.create(spark, path)

@@ -2,17 +2,16 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from guestlens.functions.dates import parse_review_date
-from guestlens.operators.dedup import keep_first, new_rows, with_hash
 from guestlens.schema import RAW_REVIEW, REVIEW
-from guestlens.session import stage, staging
-from guestlens.sources.readers import read_months
-from guestlens.sources.writers import create_table, drop_other_months, stored_form, write_by_month, write_review_csv
+from guestlens.sources import table
+from guestlens.sources.writers import create_table, insert_new, stored_form
+
+# Batches of a stream after which small folders are merged.
+COMPACT_EVERY = 32
 
 SEQUENCED_RAW = T.StructType([T.StructField("seq", T.LongType()), *RAW_REVIEW.fields])
 
@@ -33,39 +32,13 @@ def ingest_batch(
     schema: T.StructType = REVIEW,
     form: Callable[[DataFrame], DataFrame] = stored_form,
 ) -> Counts:
-    """Writes the reviews of one batch that no other ingest has brought.
-
-    The batch owns the partitions `review_month=<m>/ingest_id=<id>` and compares itself
-    with all others of its months, so running it again after a crash replaces its own
-    output and adds nothing, and no other ingest's rows are ever touched. Within the
-    batch the smallest seq wins; across batches the one that came first. A late review
-    is compared with the months it belongs to like any other, undated ones with the
-    undated: none is dropped. Only folders of the batch's months are listed.
-    Returns batch_size, undated and newly_saved.
+    """Stores the reviews of one batch that no other ingest has brought (`insert_new`).
+
+    What a batch has stored becomes part of the table at once, or not at all, and a batch
+    that runs again replaces its own rows; once they are merged with others, it finds all
+    of them stored. Returns batch_size, undated and newly_saved.
     """
-    spark = batch.sparkSession
-    size = Observation()
-    with staging(spark):
-        first = keep_first(with_hash(batch.observe(size, F.count(F.lit(1)).alias("n"))), ["seq"])
-        month = F.trunc(parse_review_date(F.col("date")), "month")
-        arrived = stage(first.withColumn("review_month", month), "arrived")
-        # at most one row per calendar month
-        by_month = {r["review_month"]: r["count"] for r in arrived.groupBy("review_month").count().collect()}
-        rows = sum(by_month.values())
-        held = read_months(spark, table_path, set(by_month), schema).where(F.col("ingest_id") != ingest_id)
-        fresh = new_rows(arrived, held, rows)
-        if csv_path is not None:
-            fresh = stage(fresh, "fresh")
-        if rows:
-            write_by_month(form(fresh), table_path, ingest_id)
-        own = read_months(spark, table_path, set(by_month), schema, ingest_id)
-        saved = {r["review_month"]: r["count"] for r in own.groupBy("review_month").count().collect()} if rows else {}
-        drop_other_months(spark, table_path, ingest_id, set(by_month))
-        if csv_path is not None:
-            write_review_csv(fresh, f"{csv_path}/ingest_id={ingest_id}")
-    # the plan of an empty batch may leave the observation out
-    batch_size = size.get["n"] if rows else 0
-    return {"batch_size": batch_size, "undated": by_month.get(None, 0), "newly_saved": sum(saved.values())}
+    return insert_new(batch, table_path, ingest_id, csv_path, schema, form)
 
 
 def _run(batches: DataFrame, checkpoint: str, store: Callable[[DataFrame, str], Counts], report: Report | None):
@@ -91,14 +64,23 @@ def start_ingest(
     checkpoint: str,
     csv_path: str | None = None,
     report: Report | None = None,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Ingests all that is available, then stops. The table may already hold reviews of
-    batch runs or other streams; it has one writer at a time.
+    batch runs or other streams, which may write at the same time.
 
-    `report` gets the number and the counts of each batch.
+    `report` gets the number and the counts of each batch. After every `compact_every`
+    batches small folders are merged, so that a month keeps a bounded number of them.
     """
     create_table(batches.sparkSession, table_path)
-    return _run(batches, checkpoint, lambda batch, id_: ingest_batch(batch, id_, table_path, csv_path), report)
+
+    def store(batch: DataFrame, ingest_id: str) -> Counts:
+        counts = ingest_batch(batch, ingest_id, table_path, csv_path)
+        if (int(ingest_id.rpartition("-")[2]) + 1) % compact_every == 0:
+            table.compact(batch.sparkSession, table_path)
+        return counts
+
+    return _run(batches, checkpoint, store, report)
 
 
 def start_distinct(
@@ -109,6 +91,13 @@ def start_distinct(
     `path`, which stands in for a state and may grow without bound: a batch reads the
     hashes of its own months only."""
     schema = T.StructType([*columns.fields, *(f for f in REVIEW.fields if f.name in ("review_month", "ingest_id"))])
-    create_table(batches.sparkSession, path, schema)
+    create_table(batches.sparkSession, path)
     form = lambda fresh: fresh.select(*columns.names, "review_month")
-    return _run(batches, checkpoint, lambda batch, id_: ingest_batch(batch, id_, path, None, schema, form), report)
+
+    def store(batch: DataFrame, ingest_id: str) -> Counts:
+        counts = ingest_batch(batch, ingest_id, path, None, schema, form)
+        if (int(ingest_id.rpartition("-")[2]) + 1) % COMPACT_EVERY == 0:
+            table.compact(batch.sparkSession, path, schema)
+        return counts
+
+    return _run(batches, checkpoint, store, report)

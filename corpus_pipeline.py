@@ -21,8 +21,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of near copies, by the fingerprints of op1_simhash_dedup, one stays."""
+    return simhash.drop_near_copies(docs, shingle_words=3, radius=3)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,6 @@
 """SimHash near duplicates: fingerprints linked by BK-trees over shards."""
 
-import functools
 import itertools
-import math
-import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,55 +14,7 @@ TREE_SIZE = 16_384
 # Large shards whose sizes may be broadcast, 16 bytes each.
 _BROADCAST_SHARDS = 1_000_000
 # Pairs that one step of a search holds at most, about 16 bytes each.
-_FRONTIER = 2_000_000
-
-
-def shingle_digests(text: str | None, shingle_words: int) -> set[bytes]:
-    """XXH128 values of the distinct word shingles of a text."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) <= shingle_words:
-        return {xxhash.xxh128_digest(b" ".join(words), 42)} if words else set()
-    return {xxhash.xxh128_digest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(shingle_words)))}
-
-
-def set_fingerprint_udf(shingle_words: int):
-    """Texts to hexadecimal SimHash fingerprints of 128 bits in which a shingle counts
-    once, however often it occurs, as it does in Jaccard similarity."""
-
-    @F.pandas_udf("string")
-    def fingerprint(texts):
-        import numpy as np
-        import pandas as pd
-
-        def one(text):
-            hashes = np.frombuffer(b"".join(shingle_digests(text, shingle_words)), dtype=np.uint8).reshape(-1, 16)
-            ones = np.zeros(128, dtype=np.int64)
-            for at in range(0, len(hashes), 4096):
-                ones += np.unpackbits(hashes[at : at + 4096], axis=1).sum(axis=0, dtype=np.int32)
-            return np.packbits(ones * 2 > len(hashes)).tobytes().hex()
-
-        return pd.Series([one(t) for t in texts], dtype="object")
-
-    return fingerprint
-
-
-def shingles_udf(shingle_words: int):
-    """Texts to the 64-bit values of their distinct shingles."""
-
-    @F.pandas_udf("array<long>")
-    def shingles(texts):
-        import numpy as np
-        import pandas as pd
-
-        def one(text):
-            hashes = np.frombuffer(b"".join(shingle_digests(text, shingle_words)), dtype=np.int64)
-            return np.unique(hashes[::2])
-
-        return pd.Series([one(t) for t in texts], dtype="object")
-
-    return shingles
+_FRONTIER = 250_000
 
 
 def fingerprint_udf(shingle_words: int, words64: int = 1):
@@ -110,16 +59,6 @@ def block_masks(blocks: int = 5, kept: int = 2) -> list[tuple[int]]:
     return [(sum(chosen),) for chosen in itertools.combinations(parts, kept)]
 
 
-def sampled_masks(tables: int, bits: int, words64: int = 2, seed: int = 42) -> list[tuple[int, ...]]:
-    """Masks of `bits` random positions each, for radii too large for whole blocks."""
-    source = random.Random(seed)
-    masks = []
-    for _ in range(tables):
-        chosen = source.sample(range(64 * words64), bits)
-        masks.append(tuple(sum(1 << (b % 64) for b in chosen if b // 64 == w) for w in range(words64)))
-    return masks
-
-
 def _word(fingerprint: Column, at: int) -> Column:
     return F.conv(F.substring(fingerprint, 16 * at + 1, 16), 16, -10).cast("long")
 
@@ -218,107 +157,7 @@ def _links_of(rows, radius: int, words64: int):
     return pa.record_batch([pa.array(hexes(linked), "string"), pa.array(hexes(label[linked]), "string")], ["a", "b"])
 
 
-@functools.cache
-def _inner_masks(bits: int, tables: int, rounds: int):
-    """Masks of `bits` random positions out of 128, for every table and round."""
-    import numpy as np
-
-    if not bits:
-        return np.zeros((tables, rounds, 2), dtype=np.uint64)
-    masks = sampled_masks(tables * rounds, bits, seed=1000 + bits)
-    return np.array(masks, dtype=np.uint64).reshape(tables, rounds, 2)
-
-
-def _inner_trees(values, shard, table, tables: int):
-    """Yields (rows, tree): rows of the same shard and of the same bits under a mask more
-    share a tree. The larger a shard, the longer the masks, so that its trees stay small,
-    and the more of them: two rows that differ in a fifth of the bits meet in one of the
-    trees of their shard in nine of ten cases. Each table has masks of its own."""
-    import numpy as np
-
-    _, number, sizes = np.unique(shard, return_inverse=True, return_counts=True)
-    bits = np.maximum(0, np.ceil(np.log2(sizes)).astype(int) - 4)[number]
-    bits[sizes[number] < 2] = -1
-    for b in np.unique(bits[bits >= 0]):
-        rows = np.flatnonzero(bits == b)
-        rounds = 1 if b == 0 else math.ceil(math.log(0.1) / math.log1p(-(0.8**b)))
-        masks = _inner_masks(int(b), tables, rounds)
-        for t in range(rounds):
-            tree = number[rows].astype(np.uint64)
-            for w in range(2):
-                tree = (tree ^ (values[rows, w] & masks[table[rows], t, w])) * np.uint64(0x9E3779B97F4A7C15)
-                tree ^= tree >> np.uint64(32)
-            order = np.argsort(tree, kind="stable")
-            same = tree[order][1:] == tree[order][:-1]
-            order = order[np.r_[False, same] | np.r_[same, False]]
-            yield rows[order], np.cumsum(np.r_[True, tree[order][1:] != tree[order][:-1]]) - 1
-
-
-def _join(label, x, y):
-    """Joins the rows of the pairs (x, y) in `label`, the smallest row of each component,
-    and returns the places of the pairs that were needed for it, a forest."""
-    import numpy as np
-
-    used, left = [], np.arange(len(x))
-    while len(left):
-        a, c = label[x[left]], label[y[left]]
-        left, a, c = left[a != c], a[a != c], c[a != c]
-        high, low = np.maximum(a, c), np.minimum(a, c)
-        order = np.lexsort((low, high))
-        first = order[np.r_[True, high[order][1:] != high[order][:-1]]] if len(order) else order
-        label[high[first]] = low[first]  # always to a smaller row, so no circles
-        used.append(left[first])
-        while True:
-            jumped = label[label]
-            if (jumped == label).all():
-                break
-            label[:] = jumped
-    return np.concatenate(used) if used else left
-
-
-def _pairs_of(rows, radius: int, tables: int):
-    """Yields (a, b) fingerprints within the radius that share an inner tree. Without
-    column `own` a spanning forest of them within each shard, made of real pairs; with it
-    all those between rows of unequal `own`."""
-    import numpy as np
-    import pyarrow as pa
-
-    values = np.stack([rows.column(f"w{i}").to_numpy() for i in range(2)], axis=1).view(np.uint64)
-    role = rows.column("role").to_numpy()
-    role, table = role % 4, role // 4
-    own = rows.column("own").to_numpy() if "own" in rows.column_names else None
-    label, seen = np.arange(len(values)), np.zeros(0, dtype=np.int64)
-    hexes = lambda at: pa.array(["".join(f"{int(w):016x}" for w in r) for r in values[at]], "string")
-    for at, tree in _inner_trees(values, rows.column("shard").to_numpy(), table, tables):
-        # role 0: in the tree, 1: looks for neighbours, 2: both
-        in_tree, asks = role[at] != 1, np.flatnonzero(role[at] != 0)
-        root, key, child = bk_forest(tree[in_tree], values[at[in_tree]])
-        start_of = np.full(tree.max(initial=-1) + 1, -1)
-        start_of[tree[in_tree]] = root
-        asks = asks[start_of[tree[asks]] >= 0]
-        sizes = np.bincount(tree[in_tree], minlength=len(start_of))[tree[asks]]
-        block = np.cumsum(sizes) // _FRONTIER
-        nodes, queries = at[in_tree], at[asks]
-        for b in np.unique(block):
-            now = queries[block == b]
-            for query, node in bk_search(values[now], start_of[tree[asks][block == b]], values[now], key, child, values[nodes], radius):
-                x, y = now[query], nodes[node]
-                if own is None:
-                    used = _join(label, x, y)
-                    x, y = x[used], y[used]
-                else:
-                    other = own[x] != own[y]
-                    x, y = np.maximum(x, y)[other], np.minimum(x, y)[other]
-                    pair = np.setdiff1d(x * len(values) + y, seen)
-                    seen = np.union1d(seen, pair) if len(seen) < _FRONTIER else pair
-                    x, y = pair // len(values), pair % len(values)
-                if len(x):
-                    yield pa.record_batch([hexes(x), hexes(y)], ["a", "b"])
-
-
-def shard_links(
-    prints: DataFrame, masks: list[tuple[int, ...]], radius: int, tree_size: int = TREE_SIZE, inner: bool = False
-) -> DataFrame:
+def shard_links(prints: DataFrame, masks: list[tuple[int, ...]], radius: int, tree_size: int = TREE_SIZE) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect whatever is within the
     radius and agrees under a mask.
 
@@ -326,20 +165,15 @@ def shard_links(
     by a hash, each part has its tree, and every part is searched in the trees of all
     parts of its shard, pair by pair, in tasks of their own. A task passes on a spanning
     forest, at most one link per fingerprint and shard, never all pairs.
-
-    With `inner` the links are pairs within the radius, for 128 bits and short masks: a
-    shard is searched by many small trees (`_inner_trees`). If `prints` has a column
-    `own`, all pairs of unequal `own` are passed on.
     """
     words64 = len(masks[0])
     words = [f"w{i}" for i in range(words64)]
-    own = [c for c in prints.columns if inner and c == "own"]
-    prints = prints.select(*own, *(_word(F.col("fingerprint"), i).alias(w) for i, w in enumerate(words)))
+    prints = prints.select(*(_word(F.col("fingerprint"), i).alias(w) for i, w in enumerate(words)))
     shards = [
         F.xxhash64(F.lit(n), *(F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, mask)))
         for n, mask in enumerate(masks)
     ]
-    keyed = stage(prints.select(*own, *words, F.posexplode(F.array(*shards)).alias("table", "shard")), "shards")
+    keyed = stage(prints.select(*words, F.explode(F.array(*shards)).alias("shard")), "shards")
     sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tree_size)
     sizes = stage(sizes, "large-shards")
     hint = F.broadcast if sizes.count() <= _BROADCAST_SHARDS else (lambda df: df)
@@ -351,15 +185,9 @@ def shard_links(
     placed = placed.select("*", other)
     role = F.when(F.col("_part") == F.col("_other"), 2).when(F.col("_part") < F.col("_other"), 0).otherwise(1)
     pair = F.xxhash64("shard", F.least("_part", "_other"), F.greatest("_part", "_other"))
-    role = role + F.col("table") * 4 if inner else role
-    tasks = placed.select(pair.alias("shard"), role.alias("role"), *own, *words)
+    tasks = placed.select(pair.alias("shard"), role.alias("role"), *words)
     tasks = tasks.repartition("shard").sortWithinPartitions("shard")
 
-    tables = len(masks)
-
-    def found(rows):
-        return _pairs_of(rows, radius, tables) if inner else [_links_of(rows, radius, words64)]
-
     def link(batches):
         import numpy as np
         import pyarrow as pa
@@ -373,10 +201,10 @@ def shard_links(
             shard = held.column("shard").to_numpy()
             whole = int(np.argmax(shard == shard[-1]))  # all before the last shard
             if whole:
-                yield from found(held.slice(0, whole))
+                yield _links_of(held.slice(0, whole), radius, words64)
                 held = held.slice(whole)
         if held is not None and len(held):
-            yield from found(held)
+            yield _links_of(held, radius, words64)
 
     return tasks.mapInArrow(link, "a string, b string")
 
@@ -422,67 +250,15 @@ def _labelled(rows: DataFrame, smallest: DataFrame, roots: DataFrame) -> DataFra
     return rows.join(stage(ids, "component-ids"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-# Near copies in the pipeline: sets of five-word shingles with Jaccard similarity of at least
-# 0.8. Their fingerprints of 128 bits differ in 19 bits on average, with a deviation of 4,
-# those of unrelated texts in 64: the radius is wide, since it only proposes. A shard may be
-# large, as it is searched by small trees.
-NEAR_WORDS = 5
-NEAR_SIMILARITY = 0.8
-NEAR_RADIUS = 36
-NEAR_MASKS = sampled_masks(tables=48, bits=8)
-NEAR_SHARD = 262_144
-
-
-def _similar(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """`links` with `similar`: whether the sets have the Jaccard similarity asked for."""
-    for side in ("a", "b"):
-        links = links.join(sets.select(F.col("fingerprint").alias(side), F.col("shingles").alias(f"_{side}")), side)
-    common = F.size(F.array_intersect("_a", "_b"))
-    return links.select("a", "b", (common / (F.size("_a") + F.size("_b") - common) >= NEAR_SIMILARITY).alias("similar"))
-
-
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id, linked where two sets of
-    shingles have a Jaccard similarity of at least 0.8.
-
-    SimHash and BK-trees only propose: a forest of pairs first, which is compared with
-    the sets themselves. Where a pair of a forest is refused, all pairs proposed between
-    the parts of that group are compared. Documents of equal fingerprints are one node.
-    """
-    prints = set_fingerprint_udf(NEAR_WORDS)(F.col(text)).alias("fingerprint")
-    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), prints), "fingerprints")
-    smallest = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("_first")), "distinct-fingerprints")
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 3, radius: int = 3) -> DataFrame:
+    """The documents without near copies, with all their columns: of each component of
+    `simhash_dedup` the document with the smallest doc_id stays.
 
-    def proposed(nodes):
-        pairs = shard_links(nodes, NEAR_MASKS, NEAR_RADIUS, NEAR_SHARD, inner=True).where(F.col("a") != F.col("b"))
-        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    links = stage(proposed(smallest), "proposed")
-    groups = components(links)
-    texts = docs.select(prints, F.col(text).alias("_text")).join(groups.select(F.col("node").alias("fingerprint")), "fingerprint", "left_semi")
-    texts = texts.groupBy("fingerprint").agg(F.min("_text").alias("_text"))
-    sets = stage(texts.select("fingerprint", shingles_udf(NEAR_WORDS)("_text").alias("shingles")), "shingles")
-    compared = stage(_similar(links, sets), "compared")
-    roots = components(compared.where("similar").select("a", "b"))
-    split = compared.where(~F.col("similar")).join(groups, F.col("a") == F.col("node")).select("root").distinct()
-    nodes = groups.join(split, "root", "left_semi").select(F.col("node").alias("fingerprint"))
-    own = F.xxhash64(F.coalesce("root", "fingerprint")).alias("own")
-    nodes = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", own)
-    again = stage(proposed(stage(nodes, "split")).join(links, ["a", "b"], "left_anti"), "proposed-again")
-    more = stage(_similar(again, sets).where("similar").select("a", "b"), "compared-again")
-    if not more.isEmpty():
-        roots = components(compared.where("similar").select("a", "b").unionByName(more))
-    return _labelled(rows, smallest, roots)
-
-
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near copies, with all their columns.
-
-    Of each component of documents the one with the smallest doc_id stays. Rows with a
-    null id count as last; of several rows with the staying id one stays per fingerprint.
+    Null, empty and blank texts have the same fingerprint, zero, so one of them stays. Rows
+    with a null id go unless their component has no other; of several rows with the staying
+    id one stays per fingerprint. An empty table gives no rows.
     """
-    found = near_copies(docs, doc_id, text)
+    found = simhash_dedup(docs, doc_id, text, shingle_words, radius)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     decided = found.select("doc_id", F.col("fingerprint").alias("key"), kept.alias("kept"))
-    key = set_fingerprint_udf(NEAR_WORDS)(F.col(text))
-    return keep_decided(docs, stage(decided, "near-kept"), doc_id, key)
+    return keep_decided(docs, stage(decided, "near-kept"), doc_id, fingerprint_udf(shingle_words)(F.col(text)))

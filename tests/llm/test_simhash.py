@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from guestlens.llm import simhash
+from guestlens.llm import queries, simhash
 from guestlens.llm.components import components
 
 
@@ -93,50 +93,19 @@ def test_components(spark):
 
 
 def test_near_copies_go_and_others_stay(docs):
-    rng = random.Random(7)
-    base = [" ".join(f"w{rng.randrange(9000)}" for _ in range(300)) for _ in range(30)]
-    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " tail") for i, t in enumerate(base[:10])]
-    rows += [(200 + i, t.replace(t.split()[150], "changed")) for i, t in enumerate(base[:10])] + [(300, None), (301, "")]
-    kept = simhash.drop_near_copies(docs(rows, "component_id"))
-    assert sorted(r.doc_id for r in kept.collect()) == [*range(30), 300]
-    assert kept.columns[-1] == "component_id"
-
-
-def shingles_of(text):
-    words = text.lower().split()
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def test_near_copies_against_brute_force(docs):
-    rng = random.Random(11)
-    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
-    families, similarities = [], []
-    for own in (17, 20, 22, 25, 26, 28, 30, 33):  # of 204 words in common: similarity 0.86 to 0.75
-        for _ in range(25):
-            common = new(204)
-            families.append([common + new(own), common + new(own)])
-    for _ in range(40):  # several versions, some of which are linked only by way of others
-        base, family = new(240), []
-        for _ in range(5):
-            at, size = rng.randrange(200), rng.randrange(4, 30)
-            family.append(base[:at] + new(size) + base[at + size :])
-        families.append(family)
-    families += [[b * 1 + s, b * 1 + s * 30] for b, s in ((new(60), new(40)) for _ in range(5))]  # repeats count once
-    rows, expected = [], []
-    for family in families:
-        at, sets = len(rows), [shingles_of(" ".join(t)) for t in family]
-        rows += [(at + i, " ".join(t)) for i, t in enumerate(family)]
-        label = list(range(len(sets)))
-        for i in range(len(sets)):
-            for j in range(i):
-                similarity = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-                similarities.append(similarity)
-                if similarity >= 0.8:
-                    low, high = sorted((label[i], label[j]))
-                    label = [low if x == high else x for x in label]
-        expected += [at + i for i in sorted(set(label))]
-    assert sum(0.75 <= s < 0.8 for s in similarities) > 50 and sum(0.8 <= s < 0.85 for s in similarities) > 50
-    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs(rows)).collect()) == expected
+    rows = some_texts() + [(500, None), (501, ""), (502, " \n"), (503, "One"), (504, "one"), (None, "one"), (None, "alone here"),
+                           (503, "One"), (506, "ab c d " * 40_000), (507, "ab c d " * 40_000 + "e")]
+    kept = simhash.drop_near_copies(docs(rows, "component_id", "_key", "kept"))
+    smallest = {c for _, _, c in brute(rows)}
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(smallest - {None})
+    assert sum(r.doc_id is None for r in kept.collect()) == 1  # the one that is in no other's component
+    assert kept.columns[-3:] == ["component_id", "_key", "kept"]
+
+
+def test_query_against_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = queries.op1_simhash_dedup(spark, sf).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
 def test_empty_table(docs):

@@ -28,8 +28,8 @@ TEMPLATES = (
 )
 # Share of the template's words that a block must hold.
 CONTAINMENT = 0.8
-# Words of a block; blocks start every half block, so a notice of up to half a block of
-# words lies whole in one of them.
+# Words of a block at least; blocks start every half block and are twice as long as the
+# longest template, so that a notice of its length lies whole in one of them.
 BLOCK_WORDS = 64
 
 
@@ -106,6 +106,7 @@ def scan_licences(
         index, "word int, template int, label string, at_template int, k int, need int, ranks array<int>"
     )
 
+    block_words = max([block_words, *(2 * len(words.split()) for _, words in templates)])
     step = block_words // 2
     numbers = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, rank[w])))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - step) / step).cast("int") - 1))

@@ -52,6 +52,17 @@ def test_against_brute_force(docs):
     assert len({r.labels for r in got}) > 5
 
 
+def test_long_templates(docs):
+    rng = random.Random(5)
+    long, longer = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (90, 300))
+    around = lambda n: " ".join(f"v{rng.randrange(50)}" for _ in range(n))
+    less = " ".join(longer.split()[:230])  # 0.77 of the template
+    rows = [(i, f"{around(i * 37)} {text} {around(i * 11)}") for i, text in enumerate([long, longer, less, long.upper()] * 5)]
+    rows.append((100, longer))
+    got = licences.scan_licences(docs(rows), templates=(("a", long), ("b", longer)))
+    assert {r.doc_id: r.labels for r in got.collect()} == {**{i: ("a", "b", "", "a")[i % 4] for i in range(20)}, 100: "b"}
+
+
 def test_query_against_sql(spark, sf):
     found = queries.op4_scan_licences(spark, sf)
     assert compare.differences(found, sql.ORACLES["op4_scan_licences"], compare.connect(sf)) == []

@@ -1,8 +1,11 @@
 """Mixing sources to target weights by entropy balancing."""
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guestlens.functions.binding import bind
 from guestlens.llm.common import free_name, words_count
 from guestlens.operators.workplan import number_rows
 from guestlens.session import stage
@@ -45,54 +48,96 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, sha
     return numbered.select("_key", "source_size", target.alias("target"))
 
 
-def entropy_rates(cells: DataFrame, targets: DataFrame, tolerance: float = 1e-9, cap: int = CAP) -> DataFrame:
-    """Rate of each source: (_key, source_size, target, _rate).
+def entropy_rates(cells: DataFrame, targets: DataFrame, tolerance: float = 1e-7, cap: int = CAP) -> DataFrame:
+    """Rates of documents, by source and size: `cells` (_key, _size, _n) with source_size,
+    target and _rate.
 
-    Of all rates that meet the targets, those with the least relative entropy against
-    taking every word once are exp(tilt of the source). The tilts minimise the convex
-    dual  sum(words * exp(tilt)) - sum(tilt * target). Each Newton step sums the words
-    that the present tilts take over the stored counts, one combining aggregate by
-    source, which is gradient and Hessian at once. Steps go on until every source is
-    within `tolerance` of its size. A source without words keeps rate 1.
+    Of all rates up to the cap with which every source's documents have its target of words,
+    those with the least relative entropy against taking each document once are exponentially
+    tilted by the words of the document, min(cap, exp(tilt * words)). The tilts of the sources
+    solve the convex dual: the derivative by a tilt is the words taken less the target. Each
+    Newton step sums, over the stored counts, the words that the present rates take (the
+    gradient) and how these change with the tilt, to which documents at the cap add nothing
+    (the Hessian), in one combining aggregate. A step that leaves the interval in which the
+    solution is known to lie halves it instead. Steps go on until every source is within
+    `tolerance` of its target. A source without words keeps rate 1.
     """
-    tilts = stage(targets.withColumn("_tilt", F.lit(0.0)), "tilts")
+    words = F.col("_n") * F.col("_size")
+    spread = cells.where("_size > 0").groupBy("_key").agg(F.sum(words).alias("_words"), F.sum("_n").alias("_docs"), F.min("_size").alias("_least"))
+    # tilts are by multiples of the mean size; between these two the solution lies
+    scale = F.col("_words") / F.col("_docs")
+    unit = scale / F.col("_least")
+    all_capped = F.col("target") >= cap * F.col("source_size") * (1 - tolerance)
+    high = math.log(cap) * unit
+    low = F.least(F.lit(0.0), F.log(F.try_divide("target", "source_size"))) * unit
+    tilts = targets.join(spread, "_key", "left").select(
+        "_key", "source_size", "target", scale.alias("_scale"), low.alias("_low"), high.alias("_high"),
+        F.when(all_capped, high).otherwise(0.0).alias("_tilt"), (F.coalesce("_words", F.lit(0)) == 0).alias("_done"),
+    )
+    tilts = stage(tilts, "tilts")
+    exponent = F.col("_tilt") * F.col("_size") / F.col("_scale")
+    rate = F.least(F.lit(float(cap)), F.exp(exponent))
+    below_cap = exponent < math.log(cap)
     for _ in range(_STEPS):
-        took = cells.join(tilts.select("_key", "_tilt"), "_key")
-        took = took.groupBy("_key").agg(F.sum(F.col("_n") * F.col("_size") * F.exp("_tilt")).alias("_took"))
-        step = F.when(F.col("_took") > 0, F.col("target") / F.col("_took") - 1).otherwise(0.0)
-        tilts = stage(tilts.join(took, "_key").select("_key", "source_size", "target", (F.col("_tilt") + step).alias("_tilt"), step.alias("_step")), "tilts")
-        if (tilts.agg(F.max(F.abs("_step"))).first()[0] or 0.0) <= tolerance:
+        if tilts.where(~F.col("_done")).isEmpty():
             break
-    rate = F.least(F.exp("_tilt"), F.lit(float(cap)))
-    return tilts.select("_key", "source_size", "target", rate.alias("_rate"))
-
-
-def whole_copies(cells: DataFrame, rates: DataFrame, cap: int = CAP) -> DataFrame:
-    """Copies of each (source, size): adds _copies to (_key, _size, _n).
+        took = cells.where("_size > 0").join(tilts.where(~F.col("_done")).select("_key", "_tilt", "_scale"), "_key")
+        took = took.groupBy("_key").agg(
+            F.sum(words * rate).alias("_took"), F.coalesce(F.sum(F.when(below_cap, words * rate * F.col("_size") / F.col("_scale"))), F.lit(0.0)).alias("_slope")
+        )
+        off = F.col("_took") - F.col("target")
+        now_low = F.when(off <= 0, F.greatest("_low", "_tilt")).otherwise(F.col("_low"))
+        now_high = F.when(off >= 0, F.least("_high", "_tilt")).otherwise(F.col("_high"))
+        newton = F.when(F.col("_slope") > 0, F.col("_tilt") - off / F.col("_slope"))
+        inside = F.coalesce((newton > now_low) & (newton < now_high), F.lit(False))
+        done = F.col("_done") | (F.abs(off) <= tolerance * F.col("target"))
+        after = F.when(done, F.col("_tilt")).when(inside, newton).otherwise((now_low + now_high) / 2)
+        tilts = tilts.join(took, "_key", "left").select(
+            "_key", "source_size", "target", "_scale",
+            *(F.when(F.col("_done"), F.col(c)).otherwise(x).alias(c) for c, x in (("_low", now_low), ("_high", now_high), ("_tilt", after))),
+            done.alias("_done"),
+        )
+        tilts = stage(tilts, "tilts")
+    else:
+        raise RuntimeError(f"the tilts have not converged in {_STEPS} steps")
+    rated = cells.join(tilts.select("_key", "source_size", "target", "_tilt", "_scale"), "_key")
+    return rated.select("_key", "_size", "_n", "source_size", "target", F.when(F.col("_size") > 0, rate).otherwise(1.0).alias("_rate"))
+
+
+def whole_copies(rated: DataFrame, cap: int = CAP) -> DataFrame:
+    """Copies of each (source, size): adds _copies to the result of `entropy_rates`.
 
     Per source, from the largest size down, the fractional copies are rounded and the
     words rounded away are carried on to the next size, so that the smallest documents
     even out the rest. The array holds one element per distinct size of a source, so it
-    is bounded by the longest document, not by the number of documents.
+    is bounded by the longest document, not by the number of documents; it is worked off in
+    pieces of the root of its length, since each step copies the piece made so far.
     """
-    sizes = cells.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_size", "_n")), asc=False).alias("_sizes"))
-
-    def take(state, cell):
-        wanted = F.col("_rate") * cell["_n"] * cell["_size"] + state["carry"]
+    kept = ["_size", "_n", "_rate"]
+    sizes = rated.groupBy("_key", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct(*kept)), asc=False).alias("_sizes"))
+    length = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_sizes"))).cast("int"))
+    starts = F.sequence(F.lit(0), F.ceil(F.size("_sizes") / length).cast("int") - 1)
+    pieces = F.transform(starts, lambda i: F.slice("_sizes", i * length + 1, length))
+    kind = "array<struct<_size:bigint,_n:bigint,_copies:bigint>>"
+
+    def state(carry: Column, cells: Column) -> Column:
+        return F.struct(carry.alias("carry"), cells.alias("cells"))
+
+    def take(before: Column, cell: Column) -> Column:
+        wanted = cell["_rate"] * cell["_n"] * cell["_size"] + before["carry"]
         copies = F.when(
             cell["_size"] > 0,
             F.greatest(F.lit(0), F.least(F.round(wanted / cell["_size"]).cast("long"), cell["_n"] * cap)),
         ).otherwise(cell["_n"])
         taken = F.struct(cell["_size"].alias("_size"), cell["_n"].alias("_n"), copies.alias("_copies"))
-        return F.struct(
-            (wanted - copies * cell["_size"]).alias("carry"), F.array_append(state["cells"], taken).alias("cells")
-        )
+        return state(wanted - copies * cell["_size"], F.array_append(before["cells"], taken))
 
-    start = F.struct(
-        F.lit(0.0).alias("carry"), F.array().cast("array<struct<_size:bigint,_n:bigint,_copies:bigint>>").alias("cells")
-    )
-    folded = F.aggregate("_sizes", start, take, lambda state: state["cells"])
-    return rates.join(sizes, "_key").select("_key", "source_size", "target", F.inline(folded))
+    def take_piece(before: Column, piece: Column) -> Column:
+        made = F.aggregate(piece, state(before["carry"], F.array().cast(kind)), take)
+        return bind(made, lambda m: state(m["carry"], F.array_append(before["cells"], m["cells"])))
+
+    folded = F.aggregate(pieces, state(F.lit(0.0), F.array().cast(f"array<{kind}>")), take_piece, lambda last: F.flatten(last["cells"]))
+    return sizes.select("_key", "source_size", "target", F.inline(folded))
 
 
 def mix_sources(
@@ -131,7 +176,7 @@ def mix_sources(
     cells = stage(parts.groupBy("_key", "_size").agg(F.sum("_n_part").alias("_n")), "mix-sizes")
     sources = cells.groupBy("_key").agg(F.sum(F.col("_n") * F.col("_size")).alias("source_size"))
     rates = entropy_rates(cells, source_targets(sources, weights, share, cap), cap=cap)
-    copies = whole_copies(cells, rates, cap)
+    copies = whole_copies(rates, cap)
 
     # the extra copies of a cell spread over its parts in proportion, at most _PARTS rows a cell
     every = F.floor(F.col("_copies") / F.col("_n")).cast("long")

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from guestlens.llm import mixing, queries
 
@@ -68,6 +70,45 @@ def test_one_source_and_none(docs):
     assert [r.copies for r in empty] == [1, 1] and {r.target for r in empty} == {0.0}
 
 
+def solved(sizes, target, cap=2):
+    """Tilted rates by bisection, over single documents."""
+    sizes = np.array(sizes, dtype=float)
+    low, high = -50.0, 1.0
+    for _ in range(200):
+        tilt = (low + high) / 2
+        rates = np.minimum(cap, np.exp(np.minimum(tilt * sizes, 5)))
+        low, high = (tilt, high) if (rates * sizes).sum() < target else (low, tilt)
+    return rates
+
+
+def test_rates_meet_an_independent_solver(spark):
+    rng = random.Random(2)
+    sources = {"some": (0.8, [rng.randrange(1, 300) for _ in range(80)]), "more": (1.6, [rng.choice([1, 2, 5, 40, 900]) for _ in range(200)]),
+               "most": (2.0, [3, 7, 7, 100]), "few": (0.01, [rng.randrange(1, 2000) for _ in range(50)]), "same": (1.5, [10] * 9)}
+    cells, targets, expected = {}, [], {}
+    for key, (part, sizes) in sources.items():
+        for size in sizes:
+            cells[key, size] = cells.get((key, size), 0) + 1
+        targets.append((key, sum(sizes), part * sum(sizes)))
+        expected.update(zip([(key, size) for size in sizes], solved(sizes, part * sum(sizes))))
+    frame = spark.createDataFrame([(*k, n) for k, n in cells.items()], "_key string, _size long, _n long")
+    got = mixing.entropy_rates(frame, spark.createDataFrame(targets, "_key string, source_size long, target double")).collect()
+    for r in got:
+        assert r._rate == pytest.approx(expected[r._key, r._size], rel=1e-4, abs=1e-9), (r._key, r._size)
+    # shorter documents of a source with a small target come more often, of one with a large target longer ones
+    for key, sign in (("some", -1), ("few", -1), ("more", 1)):
+        rates = [r._rate for r in sorted(got, key=lambda r: r._size) if r._key == key]
+        assert all(sign * (b - a) >= 0 for a, b in zip(rates, rates[1:])) and len(set(rates)) > 2
+
+
+def test_many_sizes_in_one_source(spark):
+    cells = spark.range(1, 200_001).select(F.lit("s").alias("_key"), F.col("id").alias("_size"), F.lit(1).cast("long").alias("_n"))
+    words = 200_000 * 200_001 // 2
+    rated = cells.select("*", F.lit(words).alias("source_size"), F.lit(0.7 * words).alias("target"), F.lit(0.7).alias("_rate"))
+    got = mixing.whole_copies(rated).agg(F.sum(F.col("_copies") * F.col("_size")).alias("words"), F.count(F.lit(1)).alias("n")).first()
+    assert got.n == 200_000 and abs(got.words - 0.7 * words) <= 1
+
+
 def test_query(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet").collect()
     rows = [(r.doc_id, r.text, r.source) for r in table]

@@ -109,7 +109,8 @@ def name_texts(html: Column) -> Column:
 
 def hotel_hrefs(html: Column) -> Column:
     """struct(error, hrefs): link targets of the result cards, as written."""
-    return _hotel_hrefs(_if_marked(html, LINK_MARKS))
+    # Deterministic functions are pasted into the filters that Spark infers, and pages read twice.
+    return _hotel_hrefs.asNondeterministic()(_if_marked(html, LINK_MARKS))
 
 
 def unescape_entities(text: Column) -> Column:

@@ -72,10 +72,41 @@ def hotel_ranking(df: DataFrame, size: int = RANKING_SIZE) -> DataFrame:
     means = df.where(F.col("hotel_name").isNotNull()).groupBy("hotel_name").agg(
         F.avg("compound_score").alias("compound_score")
     )
+    return ranked(means, size)
+
+
+def ranked(means: DataFrame, size: int = RANKING_SIZE) -> DataFrame:
     top = means.orderBy(F.desc_nulls_last("compound_score"), "hotel_name").limit(size)
     return top.orderBy(F.asc_nulls_first("compound_score"), F.desc("hotel_name"))
 
 
+def figures(df: DataFrame, chosen: Column) -> DataFrame:
+    """All counts and means of the dashboard by one aggregate over one scan: (kind, item
+    columns, n, n_compound, compound, score).
+
+    Grouping sets make a row for the whole (`kpi`), each month, label and hotel. Only
+    `chosen` rows count, but for the hotels, whose means are over all rows. Sums are
+    combined per task, so a task passes on a row per month, label and hotel that it saw.
+    """
+    label = F.col("sentiment_label") if "sentiment_label" in df.columns else F.lit(None).cast("string")
+    keyed = df.select(
+        month_end(F.col("review_date")).alias("month"), label.alias("label"), F.col("hotel_name").alias("hotel"),
+        F.coalesce(chosen, F.lit(False)).alias("_in"), "compound_score", "score",
+    )
+    sets = [[F.col("month")], [F.col("label")], [F.col("hotel")], []]
+    among = lambda value: F.when(F.col("_in"), F.col(value))
+    found = keyed.groupingSets(sets, F.col("month"), F.col("label"), F.col("hotel")).agg(
+        F.grouping_id().alias("_set"),
+        F.count_if("_in").alias("n"),
+        F.avg(among("compound_score")).alias("compound"),
+        F.avg(among("score")).alias("score"),
+        F.avg("compound_score").alias("compound_of_all"),
+    )
+    # a bit for each column that is not in the set
+    kind = F.when(F.col("_set") == 0b011, "month").when(F.col("_set") == 0b101, "label").when(F.col("_set") == 0b110, "hotel").otherwise("kpi")
+    return found.withColumn("kind", kind).drop("_set")
+
+
 def score_vs_sentiment(df: DataFrame) -> DataFrame:
     label = ["sentiment_label"] if "sentiment_label" in df.columns else []
     return df.select("score", "compound_score", *label, "title", "hotel_name")
@@ -100,7 +131,11 @@ def monthly_volume(df: DataFrame) -> DataFrame:
         .groupBy(month_end(F.col("review_date")).alias("month"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = stage(counts, "months")
+    return with_empty_months(stage(counts, "months"))
+
+
+def with_empty_months(counts: DataFrame) -> DataFrame:
+    """(month, reviews) of stored counts (month, n), with 0 for the months between."""
     bounds = counts.agg(F.min(F.trunc("month", "month")).alias("first"), F.max(F.trunc("month", "month")).alias("last"))
     months = F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("start")
     calendar = bounds.where(F.col("first").isNotNull()).select(months).select(F.last_day("start").alias("month"))

@@ -17,10 +17,8 @@ CLOUD_TERMS = 50
 MIN_TEXT = 10
 COLLOCATION_SCORE = 30.0
 
-# Tokens of a cloud: those that are no pure number, with or without a final 's. None starts
-# within another, after its apostrophes.
-_WORD = r"[\p{L}\p{N}_]"
-CLOUD_TOKEN = rf"(?<!{_WORD}'{{0,16}})(?!\p{{Nd}}+(?:'s)?(?![\p{{L}}\p{{N}}_'])){TOKEN}"
+# Tokens that are no part of a cloud: pure numbers, with or without a final 's.
+_NUMBER = r"^\p{Nd}+(?:'s)?$"
 
 
 def text_gate(texts: DataFrame) -> DataFrame:
@@ -55,16 +53,17 @@ def _without_possessive(word: Column) -> Column:
     return F.when(word.endswith("'s"), F.substring(word, F.lit(1), F.length(word) - 2)).otherwise(word)
 
 
-def _word_and_next_counts(texts: DataFrame) -> DataFrame:
-    """(w1, w2, n): every word with the word after it, null where that is a stop word or
+def _word_and_next_counts(texts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, w1, w2, n): every word with the word after it, null where that is a stop word or
     none. A word's own count is the sum over its rows, so one pass serves both."""
     stop = sorted(stop_words())
-    words = texts.select(F.regexp_extract_all(F.lower("text"), F.lit(CLOUD_TOKEN), F.lit(0)).alias("w"))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
+    words = texts.select(*by, F.filter(found, lambda t: ~t.rlike(_NUMBER)).alias("w"))
     nexts = F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0)))
-    pairs = words.select(F.inline(F.arrays_zip(F.col("w").alias("w1"), nexts.alias("w2"))).alias("w1", "w2"))
-    pairs = pairs.select(_without_possessive(F.col("w1")).alias("w1"), _without_possessive(F.col("w2")).alias("w2"))
-    kept = pairs.where(~F.col("w1").isin(stop)).select("w1", F.when(~F.col("w2").isin(stop), F.col("w2")).alias("w2"))
-    return kept.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+    pairs = words.select(*by, F.inline(F.arrays_zip(F.col("w").alias("w1"), nexts.alias("w2"))).alias("w1", "w2"))
+    pairs = pairs.select(*by, _without_possessive(F.col("w1")).alias("w1"), _without_possessive(F.col("w2")).alias("w2"))
+    kept = pairs.where(~F.col("w1").isin(stop)).select(*by, "w1", F.when(~F.col("w2").isin(stop), F.col("w2")).alias("w2"))
+    return kept.groupBy(*by, "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _stem(word: Column) -> Column:
@@ -98,51 +97,69 @@ def collocation_score(pair: Column, first: Column, second: Column, total: Column
     return F.when((total <= first) | (total <= second), F.lit(0.0)).otherwise(-2 * ratio)
 
 
-def _collocation_parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words as (stem, n, single) and scored pairs as (s1, s2, w1, w2, n, score).
+def _collocation_parts(texts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Words as (by, stem, n, single) and scored pairs as (by, s1, s2, w1, w2, n, score).
 
     Plurals are merged by grouping on the stem, so the only joins bring the counts of
-    both words to each pair. Both are empty when there is too little text for a cloud.
+    both words to each pair. Both are empty where there is too little text for a cloud.
+    All clouds, one for each value of `by` (a handful), come out of one pass.
     """
-    counts = stage(_word_and_next_counts(texts), "term-counts")
-    total, letters = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.length("w1")), F.lit(0))
-    ).first()
+    counts = stage(_word_and_next_counts(texts, by), "term-counts")
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"), F.sum(F.col("n") * F.length("w1")).alias("_letters"))
+    totals = stage(totals, "term-totals")
     # counted words that are long enough prove that the texts are; only few need measuring
-    if letters < MIN_TEXT and not text_gate(texts).first()["enough"]:
-        counts = counts.where(F.lit(False))
-    words = counts.groupBy(_stem(F.col("w1")).alias("stem")).agg(
+    if not totals.where(F.col("_letters") < MIN_TEXT).isEmpty():
+        measured = texts.groupBy(*by).agg((F.sum(F.length("text")) + F.count("text") - 1).alias("_length"))
+        enough = measured.where(F.col("_length") >= MIN_TEXT).drop("_length")
+        counts = counts.join(F.broadcast(enough), by, "left_semi")  # one row per cloud
+    words = counts.groupBy(*by, _stem(F.col("w1")).alias("stem")).agg(
         F.sum("n").alias("n"), F.max(F.col("w1") == _stem(F.col("w1"))).alias("single")
     )
     pairs = (
         counts.where(F.col("w2").isNotNull())
-        .groupBy("w1", _stem(F.col("w2")).alias("s2"))
+        .groupBy(*by, "w1", _stem(F.col("w2")).alias("s2"))
         .agg(F.sum("n").alias("n"), F.max(F.col("w2") == _stem(F.col("w2"))).alias("single2"))
         .withColumn("s1", _stem(F.col("w1")))
         .withColumn("w2", _shown(F.col("s2"), F.col("single2")))
     )
-    first = words.select(F.col("stem").alias("s1"), F.col("n").alias("n1"))
-    second = words.select(F.col("stem").alias("s2"), F.col("n").alias("n2"))
-    score = collocation_score(F.col("n"), F.col("n1"), F.col("n2"), F.lit(float(total)))
-    scored = pairs.join(first, "s1").join(second, "s2").withColumn("score", score)
-    return words, scored.where(F.col("score") > COLLOCATION_SCORE).select("s1", "s2", "w1", "w2", "n", "score")
+    first = words.select(*by, F.col("stem").alias("s1"), F.col("n").alias("n1"))
+    second = words.select(*by, F.col("stem").alias("s2"), F.col("n").alias("n2"))
+    paired = pairs.join(first, [*by, "s1"]).join(second, [*by, "s2"])
+    # one row per cloud
+    paired = paired.join(F.broadcast(totals.drop("_letters")), by)
+    score = collocation_score(F.col("n"), F.col("n1"), F.col("n2"), F.col("_total").cast("double"))
+    scored = paired.withColumn("score", score)
+    return words, scored.where(F.col("score") > COLLOCATION_SCORE).select(*by, "s1", "s2", "w1", "w2", "n", "score")
 
 
 def collocations(texts: DataFrame) -> DataFrame:
     """(w1, w2, n, score) of the word pairs that occur together far more than by chance."""
-    return _collocation_parts(texts)[1].select("w1", "w2", "n", "score")
+    return _collocation_parts(_one_cloud(texts), _ONE)[1].select("w1", "w2", "n", "score")
+
+
+_ONE = ["_cloud"]
+
+
+def _one_cloud(texts: DataFrame) -> DataFrame:
+    return texts.select(F.lit(True).alias("_cloud"), "text")
 
 
 def cloud_counts(texts: DataFrame) -> DataFrame:
     """(term, n) of words and collocations; words give up what their pairs take."""
-    words, pairs = _collocation_parts(texts)
+    return clouds_counts(_one_cloud(texts), _ONE).select("term", "n")
+
+
+def clouds_counts(texts: DataFrame, by: list[str]) -> DataFrame:
+    """As `cloud_counts`, (by, term, n): a cloud for each value of the columns `by`, of which
+    there are a handful."""
+    words, pairs = _collocation_parts(texts, by)
     pairs = stage(pairs, "collocations")
-    taken = pairs.select(F.explode(F.array("s1", "s2")).alias("stem"), (-F.col("n")).alias("n"))
+    taken = pairs.select(*by, F.explode(F.array("s1", "s2")).alias("stem"), (-F.col("n")).alias("n"))
     left = (
         words.unionByName(taken.withColumn("single", F.lit(False)))
-        .groupBy("stem")
+        .groupBy(*by, "stem")
         .agg(F.sum("n").alias("n"), F.max("single").alias("single"))
         .where(F.col("n") > 0)
-        .select(_shown(F.col("stem"), F.col("single")).alias("term"), "n")
+        .select(*by, _shown(F.col("stem"), F.col("single")).alias("term"), "n")
     )
-    return left.unionByName(pairs.select(F.concat_ws(" ", "w1", "w2").alias("term"), "n"))
+    return left.unionByName(pairs.select(*by, F.concat_ws(" ", "w1", "w2").alias("term"), "n"))

@@ -34,13 +34,17 @@ def overview(
     """All dashboard figures as rows (section, item, value); terms are those of the
     clouds: words and collocations, none when there is too little text.
 
-    The prepared frame is staged once without its long unused columns; every section
-    then scans the few columns it needs.
+    The prepared frame is staged once without its long unused columns. One aggregate
+    over it gives all counts and means (`metrics.figures`), and one pass over the texts
+    of both clouds their terms; every section is a few rows of these two.
     """
     prepared = prepare(reviews)
     wanted = ["hotel_name", "review_date", "score", "compound_score", "sentiment_label", "positive", "negative"]
     prepared = stage(prepared.select(*(c for c in wanted if c in prepared.columns)), "prepared")
     chosen = filter_dates(filter_hotel(prepared, hotel), start, end)
+    # the ranking ignores the date filter, and is of all hotels only
+    within = F.lit(True) if start is None or end is None else F.col("review_date").between(start, end)
+    found = stage(metrics.figures(filter_hotel(prepared, hotel), within), "figures")
 
     def rows(section: str, frame: DataFrame, item: str, value: str) -> DataFrame:
         return frame.select(
@@ -49,21 +53,32 @@ def overview(
             F.col(value).cast("double").alias("value"),
         )
 
-    kpi_names = ["reviews", "avg_compound", "avg_score"]
-    kpis = metrics.kpis(chosen).unpivot([], [F.col(c).cast("double").alias(c) for c in kpi_names], "item", "value")
+    def of(kind: str) -> DataFrame:
+        return found.where((F.col("kind") == kind) & (F.col("n") > 0))
+
+    kpis = of("kpi").select(F.col("n").cast("double").alias("reviews"), F.col("compound").alias("avg_compound"), F.col("score").alias("avg_score"))
+    months = of("month").where(F.col("month").isNotNull())
     parts = [
-        rows("kpi", kpis, "item", "value"),
-        rows("monthly_sentiment", metrics.monthly_sentiment(chosen), "month", "compound_score"),
-        rows("monthly_volume", metrics.monthly_volume(chosen), "month", "reviews"),
+        rows("kpi", kpis.unpivot([], kpis.columns, "item", "value"), "item", "value"),
+        rows("monthly_sentiment", months.where(F.col("compound").isNotNull()), "month", "compound"),
+        rows("monthly_volume", metrics.with_empty_months(months.select("month", "n")), "month", "reviews"),
     ]
-    if "sentiment_label" in chosen.columns:
-        parts.append(rows("sentiment", metrics.sentiment_distribution(chosen), "sentiment_label", "reviews"))
+    if "sentiment_label" in prepared.columns:
+        parts.append(rows("sentiment", of("label").where(F.col("label").isNotNull()), "label", "n"))
     if hotel == ALL_HOTELS:
-        # the ranking ignores the date filter
-        parts.append(rows("ranking", metrics.hotel_ranking(prepared), "hotel_name", "compound_score"))
-    for column, label in (("positive", "POS"), ("negative", "NEG")):
-        counts = terms.cloud_counts(corpus(chosen, column, label))
-        parts.append(rows(f"terms_{column}", terms.top_terms(counts), "term", "n"))
+        hotels = found.where((F.col("kind") == "hotel") & F.col("hotel").isNotNull())
+        ranking = metrics.ranked(hotels.select(F.col("hotel").alias("hotel_name"), F.col("compound_of_all").alias("compound_score")))
+        parts.append(rows("ranking", ranking, "hotel_name", "compound_score"))
+    sides = {"positive": "POS", "negative": "NEG"}
+    texts = [corpus(chosen, column, label).select(F.lit(column).alias("side"), "text") for column, label in sides.items()]
+    if all(column in chosen.columns for column in sides):  # one scan for both
+        both = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("text")) for c in sides)))
+        texts = [chosen.select(both.alias("_t")).select("_t.*").where(F.col("text").isNotNull())]
+    counts = texts[0]
+    for more in texts[1:]:
+        counts = counts.unionByName(more)
+    counts = stage(terms.clouds_counts(counts, ["side"]), "clouds")
+    parts += [rows(f"terms_{c}", terms.top_terms(counts.where(F.col("side") == c).drop("side")), "term", "n") for c in sides]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

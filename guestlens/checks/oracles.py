@@ -280,6 +280,30 @@ def _top_terms_of(column: str) -> str:
   WITH {_cloud_ctes(column, "chosen")} {_CLOUD})"""
 
 
+def _fitted(rows: str, shown: str) -> list[str]:
+    """Naive Bayes over hashed byte n-grams, in two folds, for rows (k, label, text, and the
+    columns shown). A fifth of the texts is left out of the counts."""
+    number = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) % {}"
+    return [
+        f"given AS ({rows})",
+        f"""folded AS (SELECT *, row_number() OVER () AS r, {number.format("CAST(k AS VARCHAR)", 2)} AS fold, {number.format("text", 5)} = 0 AS fifth,
+  list_transform(range(octet_length(encode(text))), lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS INTEGER)) AS raw FROM given)""",
+        "lowered AS (SELECT *, list_transform(raw, lambda b: CAST(CASE WHEN b BETWEEN 65 AND 90 THEN b + 32 ELSE b END AS HUGEINT)) AS b FROM folded)",
+        "starts AS (SELECT r, fold, fifth, label, unnest(range(1, len(b) + 1)) AS i, b FROM lowered)",
+        "bytes AS (SELECT r, fold, fifth, label, b[i] + 1 AS b1, b[i + 1] + 1 AS b2, b[i + 2] + 1 AS b3, b[i + 3] + 1 AS b4 FROM starts)",
+        """keys AS (SELECT r, fold, fifth, label, unnest([b1 + 1, b1 * 257 + b2 + 2, (b1 * 257 + b2) * 257 + b3 + 3,
+  ((b1 * 257 + b2) * 257 + b3) * 257 + b4 + 4]) AS k FROM bytes)""",
+        """grams AS (SELECT r, fold, fifth, label, CAST(((k * 11400714819323198485) % 18446744073709551616) // 1099511627776 % 65536 AS INTEGER) AS bucket,
+  count(*) AS n FROM keys WHERE k IS NOT NULL GROUP BY ALL)""",
+        """learnt AS (SELECT 1 - fold AS fold, label, bucket, sum(n) AS n FROM grams WHERE NOT fifth AND label IS NOT NULL GROUP BY ALL)""",
+        "totals AS (SELECT fold, label, sum(n) + 0.05 * 65536 AS whole FROM learnt GROUP BY ALL)",
+        """scored AS (SELECT g.r, t.label, sum(g.n * ln((coalesce(l.n, 0) + 0.05) / t.whole)) AS score FROM grams g JOIN totals t ON t.fold = g.fold
+  LEFT JOIN learnt l ON l.fold = g.fold AND l.label = t.label AND l.bucket = g.bucket GROUP BY ALL)""",
+        "won AS (SELECT r, label FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, label) AS place FROM scored) WHERE place = 1)",
+        f"""answer AS (SELECT {shown}, coalesce(w.label, (SELECT min(label) FROM totals)) AS predicted FROM folded f LEFT JOIN won w USING (r))""",
+    ]
+
+
 ORACLES: dict[str, str] = {
     "scan_reviews": _with(
         RAW, STORED, ENRICHED,
@@ -507,6 +531,15 @@ UNION ALL SELECT 'ranking', hotel_name, compound_score FROM ({_RANKING.format(so
 UNION ALL {_top_terms_of('positive')}
 UNION ALL {_top_terms_of('negative')})""",
     ),
+    "language_fitted": "WITH " + ", ".join(_fitted(
+        "SELECT doc_id AS k, doc_id, lang, lang AS label, coalesce(text, '') AS text FROM documents", "f.doc_id, f.lang"))
+    + " SELECT doc_id, lang, predicted AS language FROM answer",
+    "sentiment_fitted": _with(
+        RAW,
+        *_fitted("""SELECT seq AS k, seq, 'POS' AS label, positive AS text FROM raw WHERE positive <> ''
+  UNION ALL SELECT seq, seq, 'NEG', negative FROM raw WHERE negative <> ''""", "f.seq, f.label"),
+        body="SELECT seq, label, predicted AS sentiment_label FROM answer",
+    ),
     "stream_ingest": _with(
         RAW, body=f"SELECT DISTINCT hotel_url, date, title, positive, negative, {_HASH} AS review_hash FROM raw"
     ),

@@ -13,7 +13,7 @@ from guestlens.functions.dates import parse_review_date
 from guestlens.functions.identity import review_hash
 from guestlens.functions.scores import compound_proxy, extract_score, normalize_score
 from guestlens.functions.text import body_fallback, clean_text, full_review_text
-from guestlens.operators import dedup, enrich, filters, metrics, terms, workplan
+from guestlens.operators import dedup, enrich, filters, metrics, ngrams, terms, workplan
 from guestlens.plans import analysis, ingest
 from guestlens.schema import ENRICHMENT_COLUMNS, RAW_COLUMNS, REVIEW
 from guestlens.session import new_path
@@ -394,6 +394,22 @@ def language_model(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.with_model_language(texts, letter_model).select("seq", "language")
 
 
+def language_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document by a model of the others' n-grams that has not seen it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", F.col("lang").alias("label"), "text")
+    found = ngrams.predict_unseen(docs, "doc_id")
+    return found.select("doc_id", "lang", F.col("predicted").alias("language"))
+
+
+def sentiment_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """What guests liked and disliked tells the two classes; every text is judged by a model
+    that has not seen its review."""
+    sides = F.array(*(F.struct(F.lit(label).alias("label"), F.col(c).alias("text")) for label, c in (("POS", "positive"), ("NEG", "negative"))))
+    texts = derived.raw_reviews(spark, sf).select("seq", F.explode(sides).alias("_s")).select("seq", "_s.*").where(F.col("text") != "")
+    found = ngrams.predict_unseen(texts, "seq")
+    return found.select("seq", "label", F.col("predicted").alias("sentiment_label"))
+
+
 def enrich_stored(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled reviews are stored and enriched, then the others are, then the table
     is enriched again, which touches the new rows only. Content after all that."""
@@ -527,6 +543,8 @@ QUERIES: dict[str, Query] = {
     "sentiment_batches": sentiment_batches,
     "enrich": enrich_,
     "enrich_stored": enrich_stored,
+    "language_fitted": language_fitted,
+    "sentiment_fitted": sentiment_fitted,
     "dashboard_overview": dashboard_overview,
     "stream_ingest": stream_ingest,
     "stream_dedup": stream_dedup,

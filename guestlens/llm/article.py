@@ -14,6 +14,8 @@ SURGE = 40
 SURGE_OUTSIDE = 160
 LINK_SHARE = 0.6
 LINK_SHARE_ARTICLE = 0.9
+# Characters from which a linked line of an article is a reference, not part of a menu.
+REFERENCE = 60
 
 # Fixed values of HTML: elements that start a line, and those without an end tag.
 _BLOCKS = frozenset(
@@ -22,11 +24,12 @@ _BLOCKS = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements that never hold main text, and words of class, id or role that say so.
-_ASIDE = frozenset(
-    "aside button canvas dialog footer form head iframe input label menu nav noscript object script select style svg "
-    "template textarea title video audio".split()
+# Elements that hold no text of a page, those that hold none of its main text, and words of
+# class, id or role that say so.
+_NO_TEXT = frozenset(
+    "button canvas dialog form head iframe input noscript object script select style svg template textarea title video audio".split()
 )
+_ASIDE = _NO_TEXT | frozenset("aside footer menu nav".split())
 _ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments "
     "commentlist complementary consent contentinfo cookie cookies disqus footer header login masthead menu modal nav "
@@ -36,6 +39,12 @@ _ASIDE_WORDS = frozenset(
 # Words of the layout, which also stand on wrappers of whole pages, as forms do; an article
 # in such an element is one.
 _LAYOUT = frozenset("banner footer header login masthead menu nav navbar navigation search sidebar toolbar".split())
+# Words that speak of adverts, and of what may hold articles that are not the page's.
+_ADVERT = frozenset("ad ads adv advert adverts advertisement advertising promo promoted promotion sponsor sponsored".split())
+_OTHERS = frozenset("comment comments commentlist disqus recommended related replies respond".split())
+_READERS = frozenset("commentlist comments disqus respond".split())
+# Elements that in an article are text of it, whatever their words say but for adverts.
+_TEXT = frozenset("b blockquote caption dd dt em figcaption h1 h2 h3 h4 h5 h6 i label legend li p pre span strong td th".split())
 # First parts of class words that tell of a layout or of something absent.
 _ABOUT = frozenset("has have hide is no not show with without".split())
 _ARTICLE = frozenset(("article", "main"))
@@ -59,18 +68,21 @@ def _aside_words(value: str) -> set[str]:
 
 class _Lines(HTMLParser):
     """Strips markup: one line per block, with its text, the part of it in links, whether
-    it stands in an article, and whether in something that is no main text: _NO, _YES, or
-    the numbers of the wrappers around it that say so by a word of the layout or as forms."""
+    it stands in an article, and whether in something that is no main text: _NO, _YES,
+    _OPEN where an article inside is one all the same, or the numbers of the wrappers around
+    it that say so by a word of the layout or as forms. Without `words` only elements that
+    hold no text count as such."""
 
-    _NO, _YES = (), (0,)
+    _NO, _YES, _OPEN = (), (0,), (-1,)
 
-    def __init__(self):
+    def __init__(self, words: bool = True):
         super().__init__(convert_charrefs=True)
+        self.words = words
         self.open: list[tuple[str, tuple[int, ...], bool]] = []  # tag, aside, article
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.wrappers = 0
         self.parts: list[str] = []
-        self.linked = self.links = 0
+        self.linked = self.links = self.quotes = 0
 
     def end_line(self):
         text = " ".join("".join(self.parts).split())
@@ -91,27 +103,45 @@ class _Lines(HTMLParser):
         aside, article = self.open[-1][1:] if self.open else (self._NO, False)
         if tag in _ARTICLE:
             article = True
-            aside = aside if aside == self._YES else self._NO
+            aside = aside if aside == self._YES and tag == "article" else self._NO
         if tag not in _ROOTS and aside != self._YES:
-            words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in _aside_words(v)}
-            hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-            if article:
-                words.discard("header")  # the title of the article
-            if hidden or tag in _ASIDE - {"form"} and not (article and tag == "header") or words - _LAYOUT:
-                aside = self._YES
-            elif words or tag == "form":
-                self.wrappers += 1
-                aside = (*aside, self.wrappers)
+            aside = self.aside_of(tag, attrs, aside, article)
         if aside != (self.open[-1][1] if self.open else self._NO):
             self.end_line()
         self.open.append((tag, aside, article))
         self.links += tag == "a"
+        self.quotes += tag == "blockquote"
+
+    def aside_of(self, tag, attrs, aside, article):
+        """Whether what a tag opens is aside. In an article ids tell of readers' comments only,
+        as those of headings and sections are their titles."""
+        if not self.words:
+            return self._YES if tag in _NO_TEXT - {"form"} else aside
+        words = {w for k, v in attrs if k in ("class", "role") and v for w in _aside_words(v)}
+        ids = {w for k, v in attrs if k == "id" and v for w in _aside_words(v)}
+        words |= ids & _READERS if article else ids
+        if article:
+            words.discard("header")  # the title of the article
+            if tag in _TEXT:
+                words &= _ADVERT
+        if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
+            return self._YES
+        kept = article and (tag == "header" or tag == "footer" and self.quotes)
+        if tag in _NO_TEXT - {"form"} or tag == "aside" or words & _OTHERS:
+            return self._YES
+        if tag in _ASIDE - {"form"} and not kept or words - _LAYOUT:
+            return self._YES if article else self._OPEN
+        if (words or tag == "form") and aside != self._OPEN:
+            self.wrappers += 1
+            return (*aside, self.wrappers)
+        return aside
 
     def end_element(self):
         tag, aside, _ = self.open[-1]
         if tag in _BLOCKS or aside != (self.open[-2][1] if len(self.open) > 1 else self._NO):
             self.end_line()
         self.links -= tag == "a"
+        self.quotes -= tag == "blockquote"
         self.open.pop()
 
     def handle_endtag(self, tag):
@@ -128,28 +158,22 @@ class _Lines(HTMLParser):
         self.linked += bool(self.links) and len(data.strip())
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
+def lines_of(html: str, words: bool = True) -> list[tuple[str, int, bool, bool]]:
     """A wrapper that holds more than half of the text without links is not aside; where
     an article is marked already, only one inside of it may be such."""
-    parser = _Lines()
+    parser = _Lines(words)
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines, always = parser.lines, (parser._YES, parser._OPEN)
     marked = any(article and not aside for _, _, article, aside in lines)
     held, total = [0] * (parser.wrappers + 1), 0
     for text, linked, article, aside in lines:
-        if aside != parser._YES and (article or not marked):
+        if aside not in always and (article or not marked):
             total += len(text) - linked
             for wrapper in aside:
                 held[wrapper] += len(text) - linked
-    return [(t, n, article, any(2 * held[w] <= total for w in aside)) for t, n, article, aside in lines]
-
-
-def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) of every stretch of lines: the text of the window that starts at a
-    line rises from nothing at the surge and falls to nothing at the dive."""
-    return _runs([sum(lengths[i : i + window]) > 0 for i in range(len(lengths))])
+    return [(t, n, article, aside in always or any(2 * held[w] <= total for w in aside)) for t, n, article, aside in lines]
 
 
 def _runs(open_: list[bool]) -> list[tuple[int, int]]:
@@ -163,64 +187,72 @@ def _runs(open_: list[bool]) -> list[tuple[int, int]]:
     return found
 
 
-def _kept(lines: list[tuple[str, int]], article: bool, surge: int, share: float, window: int = WINDOW) -> list[str]:
-    """The lines between surges and dives of (text, linked) lines. A window that is mostly
+def _kept(lines: list[tuple[str, int, bool]], article: bool, surge: int, share: float, window: int = WINDOW) -> list[str]:
+    """The lines between surges and dives of (text, linked, aside) lines. What is aside has
+    no density: its lines take a place in the windows, but no text. A window that is mostly
     links is empty, unless its first line alone makes a surge; a stretch reaches `surge`
     characters without links in one of its windows, and holds the lines of its windows.
     Lines of links at its ends are the menus next to it, in an article only where there
     are as many as a window has."""
-    dense = [linked > share * len(text) for text, linked in lines]
+    reference = REFERENCE if article else float("inf")
+    sizes = [0 if aside else len(text) for text, _, aside in lines]
+    linked = [0 if aside or size >= reference else n for (_, n, aside), size in zip(lines, sizes)]
+    dense = [n > share * size for n, size in zip(linked, sizes)]
     plain, open_, menu = [], [], [not article] * len(lines)
-    for i, (text, linked) in enumerate(lines):
-        block = lines[i : i + window]
-        length, links = sum(len(t) for t, _ in block), sum(n for _, n in block)
-        open_.append(links <= share * length or not dense[i] and len(text) - linked >= surge)
+    for i, size in enumerate(sizes):
+        length, links = sum(sizes[i : i + window]), sum(linked[i : i + window])
+        open_.append(length > 0 and (links <= share * length or not dense[i] and size - linked[i] >= surge))
         plain.append(length - links)
-        if len(block) == window and all(dense[i : i + window]):
+        if all(dense[i : i + window]) and i + window <= len(lines):
             menu[i : i + window] = [True] * window
     kept = [False] * len(lines)
     for a, b in _runs(open_):
         if max(plain[a:b]) < surge:
             continue
         b = min(b + window - 1, len(lines))
-        while dense[a] and menu[a]:
+        while a < b and (dense[a] and menu[a] or not sizes[a]):
             a += 1
-        while dense[b - 1] and menu[b - 1]:
+        while a < b and (dense[b - 1] and menu[b - 1] or not sizes[b - 1]):
             b -= 1
         kept[a:b] = [True] * (b - a)
-    return [text for (text, _), k in zip(lines, kept) if k]
+    return [text for (text, _, aside), k in zip(lines, kept) if k and not aside]
 
 
-def main_text(html: str | None) -> str:
-    lines = [line for line in lines_of(html or "") if not line[3]]
-    marked = any(article for _, _, article, _ in lines)
+def main_text(html: str | None, words: bool = True) -> str:
+    """The text of a page. Without `words` the names of elements, classes, ids and roles say
+    nothing, and the windows alone decide what is aside."""
+    lines = lines_of(html or "", words)
+    marked = any(article and not aside for _, _, article, aside in lines)
     surge = SURGE_OUTSIDE
     if not marked:  # little text may be all there is
-        windows = [sum(len(t) - n for t, n, _, _ in lines[i : i + WINDOW]) for i in range(len(lines))]
-        surge = min(SURGE, max(1, max(windows, default=1)))
+        plain = [0 if aside else len(t) - n for t, n, _, aside in lines]
+        surge = min(SURGE, max(1, max((sum(plain[i : i + WINDOW]) for i in range(len(plain))), default=1)))
     texts = []
-    for article, part in itertools.groupby(lines, key=lambda line: line[2]):
+    for article, part in itertools.groupby(lines, key=lambda line: marked and line[2]):
         limits = (1, LINK_SHARE_ARTICLE) if article else (surge, LINK_SHARE)
-        texts += _kept([line[:2] for line in part], article, *limits)
-    return "\n\n".join(texts or [text for text, _, article, _ in lines if article])
+        texts += _kept([(t, n, aside) for t, n, _, aside in part], article, *limits)
+    return "\n\n".join(texts or [text for text, _, article, aside in lines if article and not aside])
 
 
 def extract_articles(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: page_id, url, text.
 
     Line-block distribution. Markup is stripped to one line per block element; character
-    references are decoded and white space inside a line becomes one space. Lines in
-    menus, headers, footers, side bars, notices, adverts, forms, reader comments and the
-    like are left out. Text and linked text are summed over sliding windows of three
-    lines. A window of mostly links is empty; the text between each surge and the next
+    references are decoded and white space inside a line becomes one space. Text and linked
+    text are summed over sliding windows of three lines; lines that their element or its
+    class says are menus, headers, footers, side bars, notices, adverts, forms, reader
+    comments and the like have no density. A window of mostly links is empty; the text between each surge and the next
     dive is kept when a window of it holds 40 characters without links, however long
     other stretches are. An article mark only moves the thresholds: inside, a window is
     empty from a share of links of 0.9 in place of 0.6, and any text without links is a
-    surge; outside, 160 characters are one. Windows do not span the border. On a page
+    surge, ids and headings say nothing about what is aside, and linked lines of 60
+    characters are references; outside, 160 characters are a surge. Windows do not span the
+    border. On a page
     that never reaches 40 the fullest window is the threshold, and an article of links
     alone is kept. Lines are joined by an empty line, in page order.
 
-    A null or empty html gives an empty text. Unclosed tags end with what holds them.
+    A null or empty html gives an empty text. Unclosed tags end with what holds them; an
+    article after an unclosed menu or advert is one all the same.
     Repeated rows are rows of their own. An empty table gives no rows. Other columns are
     not looked at.
     """

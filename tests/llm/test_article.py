@@ -74,9 +74,39 @@ def test_wrappers_of_the_whole_page(start):
         assert article.main_text(page).split("\n\n") == PROSE[:9]
 
 
-def test_stretches():
-    assert article.stretches([0, 0, 5, 0, 5, 0, 0, 0, 0, 7]) == [(0, 5), (7, 10)]
-    assert article.stretches([]) == [] and article.stretches([0, 0]) == [] and article.stretches([3]) == [(0, 1)]
+def test_nothing_of_the_article_is_lost():
+    titles = ["search", "login", "sharing", "comments", "related", "alert", "notice", "share", "menu", "navigation", "sponsor"]
+    body = "".join(f"<section id='{t.removesuffix('s')}'><h2 id='{t}'>About {t}</h2><p>Text of this part on {t}.</p></section>" for t in titles)
+    expected = [x for t in titles for x in (f"About {t}", f"Text of this part on {t}.")]
+    assert article.main_text(f"<article>{body}</article>").split("\n\n") == expected
+    cited = [f"Author {i}, a paper with a title that is long enough to be no menu, volume {i}" for i in range(5)]
+    references = "<ol>" + "".join(f"<li><a href=/{i}>{c}</a></li>" for i, c in enumerate(cited)) + "</ol>"
+    for page in (f"{_paragraphs(PROSE[:2])}{references}", f"{_paragraphs(PROSE[:2])}{references}{_paragraphs(PROSE[2:4])}"):
+        assert article.main_text(f"<article>{page}</article>").split("\n\n")[:7] == [*PROSE[:2], *cited]
+    more = "<p class=notice>Take notice of this.</p><label>A label</label><blockquote><p>Said so.</p><footer>Somebody</footer></blockquote>"
+    assert article.main_text(f"<article>{_paragraphs(PROSE[:1])}{more}<p class=ad>Buy</p><footer>Posted by</footer></article>").split("\n\n") == [
+        PROSE[0], "Take notice of this.", "A label", "Said so.", "Somebody"
+    ]
+
+
+@pytest.mark.parametrize("unclosed", ["<nav><ul><li><a href=/>Home</a>", "<div class=ad>Buy now", "<header><p>Site", "<div class='cookie-notice'>We use cookies"])
+def test_unclosed_elements_before_the_article(unclosed):
+    for mark in ("article", "main"):
+        page = f"<body>{unclosed}<{mark}>{_paragraphs(PROSE[:3])}</{mark}>"
+        assert article.main_text(page).split("\n\n") == PROSE[:3]
+
+
+def test_windows_decide_on_the_given_pages(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    gone = {"nav": 0, "footer": 0, "ad": 0}
+    for page in pages:
+        found = article.main_text(page, words=False)
+        assert set(article.main_text(page).split("\n\n")) <= set(found.split("\n\n"))  # nothing of the article
+        lines = found.split("\n\n")
+        for name, pattern in (("nav", "<nav>(.*?)</nav>"), ("footer", "<footer>(.*?)</footer>"), ("ad", '<div class="ad">(.*?)</div>')):
+            parts = [html.unescape(re.sub("<[^>]*>", "", x)) for x in re.split("</?li>", re.search(pattern, page, re.S)[1])]
+            gone[name] += all(" ".join(p.split()) not in lines for p in parts if p.split())
+    assert all(n >= 0.95 * len(pages) for n in gone.values())
 
 
 @pytest.mark.parametrize("broken", [None, "", "<", "<p", "plain text", "</p></div>", "<article>", "<a b='", "&#xZZ;&bogus;", "<![CDATA["])

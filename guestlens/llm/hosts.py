@@ -107,6 +107,8 @@ def spread_trust(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, t
         ranks = now.drop("moved")
         if now.agg(F.max("moved")).first()[0] <= 0:
             break
+    else:
+        raise RuntimeError(f"the ranks have not settled in {_ROUNDS} rounds")
     return ranks.select("host", *start)
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+from guestlens.llm.hosts import DAMPING, RULES, THRESHOLD
 from guestlens.llm.licences import BLOCK_WORDS, CONTAINMENT, PHRASES, TEMPLATES
 
 _OP2 = r"""
@@ -50,7 +51,44 @@ FROM found
 """
 
 
+def _verdicts(rounds: int = 48) -> str:
+    """Rules by their length, else ranks by that many rounds. The given pages quote their hrefs."""
+    name, ranks, kinds = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", [], ("trust", "distrust", "weight")
+    cases = " ".join(
+        f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN {{'rule': '{h + p}', 'verdict': '{v}'}}"
+        for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    )
+    d = f"CAST({DAMPING} AS DOUBLE)"
+    for k in range(rounds):
+        ahead = f"SELECT dst AS host, {d} * part * trust AS trust, 0.0 AS distrust, {d} * part * weight AS weight FROM ranks{k} JOIN forward ON src = host"
+        back = f"SELECT src, 0.0, {d} * part * distrust, 0.0 FROM ranks{k} JOIN backward ON dst = host"
+        came = f"SELECT host, sum(trust) AS trust, sum(distrust) AS distrust, sum(weight) AS weight FROM ({ahead} UNION ALL {back}) GROUP BY host"
+        sums = ", ".join(f"s.{c} + coalesce(c.{c}, 0.0) AS {c}" for c in kinds)
+        ranks.append(f"ranks{k + 1} AS MATERIALIZED (SELECT s.host, {sums} FROM ranks0 s LEFT JOIN ({came}) c USING (host))")
+    return rf"""
+WITH cut AS MATERIALIZED (
+  SELECT page_id, coalesce({name.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")}, '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path, html FROM pages),
+ruled AS MATERIALIZED (SELECT page_id, host, path, CASE {cases} END AS r, html FROM cut),
+found AS (SELECT host AS src, {name.format("unnest(regexp_extract_all(html, '(?is)<a [^<>]*?href=" + '"' + r"(?:[a-z][a-z0-9+.-]*:)?//([^/?#" + '"' + r"\s]+)', 1))")} AS dst FROM cut WHERE host <> ''),
+links AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM found WHERE dst <> '' AND dst <> src GROUP BY ALL),
+forward AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS part FROM links),
+backward AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY dst) AS part FROM links),
+seeds AS (SELECT host, count(*) FILTER (r.verdict = 'allow') AS a, count(*) FILTER (r.verdict = 'block') AS b, count(*) AS p
+  FROM ruled WHERE host <> '' GROUP BY host),
+nodes AS (SELECT host FROM seeds UNION SELECT src FROM links UNION SELECT dst FROM links),
+ranks0 AS MATERIALIZED (SELECT host, (1 - {d}) * coalesce(a, 0) AS trust, (1 - {d}) * coalesce(b, 0) AS distrust,
+  (1 - {d}) * coalesce(p, 0) AS weight FROM nodes LEFT JOIN seeds USING (host)),
+{", ".join(ranks)}
+SELECT page_id, u.host, path, r.rule AS rule,
+  coalesce(r.verdict, CASE WHEN distrust > trust AND distrust > {THRESHOLD} * weight THEN 'block' END, 'allow') AS verdict,
+  coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust
+FROM ruled u LEFT JOIN ranks{rounds} v USING (host)
+"""
+
+
 ORACLES = {
     "op2_exact_dedup": _OP2,
     "op4_scan_licences": _licences(),
+    "op10_judge_urls": _verdicts(),
 }

@@ -172,6 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     known = known.where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1))
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    # labels of documents that are not here would take places of the sample
+    known = stage(known.join(docs.select(F.col(doc_id).alias("_id")), "_id", "left_semi"), "known-labels")
     total = {row["_toxic"]: row["count"] for row in known.groupBy("_toxic").count().collect()}
     order = [F.xxhash64("_id"), F.col("_id")]
     half = known.where("_toxic = 1").orderBy(*order).limit(rows // 2)

@@ -1,8 +1,10 @@
+import compare
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from guestlens.llm import hosts
+from guestlens.llm import hosts, queries, sql
 
 FORM = "page_id long, url string, html string, host string, verdict string"
 
@@ -76,3 +78,32 @@ def test_odd_rows(spark):
     got = hosts.judge_urls(pages_of(spark, rows))
     assert got.count() == 4 and {r.verdict for r in got.collect()} == {"allow"}
     assert hosts.judge_urls(pages_of(spark, rows).where("false")).count() == 0
+
+
+def test_query_against_sql(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    found = queries.op10_judge_urls(spark, sf)
+    assert compare.differences(found, sql.ORACLES["op10_judge_urls"], compare.connect(sf)) == []
+
+
+def test_linked_hosts_against_sql(spark):
+    rng = np.random.default_rng(8)
+    names = [f"h{i}.{t}" for i in range(8) for t in ("com", "org", "net", "example.com")]
+    link = lambda: f'<a class="x" href="http://{names[rng.integers(32)]}/p">x</a>'
+    rows = [(i, f"http://{names[rng.integers(32)]}/{rng.choice(['fr', 'de', 'x'])}/{i}", "".join(link() for _ in range(rng.integers(4)))) for i in range(200)]
+    got = {r.page_id: r for r in hosts.judge_urls(pages_of(spark, rows)).collect()}
+    db = duckdb.connect()
+    db.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    db.executemany("insert into pages values (?, ?, ?)", rows)
+    for page, host, path, rule, verdict, trust, distrust in db.sql(sql.ORACLES["op10_judge_urls"]).fetchall():
+        r = got[page]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.trust == pytest.approx(trust, rel=5e-3, abs=1e-9) and r.distrust == pytest.approx(distrust, rel=5e-3, abs=1e-9)
+        assert r.verdict == verdict
+    assert {r.verdict for r in got.values() if r.rule is None} == {"allow", "block"}
+
+
+def test_one_giant_host(spark):
+    rows = [(i, "http://big.com/" + "x" * (i % 7), '<a href="http://spam.net/">x</a>') for i in range(20_000)] + [(-1, "http://spam.net/", None)]
+    got = hosts.judge_urls(pages_of(spark, rows)).groupBy("host", "verdict").count().collect()
+    assert {tuple(r) for r in got} == {("big.com", "allow", 20_000), ("spam.net", "block", 1)}

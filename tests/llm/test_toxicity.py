@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from guestlens.llm import toxicity
+from guestlens.llm import queries, toxicity
 
 FORM = "doc_id long, quality int, toxic int"
 
@@ -46,6 +46,28 @@ def test_later_models_use_the_earlier_categories():
     assert high[0] > 0.9 and high[1] > 0.9 and low[0] < 0.1 and low[1] < 0.1
 
 
+def test_labels_of_unknown_documents_take_no_place(spark, docs):
+    known = corpus(200, 7)
+    unknown = [(50_000 + i, 1, i % 2) for i in range(4000)]
+    labels = spark.createDataFrame([(d, 1, y) for d, _, y in known] + unknown, FORM)
+    frame = docs([r[:2] for r in known])
+    with_others, alone = (toxicity.train(frame, some, rows=150) for some in (labels, labels.where("doc_id < 50000")))
+    assert with_others.features == alone.features and with_others.weights == alone.weights
+    assert len(alone.features) > 1
+
+
+def test_query_on_the_given_tables(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op8_find_toxic(spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    chain = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        p = chain.probabilities(chain.present(toxicity.words_of(r.text)))
+        assert got[r.doc_id].score == p[-1] and got[r.doc_id].toxic == (p[-1] >= toxicity.REJECTED)
+    assert sum(got[d].toxic for d, y in toxic.items() if not y) == 0
+
+
 def test_odd_rows(spark, docs):
     rows = [(1, None), (2, ""), (None, "idiot scum"), (3, "idiot " * 50_000), (3, "fine"), (4, "trash"), (4, "trash")]
     labels = spark.createDataFrame([(3, 1, 1), (3, None, None), (None, 1, 1), (99, 0, 1), (2, 0, 0), (1, 1, 0), (4, 1, 1), (4, 1, 0)], FORM)

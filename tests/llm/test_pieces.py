@@ -20,21 +20,32 @@ def test_agenda_gives_the_ids_of_the_library(encoder):
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz  \n.,'▁éß日0123"
     texts = ODD + ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(300)]
-    for text in texts:
-        assert encoder.encode(text) == encoder.library.encode(text, add_eos=True), repr(text)
-    assert len(encoder.known) + len(encoder.older) <= 50
+    right = encoder.library.encode(texts, add_eos=True)
+    assert encoder.encode(texts) == [(ids, True) for ids in right]
+    assert [encoder.encode([t])[0] for t in texts] == [(ids, True) for ids in right]
+    assert [encoder.decode(ids).decode() for ids in right] == [encoder.library.decode(ids) for ids in right]
+    assert len(encoder.known) <= 50 and len(encoder.known_parts) <= 50
+    assert encoder.encode([]) == [] and not encoder.differing
+    texts = [" ".join(rng.choice(["|", "a|b", "|a", "a", "ab,", "a.b.c", "é", "12", "x\ny"]) for _ in range(rng.randrange(6))) for _ in range(400)]
+    assert [e for t in texts for e in encoder.encode([t])] == [(ids, True) for ids in encoder.library.encode(texts, add_eos=True)]
 
 
-def test_the_two_agendas_agree(encoder, monkeypatch):
-    short = [encoder.pieces(w) for w in ("▁international", "▁▁▁", "hello", "aaaaaaaa")]
-    monkeypatch.setattr(pieces, "_SHORT", 0)
-    assert [encoder.pieces(w) for w in ("▁international", "▁▁▁", "hello", "aaaaaaaa")] == short
+def test_the_two_agendas_agree(encoder):
+    rng = random.Random(8)
+    parts = ["▁international", "▁▁▁", "hello", "aaaaaaaa", "日", "x😀y"]
+    parts += ["".join(rng.choice("▁theringsau日é0") for _ in range(rng.randrange(1, 24))) for _ in range(500)]
+    assert encoder.merge_short(parts) == [encoder.merge_long(p) for p in parts]
 
 
-def test_a_wrong_agenda_shows(encoder, monkeypatch):
-    other = encoder.encode("another text")
-    monkeypatch.setattr(encoder, "encode", lambda text: other)
-    assert list(pieces.checked(encoder, ["some text", "another text"])) == [(other, "another text", False), (other, "another text", True)]
+def test_a_wrong_agenda_shows(monkeypatch):
+    with open(queries.piece_model(), "rb") as file:
+        encoder = pieces.MergeEncoder(file.read())
+    merge = encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda parts: {p: (5,) if "odd" in p else ids for p, ids in merge(parts).items()})
+    texts = ["some odd text", "some text", "an odd, text", "another odd", "  odd", "  even", "odd"]
+    for _ in range(2):  # from the store too
+        assert [agrees for _, agrees in encoder.encode(texts)] == [False, True, False, False, False, True, False]
+    assert encoder.encode(["odd"])[0][0] == [5, encoder.end]
 
 
 def test_frame(docs):

@@ -550,3 +550,7 @@ UNION ALL {_top_terms_of('negative')})""",
     "stream_trend": """SELECT last_day(CAST(ts AS DATE)) AS month, count(*) AS reviews, round(avg(value), 6) AS mean_value
 FROM events GROUP BY last_day(CAST(ts AS DATE))""",
 }
+
+# The same results by another way.
+ORACLES["stream_cap"] = ORACLES["per_hotel_cap"]
+ORACLES["monthly_from_sums"] = ORACLES["monthly_sentiment"]

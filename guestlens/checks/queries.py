@@ -17,7 +17,8 @@ from guestlens.operators import dedup, enrich, filters, metrics, ngrams, terms,
 from guestlens.plans import analysis, ingest
 from guestlens.schema import ENRICHMENT_COLUMNS, RAW_COLUMNS, REVIEW
 from guestlens.session import new_path
-from guestlens.sources import readers, writers
+from guestlens.sources import readers, rollups, writers
+from guestlens.streaming import cap as stream_cap_
 from guestlens.streaming import ingest as stream_ingest_
 from guestlens.streaming import trend
 
@@ -186,6 +187,18 @@ def per_hotel_cap(spark: SparkSession, sf: str) -> DataFrame:
     return workplan.cap_per_hotel(placed, REVIEW_CAP).select("seq", "page_no", "pos", *RAW_COLUMNS)
 
 
+def stream_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records as a stream of several batches, out of order."""
+    source, out = new_path(spark, "records"), new_path(spark, "changes")
+    raw = derived.raw_reviews(spark, sf).select("seq", *RAW_COLUMNS)
+    placed = raw.withColumns({"page_no": F.floor(F.col("seq") / 25), "pos": F.col("seq") % 25})
+    placed.repartitionByRange(4, F.desc("seq")).write.parquet(source)
+    stream = spark.readStream.schema(placed.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stream_cap_.start_capped(stream, out, new_path(spark, "offsets"), limit=REVIEW_CAP).awaitTermination()
+    changes = spark.read.schema(placed.schema.add("out", "boolean")).parquet(out)
+    return stream_cap_.after_changes(changes).select("seq", "page_no", "pos", *RAW_COLUMNS)
+
+
 # --- duplicates ---------------------------------------------------------------------
 
 
@@ -252,6 +265,16 @@ def monthly_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(metrics.monthly_sentiment(_prepared(spark, sf)), "compound_score")
 
 
+def monthly_from_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """From the sums kept beside a stored table, made after its ingest and brought up to
+    date after its enrichment."""
+    path = new_path(spark, "reviews")
+    writers.insert_new(derived.raw_reviews(spark, sf), path)
+    rollups.refresh(spark, path)
+    writers.store_enrichment(spark, path, lambda rows: analysis.enrich_reviews(rows, derived.LEXICON))
+    return _rounded(rollups.Figures(spark, path).monthly_sentiment(), "compound_score")
+
+
 def monthly_volume(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.monthly_volume(_prepared_csv(spark, sf))
 
@@ -499,6 +522,7 @@ QUERIES: dict[str, Query] = {
     "work_chunks": work_chunks,
     "work_plan": work_plan,
     "per_hotel_cap": per_hotel_cap,
+    "stream_cap": stream_cap,
     "hash_dedup": hash_dedup,
     "page_distinct": page_distinct,
     "dedup_stats": dedup_stats,
@@ -512,6 +536,7 @@ QUERIES: dict[str, Query] = {
     "hotel_ranking": hotel_ranking,
     "monthly_sentiment": monthly_sentiment,
     "monthly_volume": monthly_volume,
+    "monthly_from_sums": monthly_from_sums,
     "word_terms_pos": _terms("positive", "POS"),
     "word_terms_neg": _terms("negative", "NEG"),
     "word_cloud_pos": _cloud("positive", "POS"),

@@ -221,7 +221,7 @@ def hotel_pages(spark: SparkSession, sf: str) -> DataFrame:
         text("<title>Updated Prices Finca ", name, f" -- {SITE} reviews</title>"),
     ]
     counts = [
-        text('<a data-testid="review-score-link"><div>8,5</div><div>Comentarios (', n.cast("string"), ")</div></a>"),
+        text('<a data-testid="review-score-link"><div>8,5</div><div>Opiniones (', n.cast("string"), ")</div></a>"),
         text('<span class="d8eab2cf7f">', n.cast("string"), ".5 comentarios</span>"),
         text('<a class="js-review-tab-link">Reviews</a><span class="bui-review-score__text">', n.cast("string"), "</span>"),
         text("<p>", n.cast("string"), "</p>"),

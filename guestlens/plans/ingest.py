@@ -27,7 +27,9 @@ def with_hotel_name(pages: DataFrame, site_marker: str | None = None) -> DataFra
     return named.withColumn("hotel_name", name).drop("_head")
 
 
-def _extracted(pages: DataFrame) -> DataFrame:
+def walked(pages: DataFrame) -> DataFrame:
+    """The pages with what one walk finds in each: `_found`, the review elements read and the
+    errors of others. Staged, it serves `records_of` and `rejects_of` both."""
     return pages.withColumn("_found", markup.review_blocks(F.col("html")))
 
 
@@ -39,7 +41,11 @@ def review_records(pages: DataFrame) -> DataFrame:
     shuffle. `pages` has page_id, url, page_no, hotel_name, html. Bad or empty pages and
     elements that fail give no rows; see `rejects`.
     """
-    require_columns(pages, ["page_id", "page_no", "url", "hotel_name", "html"])
+    return records_of(walked(require_columns(pages, ["page_id", "page_no", "url", "hotel_name", "html"])))
+
+
+def records_of(found: DataFrame) -> DataFrame:
+    """As `review_records`, of walked pages."""
 
     def finished(block: Column) -> Column:
         return F.struct(
@@ -51,7 +57,7 @@ def review_records(pages: DataFrame) -> DataFrame:
         )
 
     records = F.array_distinct(F.transform("_found.records", finished))
-    found = _extracted(pages).select(
+    found = found.select(
         "page_id", "page_no", "hotel_name", F.col("url").alias("hotel_url"), F.posexplode(records).alias("pos", "_r")
     )
     return found.select("page_id", "page_no", "pos", "hotel_name", "hotel_url", "_r.*")
@@ -61,7 +67,12 @@ def rejects(pages: DataFrame) -> DataFrame:
     """(page_id, reason) of what gives no review: pages that are unread, failed or without
     any, and every single review element that failed; also pages whose head or links
     could not be read."""
-    found = _extracted(pages).select(
+    return rejects_of(walked(pages))
+
+
+def rejects_of(found: DataFrame) -> DataFrame:
+    """As `rejects`, of walked pages."""
+    found = found.select(
         "page_id",
         "html",
         "_found",
@@ -80,6 +91,12 @@ def rejects(pages: DataFrame) -> DataFrame:
     return found.select("page_id", F.explode(F.concat(parts, blocks)).alias("reason"))
 
 
+def records_and_rejects(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`review_records` and `rejects` of the pages, whose review elements are walked once."""
+    found = stage(walked(require_columns(pages, ["page_id", "page_no", "url", "hotel_name", "html"])), "walked")
+    return records_of(found), rejects_of(found)
+
+
 def ingest_pages(
     pages: DataFrame,
     existing: DataFrame,

@@ -116,20 +116,35 @@ def test_hotel_names(spark):
         '<h2 id="hp_hotel_name"> </h2><div class="hp__hotel-name">no</div><h2 class="a pp-header__title">L</h2>': "L",
         '<h2 data-testid="post-booking-header-title">M</h2>': "M",
         '<div class="hp__hotel-name"><div>N</div></div>': "N",
-        "<title>Hotel California - Site.example</title>": "Hotel California",
+        "<title>Casa Azul - Site.example</title>": "Casa Azul",
         "<title> Updated Prices  O -- \n Site.example - x</title>": "O",
         "<p>nothing</p>": "",
     }
     assert names(spark, *cases) == list(cases.values())
 
 
+def test_one_walk_gives_records_and_rejects(spark):
+    pages = pages_of(spark, REVIEWS, "", "<p>none</p>")
+    records, rejected = ingest.records_and_rejects(pages)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(records) == rows(ingest.review_records(pages)) and rows(rejected) == rows(ingest.rejects(pages))
+    assert records.count() == 2 and rejected.count() == 2
+    for frame in (records, rejected):  # the review elements are not walked again
+        assert "review_blocks" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_read_once(spark):
+    plan = workplan.harvest_hotel_links(pages_of(spark, "<p>"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_title_without_marker(spark):
     assert names(spark, "<title>P - Site.example</title>", marker=None) == ["P - Site.example"]
 
 
 def test_expected_count(spark):
     cases = {
-        '<a data-testid="review-score-link"><div>8,5</div><div>Comentarios (1,234)</div></a>': 1234,
+        '<a data-testid="review-score-link"><div>8,5</div><div>Opiniones (2,045)</div></a>': 2045,
         '<a class="js-review-tab-link">x</a><b data-tab-target="htReviews">(12)</b>': 12,
         '<a class="js-review-tab-link">(1,234,567)</a><i class="d8eab2cf7f">1.234 reviews</i>': 1234,
         '<i class="bui-review-score__text">4.5</i>': 45,

@@ -1,4 +1,8 @@
-"""The training-data pipeline: stages over the documents table, one after the other."""
+"""The training-data pipeline: stages over the documents table, one after the other.
+
+Null texts are empty for every stage. An empty table gives an empty result; without labels
+nothing is rejected as toxic. All stages but the last keep the columns of the documents.
+"""
 
 from collections.abc import Callable
 
@@ -11,12 +15,13 @@ from guestlens.session import stage
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Documents that the classifier chain rejects go. Repeated rows go or stay together."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text one stays."""
+    """Of documents with equal text but for white space the one with the smallest doc_id
+    stays, so one of all null and empty ones."""
     return exact.drop_exact_copies(docs)
 
 
@@ -26,12 +31,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them."""
+    """Documents come as often as the mix takes them: not at all, once or twice. Those
+    without words come once; a null source is one of its own."""
     return mixing.repeat_by_copies(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document and what they decode to, as digests."""
+    """Piece ids of every document and what they decode to, as digests. An empty text has
+    the end id alone."""
     return pieces.digest_pieces(docs, piece_model())
 
 

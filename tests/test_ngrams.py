@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from guestlens.checks import queries
-from guestlens.operators import enrich, ngrams
+from guestlens.operators import enrich, fitted, ngrams
 
 GOOD = "clean quiet friendly wonderful tasty bright spacious helpful".split()
 BAD = "dirty noisy rude awful stale dark cramped broken".split()
@@ -79,9 +79,9 @@ def test_fitted_models_enrich(spark):
     languages = ngrams.fit(spark.createDataFrame([("en", "the room was clean and quiet"), ("es", "la habitación era limpia y tranquila")] * 20, "label string, text string"))
     given = [(1, "the staff was friendly wonderful helpful"), (2, "el personal era sucio"), (3, "a"), (4, None), (5, "12 34"), (6, "the dirty noisy awful room")]
     frame = spark.createDataFrame(given, "seq int, full_review_processed string")
-    named = enrich.with_fitted_language(frame, languages)
+    named = fitted.with_fitted_language(frame, languages)
     assert {r.seq: r.language for r in named.collect()} == {1: "en", 2: "es", 3: "unknown", 4: "unknown", 5: "unknown", 6: "en"}
-    scored = {r.seq: r for r in enrich.with_fitted_sentiment(named, {"en": again}).collect()}
+    scored = {r.seq: r for r in fitted.with_fitted_sentiment(named, {"en": again}).collect()}
     assert scored[1].sentiment_label == "POS" and scored[6].sentiment_label == "NEG" and scored[6].sentiment_score_neg > 0.5
     for seq in (2, 3, 4, 5):
         assert scored[seq].sentiment_label is None and scored[seq].sentiment_score_pos == scored[seq].sentiment_score_neu == 0.0

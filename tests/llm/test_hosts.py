@@ -43,6 +43,14 @@ def test_links(spark):
     assert sorted(tuple(r) for r in links.collect()) == [("a.com", "b.com", 2), ("a.com", "c.com", 1), ("b.com", "c.com", 1)]
 
 
+def test_anchors_with_very_many_attributes(spark):
+    many = " ".join(f'data-{i}="http://no.com/{i}"' for i in range(20_000))
+    rows = [(1, "http://a.com/", f'<a {many} href="http://b.com/">x</a>'), (2, "http://c.com/", f"<a {many}" * 3), (3, "http://d.com/", "<a x" * 50_000)]
+    pages = pages_of(spark, rows)
+    links = hosts.host_links(pages.select(hosts.host_of(F.col("url")).alias("host"), "html"))
+    assert [tuple(r) for r in links.collect()] == [("a.com", "b.com", 1)]
+
+
 def test_ranks_against_a_dense_solution(spark):
     rng = np.random.default_rng(5)
     n = 12

@@ -50,7 +50,8 @@ def first_delivery(spark: SparkSession, sf: str) -> DataFrame:
         (F.count_if(F.col("event_type") == "purchase") % 3 == 1).alias("twice"),
     )
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    base = docs.join(events, "doc_id", "left").join(labels, "doc_id", "left")
+    # the narrow sides are hashed, so that no text is sorted
+    base = docs.join(events.hint("shuffle_hash"), "doc_id", "left").join(labels.hint("shuffle_hash"), "doc_id", "left")
 
     n, text, v, quality = F.col("doc_id"), F.col("text"), F.col("value"), F.col("quality")
     no = F.lit(False)

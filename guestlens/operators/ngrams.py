@@ -204,7 +204,7 @@ def predict(df: DataFrame, model: NgramModel, text: str, label: str = "label", p
 def predict_unseen(rows: DataFrame, key: str, folds: int = 2, **more) -> DataFrame:
     """Adds to labelled rows (label, text) what models say that have not seen them: each fold,
     by a hash of `key`, is predicted by a model of the others. Columns predicted and
-    probabilities."""
+    probabilities. The rows are read three times for every fold; stage them if they are dear."""
     fold = part_of(F.coalesce(F.col(key).cast("string"), F.lit("")), folds)
     parts = []
     for k in range(folds):

@@ -1,11 +1,14 @@
 """Columns read from captured HTML pages."""
 
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from guestlens.functions import page_texts
 from guestlens.functions.text import null_to_empty, strip
@@ -48,41 +51,61 @@ def _if_marked(html: Column, marks: list[str]) -> Column:
     return F.when(found, html)
 
 
-@F.pandas_udf(_FOUND)
-def _review_blocks(html: pd.Series) -> pd.DataFrame:
-    rows = []
-    for page in html:
-        found, bad, error = [], [], None
-        if page is not None:
-            try:
-                found, bad = page_texts.review_records(page)
-            except Exception as e:  # a bad page becomes a reject, not a failed job
-                error = f"{type(e).__name__}: {e}"
-        rows.append((error, found, bad))
-    return pd.DataFrame(rows, columns=_FOUND.names)
+# Bytes of page text whose findings a worker holds as Python objects at a time.
+_BLOCK = 1 << 20
 
 
-@F.pandas_udf(_HEAD)
-def _head_texts(html: pd.Series) -> pd.DataFrame:
+def _in_blocks(pages: pa.Array, form: T.StructType, read: Callable[[str | None], tuple]) -> Iterator[pa.Array]:
+    """What `read` gives for each page, a tuple in the order of `form`, as Arrow arrays. Pages
+    are made Python texts one at a time, and findings become Arrow values block by block, so
+    that a worker holds little more than the bytes of a batch."""
+    kind, rows, held = to_arrow_type(form), [], 0
+    for page in pages:
+        text = page.as_py()
+        rows.append(dict(zip(form.names, read(text))))
+        held += page.as_buffer().size if text is not None else 0
+        if held >= _BLOCK:
+            yield pa.array(rows, kind)
+            rows, held = [], 0
+    yield pa.array(rows, kind)
+
+
+@F.arrow_udf(_FOUND)
+def _review_blocks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def read(page):
+        try:
+            return (None, *(page_texts.review_records(page) if page is not None else ([], [])))
+        except Exception as e:  # a bad page becomes a reject, not a failed job
+            return f"{type(e).__name__}: {e}", [], []
+
+    for html in batches:
+        yield from _in_blocks(html, _FOUND, read)
+
+
+@F.arrow_udf(_HEAD)
+def _head_texts(html: pa.Array) -> pa.Array:
     empty = page_texts.head_texts("")
-    rows = []
-    for page in html:
+
+    def read(page):
+        error, found = None, empty
         try:
-            rows.append({"error": None, **(page_texts.head_texts(page) if page is not None else empty)})
+            found = page_texts.head_texts(page) if page is not None else empty
         except Exception as e:
-            rows.append({"error": f"{type(e).__name__}: {e}", **empty})
-    return pd.DataFrame(rows, columns=_HEAD.names)
+            error = f"{type(e).__name__}: {e}"
+        return error, *(found[name] for name in _HEAD.names[1:])
 
+    return pa.concat_arrays(list(_in_blocks(html, _HEAD, read)))
 
-@F.pandas_udf(_LINKS)
-def _hotel_hrefs(html: pd.Series) -> pd.DataFrame:
-    rows = []
-    for page in html:
+
+@F.arrow_udf(_LINKS)
+def _hotel_hrefs(html: pa.Array) -> pa.Array:
+    def read(page):
         try:
-            rows.append((None, page_texts.hotel_hrefs(page) if page is not None else []))
+            return None, page_texts.hotel_hrefs(page) if page is not None else []
         except Exception as e:
-            rows.append((f"{type(e).__name__}: {e}", []))
-    return pd.DataFrame(rows, columns=_LINKS.names)
+            return f"{type(e).__name__}: {e}", []
+
+    return pa.concat_arrays(list(_in_blocks(html, _LINKS, read)))
 
 
 @F.pandas_udf(T.StringType())

@@ -1,8 +1,11 @@
 """What queries move and hold: plans and sizes of blocks, on rows of their own."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from guestlens.checks import derived, queries
+from guestlens.functions import markup
 
 
 def plan_of(df) -> str:
@@ -23,3 +26,23 @@ def test_texts_meet_their_events_unsorted(spark, sf, no_broadcast):
 
 def test_fitted_sentiment_makes_its_texts_once(spark, sf):
     assert "Join" not in plan_of(queries.QUERIES["sentiment_fitted"](spark, sf))
+
+
+@pytest.mark.parametrize("block, most", [(1, 10), (300, 12), (1 << 20, 60)])
+def test_findings_become_arrow_block_by_block(monkeypatch, block, most):
+    page = '<div data-testid="review"><p data-testid="review-positive-text">é%d</p></div>'
+    pages = pa.array([page % i for i in range(50)] + [None, ""] * 5)
+    monkeypatch.setattr(markup, "_BLOCK", block, raising=False)
+    made = list(markup._review_blocks.func(iter([pages, pages])))
+    assert max(map(len, made)) == most
+    found = [f for array in made for f in array.to_pylist()]
+    assert [len(f["records"]) for f in found] == ([1] * 50 + [0] * 10) * 2
+    assert found[67]["records"][0]["positive"] == "é7"
+
+
+def test_pages_go_through_blocks_in_order(spark):
+    page = '<div data-testid="review"><p data-testid="review-positive-text">%s</p></div>'
+    rows = [(i, page % (str(i) * 2000) if i % 7 else None) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "i int, html string").coalesce(1)
+    found = frame.select("i", markup.review_blocks(F.col("html"))["records"]["positive"].alias("p")).collect()
+    assert len(found) == 3000 and all(r.p == ([str(r.i) * 2000] if r.i % 7 else []) for r in found)

@@ -8,7 +8,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ UNKNOWN = "unknown"
 SCORED_LANGUAGES = ["es", "en"]
 CLASSES = ["POS", "NEG", "NEU"]
 BATCH_SIZE = 32
+# Bytes of text that a language model is given at a time.
+_BLOCK = 1 << 20
 
 # Function words that vote for a language; words shared by two languages are in both.
 LANGUAGE_PROFILES = {
@@ -82,26 +87,41 @@ def with_language(df: DataFrame, profiles: dict[str, list[str]] = LANGUAGE_PROFI
     return df.withColumn("language", language_of(F.col("full_review_processed"), profiles))
 
 
+def _blocks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The texts of Arrow batches in runs of about `_BLOCK` bytes; a longer text comes alone.
+    A worker makes Python texts of one run at a time."""
+    for texts in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy()
+        row = 0
+        while row < len(texts):
+            before = ends[row - 1] if row else 0
+            end = max(row + 1, int(np.searchsorted(ends, before + _BLOCK, side="right")))
+            yield texts.slice(row, end - row)
+            row = end
+
+
 def with_model_language(df: DataFrame, load_model: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
     """Language from a model, loaded once per worker process. Labels may carry a
     `__label__` prefix; short texts and failing calls read `unknown`."""
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("string")
-    def detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = worker_cached(key, load_model)
-        for texts in batches:
-            codes = pd.Series([UNKNOWN] * len(texts), index=texts.index)
-            usable = texts[texts.str.len() >= MIN_LANGUAGE_TEXT]
+        for block in _blocks(batches):
+            texts = block.to_pylist()
+            codes = [UNKNOWN] * len(texts)
+            usable = [(at, t.replace("\n", " ")) for at, t in enumerate(texts) if len(t) >= MIN_LANGUAGE_TEXT]
             try:
-                codes[usable.index] = predict([t.replace("\n", " ") for t in usable])
+                for (at, _), code in list(zip(usable, predict([t for _, t in usable]), strict=True)):
+                    codes[at] = code
             except Exception:
-                for at, text in usable.items():  # find the texts that fail
+                for at, text in usable:  # find the texts that fail
                     try:
-                        codes[at] = predict([text.replace("\n", " ")])[0]
+                        codes[at] = predict([text])[0]
                     except Exception:
                         pass
-            yield codes
+            yield pa.array(codes, pa.string())
 
     label = detect(F.coalesce("full_review_processed", F.lit("")))
     return df.withColumn("language", F.regexp_replace(label, "__label__", ""))

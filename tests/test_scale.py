@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from guestlens.checks import derived, queries
 from guestlens.functions import markup
+from guestlens.operators import enrich
 
 
 def plan_of(df) -> str:
@@ -46,3 +47,18 @@ def test_pages_go_through_blocks_in_order(spark):
     frame = spark.createDataFrame(rows, "i int, html string").coalesce(1)
     found = frame.select("i", markup.review_blocks(F.col("html"))["records"]["positive"].alias("p")).collect()
     assert len(found) == 3000 and all(r.p == ([str(r.i) * 2000] if r.i % 7 else []) for r in found)
+
+
+def test_a_language_model_gets_blocks_of_bounded_bytes(spark):
+    def load():
+        def predict(texts):
+            assert len(texts) == 1 or sum(len(t.encode()) for t in texts) <= 1 << 20
+            return ["es" if t.startswith("hola") else "en" for t in texts]
+
+        return predict
+
+    rows = [(i, None if i % 50 == 0 else "a" if i % 50 == 1 else ("hola " if i % 3 else "héllo ") * (300_000 if i == 7 else 2000)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "i int, full_review_processed string").coalesce(1)
+    found = {r.i: r.language for r in enrich.with_model_language(frame, load).collect()}
+    calls = [(r[0], "unknown" if r[1] is None or r[1] == "a" else "es" if r[0] % 3 else "en") for r in rows]
+    assert found == dict(calls)

@@ -60,6 +60,24 @@ class _FirstPlaces(StatefulProcessor):
         pass
 
 
+def _first_of_batches(records: DataFrame, limit: int, order: tuple[str, ...], hotel: str) -> DataFrame:
+    """Without the records that cannot be among the first `limit` of their hotel, as their own
+    Arrow batch has so many places before theirs. What is left of a large hotel is small
+    enough to meet in a task."""
+
+    def first(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            places = batch.select([hotel, *order]).to_pandas()
+            kept = places.drop_duplicates().sort_values(list(order), kind="stable")
+            kept = kept.index[kept.groupby(hotel, dropna=False, sort=False).cumcount() < limit]
+            yield batch.take(pa.array(np.sort(kept.to_numpy()), pa.int64()))
+
+    return records.mapInArrow(first, records.schema)
+
+
 def cap_stream(
     records: DataFrame, limit: int = MAX_REVIEWS_PER_HOTEL, order: tuple[str, ...] = ("page_no", "pos"), hotel: str = "hotel_url"
 ) -> DataFrame:
@@ -70,11 +88,13 @@ def cap_stream(
     `order` are long columns, unique within a hotel; a place that comes again is ignored. The
     state is at most `limit` places per hotel. What the changes leave in the end is the same
     for every split of the records into batches (`after_changes`). Records of one hotel meet
-    in a task of each batch, as a stream of frames of bounded size.
+    in a task of each batch, as a stream of frames of bounded size; where they are read, those
+    that have `limit` places before theirs in the same Arrow batch are left out.
     """
     columns = (hotel, *(c for c in records.columns if c != hotel))
     form = T.StructType([*(T.StructField(c, records.schema[c].dataType) for c in columns), T.StructField("out", T.BooleanType())])
-    return records.groupBy(hotel).transformWithStateInPandas(_FirstPlaces(limit, order, columns), form, "Append", "None")
+    first = _first_of_batches(records, limit, order, hotel)
+    return first.groupBy(hotel).transformWithStateInPandas(_FirstPlaces(limit, order, columns), form, "Append", "None")
 
 
 def after_changes(changes: DataFrame, order: tuple[str, ...] = ("page_no", "pos"), hotel: str = "hotel_url") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from guestlens.checks import derived, queries
 from guestlens.functions import markup
 from guestlens.operators import enrich
+from guestlens.streaming import cap
 
 
 def plan_of(df) -> str:
@@ -62,3 +63,11 @@ def test_a_language_model_gets_blocks_of_bounded_bytes(spark):
     found = {r.i: r.language for r in enrich.with_model_language(frame, load).collect()}
     calls = [(r[0], "unknown" if r[1] is None or r[1] == "a" else "es" if r[0] % 3 else "en") for r in rows]
     assert found == dict(calls)
+
+
+def test_a_batch_of_a_stream_passes_on_first_places_only(spark):
+    rows = [(p, k, h, f"{h}-{p}-{k}") for h in ("a", None) for p in range(40) for k in range(50)] + [(0, 0, "a", "again"), (5, 0, "b", "alone")]
+    frame = spark.createDataFrame(rows, "page_no long, pos long, hotel_url string, title string").orderBy(F.desc("pos"), "title").coalesce(1)
+    found = cap._first_of_batches(frame, 7, ("page_no", "pos"), "hotel_url").collect()
+    assert len(found) == 15  # one batch
+    assert {(r.hotel_url, r.page_no, r.pos) for r in found} == {(h, 0, k) for h in ("a", None) for k in range(7)} | {("b", 5, 0)}

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from guestlens.checks import derived, queries
 from guestlens.functions import markup
 from guestlens.operators import enrich
+from guestlens.sources import readers, table, writers
 from guestlens.streaming import cap
 
+FORM = "seq long, hotel_name string, hotel_url string, title string, score string, positive string, negative string, date string"
+
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -71,3 +74,21 @@ def test_a_batch_of_a_stream_passes_on_first_places_only(spark):
     found = cap._first_of_batches(frame, 7, ("page_no", "pos"), "hotel_url").collect()
     assert len(found) == 15  # one batch
     assert {(r.hotel_url, r.page_no, r.pos) for r in found} == {(h, 0, k) for h in ("a", None) for k in range(7)} | {("b", 5, 0)}
+
+
+def test_stored_rows_are_changed_where_they_lie(spark, tmp_path, monkeypatch):
+    path, write, seen = str(tmp_path / "t"), table.write, []
+    rows = [(i, "h", "u", f"t{i}", "8", "p", "n", "2024-01-05" if i % 3 else "2024-03-31") for i in range(60)]
+    assert writers.insert_new(spark.createDataFrame(rows, FORM), path)["newly_saved"] == 60
+
+    def written(changed, *more, **named):
+        seen.append(changed.hint("rebalance") if not named.get("gathered") else changed)
+        return write(changed, *more, **named)
+
+    monkeypatch.setattr(table, "write", written)
+    enrich_half = lambda df: df.withColumn("language", F.when(F.col("seq") % 2 == 0, "xx"))
+    assert writers.store_enrichment(spark, path, enrich_half) == 60
+    assert writers.store_enrichment(spark, path, lambda df: df.withColumn("language", F.lit("yy"))) == 30
+    assert all("Exchange" not in plan_of(df) for df in seen) and len(seen) == 2
+    stored = readers.read_reviews(spark, path).collect()
+    assert {r.seq: r.language for r in stored} == {i: "yy" if i % 2 else "xx" for i in range(60)} and len(stored) == 60

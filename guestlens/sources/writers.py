@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from guestlens.functions.dates import parse_review_date
 from guestlens.functions.scores import normalize_score
-from guestlens.operators.dedup import keep_first, new_rows, with_hash
+from guestlens.operators.dedup import ROW_BYTES, SMALL_BATCH_BYTES, keep_first, new_rows, with_hash
 from guestlens.schema import RAW_COLUMNS, REVIEW, STORED_COLUMNS
 from guestlens.session import stage, staging
 from guestlens.sources import hashindex, table
@@ -77,10 +77,14 @@ def insert_new(
     ingest_id = ingest_id or f"batch-{uuid.uuid4().hex}"
     size = Observation()
     with staging(spark):
-        first = keep_first(with_hash(batch.observe(size, F.count(F.lit(1)).alias("n"))), ["seq"])
-        arrived = stage(first.withColumn("review_month", F.trunc(parse_review_date(F.col("date")), "month")), "arrived")
+        given = with_hash(batch.observe(size, F.count(F.lit(1)).alias("n")))
+        month = F.trunc(parse_review_date(F.col("date")), "month")
+        arrived = stage(given.withColumns({"review_month": month, "_row": F.monotonically_increasing_id()}), "arrived")
+        # which rows are the first and which of them are new is found without their texts
+        first = keep_first(arrived.select("review_hash", "review_month", "seq", "_row"), ["seq", "_row"])
+        first = stage(first.drop("seq"), "first")
         # at most one row per calendar month
-        counts = {r["review_month"]: r["count"] for r in arrived.groupBy("review_month").count().collect()}
+        counts = {r["review_month"]: r["count"] for r in first.groupBy("review_month").count().collect()}
         rows, undated = sum(counts.values()), counts.pop(None, 0)
         per_month = {m.isoformat(): n for m, n in counts.items()} | ({table.UNDATED: undated} if undated else {})
 
@@ -90,7 +94,10 @@ def insert_new(
             if not rows and not own:
                 return 0
             saved = Observation()
-            fresh = unseen(arrived, path, table.Version(seen.number, seen.parts - own), per_month, schema)
+            chosen = unseen(first, path, table.Version(seen.number, seen.parts - own), per_month, schema).select("_row")
+            # hashed in any case, so that no text is sorted
+            chosen = chosen.hint("broadcast" if rows * ROW_BYTES <= SMALL_BATCH_BYTES else "shuffle_hash")
+            fresh = arrived.join(chosen, "_row", "left_semi").drop("_row")
             if csv_path is not None:
                 fresh = stage(fresh, "fresh")
             fresh = fresh.observe(saved, F.count(F.lit(1)).alias("n"))

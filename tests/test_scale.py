@@ -92,3 +92,15 @@ def test_stored_rows_are_changed_where_they_lie(spark, tmp_path, monkeypatch):
     assert all("Exchange" not in plan_of(df) for df in seen) and len(seen) == 2
     stored = readers.read_reviews(spark, path).collect()
     assert {r.seq: r.language for r in stored} == {i: "yy" if i % 2 else "xx" for i in range(60)} and len(stored) == 60
+
+
+def test_new_rows_of_a_batch_are_chosen_without_their_texts(spark, tmp_path, monkeypatch):
+    path, keep_first, seen = str(tmp_path / "t"), writers.keep_first, []
+    monkeypatch.setattr(writers, "keep_first", lambda df, order: seen.append(df.columns) or keep_first(df, order))
+    rows = [(s, "h", "u", t, "8", "p", "n", d) for s, t, d in ((5, "a", "2024-01-05"), (2, "a", "2024-01-05"), (2, "a", "2024-01-05"), (None, "b", "?"), (None, "b", "?"), (7, "b", "?"), (8, "c", None))]
+    assert writers.insert_new(spark.createDataFrame(rows, FORM), path) == {"batch_size": 7, "undated": 2, "newly_saved": 3}
+    assert writers.insert_new(spark.createDataFrame(rows + [(9, "h", "u", "d", "8", "p", "n", None)], FORM), path)["newly_saved"] == 1
+    assert sorted((r.title, r.seq) for r in readers.read_reviews(spark, path).where("seq is not null").collect()) == [("a", 2), ("c", 8), ("d", 9)]
+    assert seen and all("positive" not in columns for columns in seen)
+    monkeypatch.setattr(writers, "SMALL_BATCH_BYTES", 0, raising=False)
+    assert writers.insert_new(spark.createDataFrame(rows, FORM), str(tmp_path / "u"))["newly_saved"] == 3

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from guestlens.checks import derived, queries
 from guestlens.functions import markup
-from guestlens.operators import enrich
+from guestlens.operators import enrich, terms
 from guestlens.sources import readers, table, writers
 from guestlens.streaming import cap
 
@@ -104,3 +104,12 @@ def test_new_rows_of_a_batch_are_chosen_without_their_texts(spark, tmp_path, mon
     assert seen and all("positive" not in columns for columns in seen)
     monkeypatch.setattr(writers, "SMALL_BATCH_BYTES", 0, raising=False)
     assert writers.insert_new(spark.createDataFrame(rows, FORM), str(tmp_path / "u"))["newly_saved"] == 3
+
+
+def test_pairs_meet_their_words_unsorted(spark, no_broadcast):
+    rows = [(f"lovely breakfast {i % 7}'s 12 rooms x{i % 30} ٣٤ room 5pm",) for i in range(200)]
+    found = terms.collocations(spark.createDataFrame(rows, "text string"))
+    plan = plan_of(found)
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+    words = {w for r in found.collect() for w in (r.w1, r.w2)}
+    assert {"lovely", "breakfast", "5pm"} <= words and not words & {"12", "٣٤", "3's"}
